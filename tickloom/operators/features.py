@@ -103,11 +103,10 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str = "re
     whole = df.select(target, *names).dropna()
     long = whole.unpivot([target], names, "feature", "x")
     binned = _bins(long, ["feature"], "x", n_bins).withColumnRenamed("_bin", "_xb")
-    y_edges = quantiles(whole.select(target, F.lit(1).alias("_k")), ["_k"], target,
-                        [i / n_bins for i in range(n_bins + 1)], "_e")
-    edges = y_edges.select("_k", F.array_distinct(F.array(*[F.col(f"_e{i}") for i in range(n_bins + 1)])).alias("_edges"))
+    y_edges = quantiles(whole, [], target, [i / n_bins for i in range(n_bins + 1)], "_e")
+    edges = y_edges.select(F.lit(1).alias("_k"), F.array_distinct(F.array(*[F.col(f"_e{i}") for i in range(n_bins + 1)])).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(target)))
-    binned = binned.withColumn("_k", F.lit(1)).join(edges, "_k").withColumn(
+    binned = binned.withColumn("_k", F.lit(1)).join(F.broadcast(edges), "_k").withColumn(
         "_yb", F.greatest(below, F.lit(1)) - 1)
     joint = binned.groupBy("feature", "_xb", "_yb").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     total = F.sum("_n").over(W.whole(["feature"]))
@@ -140,8 +139,8 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     whole = df.select(*names).dropna()
     k = len(names)
     stats = whole.agg(*[F.avg(c).alias(f"_m_{c}") for c in names], *[F.stddev_pop(c).alias(f"_s_{c}") for c in names])
-    std = whole.join(stats, how="full") if k == 0 else whole.withColumn("_j", F.lit(1)).join(
-        stats.withColumn("_j", F.lit(1)), "_j")
+    # ``stats`` is a global aggregate: exactly one row.
+    std = whole.withColumn("_j", F.lit(1)).join(F.broadcast(stats.withColumn("_j", F.lit(1))), "_j")
     z = std.select(*[div(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in names])
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

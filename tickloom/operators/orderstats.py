@@ -26,7 +26,13 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
     """One row per distinct (keys, value): ``n`` copies, ``below`` rows under it, ``total`` rows in the group."""
+    if not keys:
+        # One group: its cuts are one row and its offsets at most ``bins`` rows, so both broadcasts are bounded.
+        one = ranked_values(df.select(F.lit(0).alias("_all"), value), ["_all"], value, bins)
+        return one.drop("_all")
     keys = list(keys)
+    single = keys == ["_all"]
+    small = F.broadcast if single else (lambda d: d)
     vc = value_counts(df, keys, value)
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
     step = max(1, SAMPLE // bins)
@@ -35,7 +41,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, bins: int = BI
         .groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s"))
         .select(*keys, F.filter("_s", lambda v, i: i % step == step - 1).alias("_cuts"))
     )
-    binned = vc.join(cuts, keys).select(
+    binned = vc.join(small(cuts), keys).select(
         *keys, value, "n", F.size(F.filter("_cuts", lambda v: v < F.col(value))).alias("_bin"))
     totals = binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n"))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
@@ -46,7 +52,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, bins: int = BI
     in_bin = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         binned.withColumn("_within", F.coalesce(F.sum("n").over(in_bin), F.lit(0)))
-        .join(offsets, [*keys, "_bin"])
+        .join(small(offsets), [*keys, "_bin"])
         .select(*keys, value, "n", (F.col("_before") + F.col("_within")).alias("below"), "total")
     )
 

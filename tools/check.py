@@ -58,24 +58,26 @@ def duck_kinds(desc):
 
 
 def compare(df, con, sql):
+    t = time.time()
     got = df.collect()
+    spark_sec = time.time() - t
     cur = con.execute(sql)
     dk = duck_kinds(cur.description)
     want = cur.fetchall()
     a_names, a = rows_of(df.columns, got)
     b_names, b = rows_of(list(dk), want)
     if a_names != b_names:
-        return f"columns {a_names} != {b_names}", len(got)
+        return f"columns {a_names} != {b_names}", len(got), spark_sec
     types = [f"{n}:{k}/{dk[n]}" for n, k in kinds(df).items() if k != dk[n]]
     msg = f"types {types}" if types else ""
     if len(a) != len(b):
-        return f"rows {len(a)} != {len(b)}; {msg}", len(got)
+        return f"rows {len(a)} != {len(b)}; {msg}", len(got), spark_sec
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
         x, y = bad[0]
         diff = {n: (p, q) for n, p, q in zip(a_names, x, y) if p != q}
-        return f"{len(bad)}/{len(a)} rows differ, e.g. {diff} in {dict(zip(a_names, x))}; {msg}"[:900], len(got)
-    return msg, len(got)
+        return f"{len(bad)}/{len(a)} rows differ, e.g. {diff} in {dict(zip(a_names, x))}; {msg}"[:900], len(got), spark_sec
+    return msg, len(got), spark_sec
 
 
 def main() -> int:
@@ -101,15 +103,15 @@ def main() -> int:
             if args.explain:
                 df.explain("formatted")
             if n in SQL:
-                msg, rows = compare(df, con, SQL[n])
+                msg, rows, sec = compare(df, con, SQL[n])
             else:
-                msg, rows = "(rows only)", len(df.collect())
+                msg, rows, sec = "(rows only)", len(df.collect()), time.time() - t
         except Exception as e:  # report and go on
-            msg, rows = f"ERROR {type(e).__name__}: {str(e)[:700]}", -1
+            msg, rows, sec = f"ERROR {type(e).__name__}: {str(e)[:700]}", -1, 0.0
         ok = msg in ("", "(rows only)")
         if not ok:
             failed.append(n)
-        print(f"{'ok  ' if ok else 'FAIL'} {n:28s} {rows:6d} rows {time.time() - t:6.2f}s {msg}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {n:28s} {rows:6d} rows spark {sec:6.2f}s all {time.time() - t:6.2f}s {msg}", flush=True)
     print(f"{len(names) - len(failed)}/{len(names)} ok; failed: {failed}")
     return bool(failed)
 

@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tickloom.functions.numeric import nan_to_null
 
 
+_TYPES = {"date": T.DateType(), "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """``name type, ...`` without needing a running session at import."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in spec.split(","))])
 
 
 PRICES = _struct("date date, symbol string, company_name string, price double, change double, pct_change double")

@@ -15,7 +15,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """The stored table in canonical form; an empty table of that schema when nothing is stored yet."""
     try:
         return conform(spark.read.option("mergeSchema", "true").parquet(path), schema, keep_extra=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return empty(spark, schema)
 
 

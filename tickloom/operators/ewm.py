@@ -1,134 +1,139 @@
-"""Exponential weighting and the recursive indicators built on it.
+"""Exponential weighting as window sums.
 
-``y = (1-a) * y_prev + a * x`` is order-dependent and its intermediate values
-are rounded before they feed the next recursion, so it runs as one grouped
-Arrow kernel per symbol for all recursive columns together.  A group is one
-symbol's history with one row per day: bounded by the calendar.
+``y_t = (1-a) y_{t-1} + a x_t`` is a recursion, but its solution is a running sum
+of ``a x_s q^-s`` scaled by ``q^t`` (q = 1-a).  The running sum is an ordinary
+window aggregate, so recursive indicators stay in the JVM, share the symbol's
+sort with the other windows, and need no per-group Python call.
+
+``q^-s`` overflows on a long series, so rows are cut into blocks short enough to
+stay finite and long enough that what lies two blocks back weighs nothing
+(below 1e-15); a block starts from the last value of the earlier ones.
+
+A missing value keeps the average where it is and lets the old weight decay one
+step per row: after ``k`` rows the new value gets ``a / (q^k + a)``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tickloom.functions.numeric import rnd
 
-from tickloom import config as cfg
+FINITE = 600.0  # exp(600) is far from overflow
+NEGLIGIBLE = 72.0  # decay needed over one block; missing values may halve it
 
 
 @dataclass(frozen=True)
 class Ewm:
+    """One weighted column; ``alpha`` is a number or one value per row with the given range."""
+
     out: str
     src: str
-    alpha: float
-    min_rows: int = 1
+    alpha: float | Column
+    min_rows: int | Column = 1
     digits: int | None = 4
+    alpha_range: tuple[float, float] | None = None
+
+    def limits(self) -> tuple[float, float]:
+        return self.alpha_range or (self.alpha, self.alpha)
 
 
 def span(out: str, src: str, rows: int, digits: int | None = 4) -> Ewm:
     return Ewm(out, src, 2.0 / (rows + 1), 1, digits)
 
 
-def wilder(out: str, src: str, rows: int, digits: int | None = 4) -> Ewm:
+def wilder(out: str, src: str, rows: int, digits: int | None = None) -> Ewm:
     return Ewm(out, src, 1.0 / rows, rows, digits)
 
 
-def np_rnd(x, n: int):
-    """The pandas twin of :func:`tickloom.functions.numeric.rnd`."""
-    k = 10.0**n
-    return np.rint(np.rint(x * (k * 1e6)) / 1e6) / k + 0.0
-
-
-def smooth(s: pd.Series, alpha: float, min_rows: int = 1) -> pd.Series:
-    return s.ewm(alpha=alpha, adjust=False, min_periods=min_rows).mean()
-
-
-def smooth_span(s: pd.Series, rows: int) -> pd.Series:
-    return np_rnd(smooth(s, 2.0 / (rows + 1)), 4)
-
-
-def grouped(df: DataFrame, keys: Sequence[str], order: str, new: Sequence[str], fn) -> DataFrame:
-    """Run ``fn(pdf)`` on each group sorted by ``order``; ``fn`` adds the double columns ``new``."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType()) for c in new])
-    names = schema.fieldNames()
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values(order, ignore_index=True))[names]
-
-    return df.groupBy(*keys).applyInPandas(kernel, schema)
-
-
-def with_ewm(df: DataFrame, keys: Sequence[str], specs: Sequence[Ewm], order: str = "date") -> DataFrame:
-    """Add one exponentially weighted column per spec; a later spec may read an earlier one's output."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        for s in specs:
-            y = smooth(pdf[s.src].astype("float64"), s.alpha, s.min_rows)
-            pdf[s.out] = y if s.digits is None else np_rnd(y, s.digits)
-        return pdf
-
-    return grouped(df, keys, order, [s.out for s in specs], fn)
-
-
-# --- recursive indicators on one sorted symbol -----------------------------------------------------------------------
-
-def rsi(close: pd.Series, rows: int) -> pd.Series:
-    step = close.diff()
-    up = smooth(step.clip(lower=0), 1.0 / rows, rows)
-    down = smooth((-step).clip(lower=0), 1.0 / rows, rows)
-    return np_rnd(100 - 100 / (1 + up / down.where(down != 0)), 4)
-
-
-def macd(close: pd.Series, fast: int, slow: int, signal: int) -> dict[str, pd.Series]:
-    quick, lazy = smooth_span(close, fast), smooth_span(close, slow)
-    line = np_rnd(quick - lazy, 4)
-    sig = smooth_span(line, signal)
-    return {"ema_12": quick, "ema_26": lazy, "macd": line, "macd_signal": sig, "macd_hist": np_rnd(line - sig, 4)}
-
-
-def true_range(p: pd.DataFrame) -> pd.Series:
-    prev = p["close"].shift(1)
-    return pd.concat([p["high"] - p["low"], (p["high"] - prev).abs(), (p["low"] - prev).abs()], axis=1).max(axis=1)
-
-
-def atr(p: pd.DataFrame, rows: int) -> pd.Series:
-    return np_rnd(smooth(true_range(p), 1.0 / rows, rows), 4)
-
-
-def adx(p: pd.DataFrame, rows: int) -> dict[str, pd.Series]:
-    a = 1.0 / rows
-    up, down = p["high"].diff(), -p["low"].diff()
-    rising = up.where((up > down) & (up > 0), 0.0)
-    falling = down.where((down > up) & (down > 0), 0.0)
-    rng = smooth(true_range(p), a, rows)
-    rng = rng.where(rng != 0)
-    plus = np_rnd(100 * smooth(rising, a, rows) / rng, 4)
-    minus = np_rnd(100 * smooth(falling, a, rows) / rng, 4)
-    both = plus + minus
-    dx = np_rnd(100 * (plus - minus).abs() / both.where(both != 0), 4)
-    return {"adx_14": np_rnd(smooth(dx, a, rows), 4), "plus_di": plus, "minus_di": minus}
-
-
-def stoch_rsi(close: pd.Series, rsi_rows: int, rows: int) -> dict[str, pd.Series]:
-    r = rsi(close, rsi_rows)
-    lo, hi = r.rolling(rows, min_periods=1).min(), r.rolling(rows, min_periods=1).max()
-    width = np_rnd(hi - lo, 4)
-    raw = np_rnd((r - lo) / width.where(width != 0), 4)
-    k = np_rnd(raw.rolling(3, min_periods=1).mean(), 4)
-    return {"stochrsi_k": k, "stochrsi_d": np_rnd(k.rolling(3, min_periods=1).mean(), 4)}
-
-
-def recursive_suite(df: DataFrame, keys: Sequence[str], multiplier: str = "vol_regime_mult") -> DataFrame:
-    """All recursive columns of the indicator suite in one pass; window sizes follow the symbol's volatility regime."""
-    new = ["ema_12", "ema_26", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14",
-           "adx_14", "plus_di", "minus_di", "stochrsi_k", "stochrsi_d"]
-
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        rsi_n, _, atr_n, fast, slow, sig = cfg.REGIME_WINDOWS[round(float(p[multiplier].iloc[0]), 2)]
-        cols = {"rsi_14": rsi(p["close"], rsi_n), "atr_14": atr(p, atr_n), **macd(p["close"], fast, slow, sig),
-                **adx(p, cfg.ATR_WINDOW), **stoch_rsi(p["close"], cfg.RSI_WINDOW, cfg.RSI_WINDOW)}
-        return p.assign(**cols)
-
-    return grouped(df, keys, "date", new, fn)
+def by_regime(out: str, src: str, mult: Column, rows: dict[float, int], is_span: bool, digits: int | None) -> Ewm:
+    """A window size per volatility multiplier."""
+    def alpha(n):
+        return 2.0 / (n + 1) if is_span else 1.0 / n
+
+    a, m = F.lit(alpha(rows[1.0])), F.lit(rows[1.0])
+    for k, n in rows.items():
+        if k != 1.0:
+            a, m = F.when(mult == k, F.lit(alpha(n))).otherwise(a), F.when(mult == k, F.lit(n)).otherwise(m)
+    sizes = [alpha(n) for n in rows.values()]
+    return Ewm(out, src, a, 1 if is_span else m, digits, (min(sizes), max(sizes)))
+
+
+def block_rows(specs: Sequence[Ewm]) -> int:
+    low = min(s.limits()[0] for s in specs)
+    high = max(s.limits()[1] for s in specs)
+    if not 0 < low <= high < 1:
+        raise ValueError("alpha must lie strictly between 0 and 1")
+    rows = int(FINITE / -math.log(1 - high))
+    if rows * -math.log(1 - low) < NEGLIGIBLE:
+        raise ValueError(f"alphas {low} and {high} are too far apart for one pass; split them over two calls")
+    return rows
+
+
+def with_ewm(df: DataFrame, keys: Sequence[str], specs: Sequence[Ewm], order: str = "date", nulls: bool = True,
+             block: int | None = None) -> DataFrame:
+    """Add one column per spec.
+
+    ``nulls=False`` states that the sources have no missing values and drops the windows that handle them.  All windows
+    after the first use one sort (keys, block, order) on one partitioning by ``keys``.
+    """
+    keys, n = list(keys), block or block_rows(specs)
+    c = F.col
+    d = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    d = d.withColumn("_blk", F.floor((c("_rn") - 1) / n)).withColumn("_i", (c("_rn") - 1) - c("_blk") * n)
+    run = Window.partitionBy(*keys).orderBy("_blk", order)
+    seen, past = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rangeBetween(Window.unboundedPreceding, -1)
+
+    def alpha(s: Ewm) -> Column:
+        return F.lit(float(s.alpha)) if not isinstance(s.alpha, Column) else s.alpha
+
+    def at(s: Ewm) -> Column:
+        """Row number of an observation, NULL elsewhere."""
+        return F.when(c(s.src).isNotNull(), c("_rn"))
+
+    def names(kind: str) -> list[Column]:
+        return [c(f"_{kind}{j}") for j in range(len(specs))]
+
+    if nulls:
+        d = d.select("*", *[F.count(s.src).over(seen).alias(f"_n{j}") for j, s in enumerate(specs)],
+                     *[(c("_rn") - F.last(at(s), ignorenulls=True).over(past)).alias(f"_k{j}") for j, s in enumerate(specs)])
+        steps = []
+        for s, k, cnt in zip(specs, names("k"), names("n")):
+            late = c(s.src).isNotNull() & (cnt > 1) & (k > 1)
+            norm = F.pow(1 - alpha(s), k) + alpha(s)
+            steps.append((F.when(late, -F.log(norm)).otherwise(F.lit(0.0)),
+                          F.when(cnt == 1, F.lit(1.0)).when(late, alpha(s) / norm).otherwise(alpha(s))))
+        d = d.select("*", *[F.sum(e).over(in_block).alias(f"_e{j}") for j, (e, _) in enumerate(steps)])
+        stretch = [F.exp(e) for e in names("e")]
+        weight = [w for _, w in steps]
+        count = names("n")
+    else:
+        stretch = [F.lit(1.0)] * len(specs)
+        weight = [F.when(c("_rn") == 1, F.lit(1.0)).otherwise(alpha(s)) for s in specs]
+        count = [c("_rn")] * len(specs)
+    scale = [F.pow(1 - alpha(s), c("_i")) * e for s, e in zip(specs, stretch)]
+    d = d.select("*", *[F.sum(w * c(s.src) / f).over(in_block).alias(f"_s{j}")
+                        for j, (s, w, f) in enumerate(zip(specs, weight, scale))])
+    # The newest observation of all earlier blocks: its value within its own block, and its row.
+    d = d.select("*", *[F.max_by(F.struct((f * t).alias("z"), c("_rn").alias("r")), at(s)).over(earlier).alias(f"_c{j}")
+                        for j, (s, f, t) in enumerate(zip(specs, scale, names("s")))])
+    ys = []
+    for s, f, e, t, carry in zip(specs, scale, stretch, names("s"), names("c")):
+        inherited = carry["z"] * F.pow(1 - alpha(s), c("_rn") - carry["r"]) * e
+        ys.append(F.when(c(s.src).isNotNull(), f * t + F.coalesce(inherited, F.lit(0.0))))
+    if nulls:
+        d = d.select("*", *[y.alias(f"_y{j}") for j, y in enumerate(ys)])
+        ys = [F.last(y, ignorenulls=True).over(seen) for y in names("y")]
+    outs = []
+    for s, y, k in zip(specs, ys, count):
+        min_rows = s.min_rows if isinstance(s.min_rows, Column) else F.lit(s.min_rows)
+        if isinstance(s.min_rows, Column) or s.min_rows > 1:
+            y = F.when(k >= min_rows, y)
+        outs.append((y if s.digits is None else rnd(y, s.digits)).alias(s.out))
+    return d.select(*df.columns, *outs)

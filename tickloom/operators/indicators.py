@@ -1,7 +1,7 @@
 """Technical indicators for every symbol at once.
 
 One hash partitioning on ``symbol`` serves all trailing windows (they share a
-sort) and the Arrow kernel of the recursive columns.
+sort) and the recursive columns, which are window sums too.
 """
 
 from __future__ import annotations
@@ -97,31 +97,68 @@ def regime_windows(bars: DataFrame) -> DataFrame:
     return out
 
 
-def rsi(bars: DataFrame, rows: int = cfg.RSI_WINDOW) -> DataFrame:
-    return E.grouped(bars, SYM, "date", ["rsi"], lambda p: p.assign(rsi=E.rsi(p["close"], rows)))
+def _moves(df: DataFrame) -> DataFrame:
+    """Daily gain and loss of the close, true range and directional movement, as inputs of the recursive indicators."""
+    wo, c = W.ordered(SYM), F.col
+    d = df.select("*", F.lag("close").over(wo).alias("_pc"), (c("high") - F.lag("high").over(wo)).alias("_up"),
+                  (F.lag("low").over(wo) - c("low")).alias("_dn"))
+    step, zero = c("close") - c("_pc"), F.lit(0.0)
+    return d.select(
+        *df.columns, F.when(step > 0, step).when(step.isNotNull(), zero).alias("_gain"),
+        F.when(step < 0, -step).when(step.isNotNull(), zero).alias("_loss"),
+        F.greatest(c("high") - c("low"), F.abs(c("high") - c("_pc")), F.abs(c("low") - c("_pc"))).alias("_tr"),
+        F.when((c("_up") > c("_dn")) & (c("_up") > 0), c("_up")).otherwise(zero).alias("_pdm"),
+        F.when((c("_dn") > c("_up")) & (c("_dn") > 0), c("_dn")).otherwise(zero).alias("_mdm"))
 
 
-def macd(bars: DataFrame, fast: int = cfg.MACD_FAST, slow: int = cfg.MACD_SLOW, signal: int = cfg.MACD_SIGNAL) -> DataFrame:
-    names = ["macd", "macd_signal", "macd_hist"]
+def _rsi_value(gain: str, loss: str):
+    return rnd(100 - div(F.lit(100.0), 1 + div(F.col(gain), F.col(loss))), 4)
+
+
+def _di(dm: str, rng: str):
+    return rnd(div(100 * F.col(dm), F.col(rng)), 4)
+
+
+def _dx():
+    plus, minus = F.col("plus_di"), F.col("minus_di")
+    return rnd(div(100 * F.abs(plus - minus), plus + minus), 4)
 
-    def fn(p):
-        m = E.macd(p["close"], fast, slow, signal)
-        return p.assign(**{k: m[k] for k in names})
 
-    return E.grouped(bars, SYM, "date", names, fn)
+def _stoch(df: DataFrame, r: str, rows: int) -> DataFrame:
+    """%K and %D of the RSI column ``r``."""
+    c, w, w3 = F.col, W.trailing(SYM, rows), W.trailing(SYM, 3)
+    d = df.select("*", F.min(r).over(w).alias("_lo"), F.max(r).over(w).alias("_hi"))
+    d = d.withColumn("_raw", rnd(div(c(r) - c("_lo"), rnd(c("_hi") - c("_lo"), 4)), 4))
+    d = d.withColumn("stochrsi_k", rnd(W.mean(c("_raw"), w3), 4))
+    return d.withColumn("stochrsi_d", rnd(W.mean(c("stochrsi_k"), w3), 4)).drop("_lo", "_hi", "_raw")
+
+
+def rsi(bars: DataFrame, rows: int = cfg.RSI_WINDOW) -> DataFrame:
+    d = E.with_ewm(_moves(bars), SYM, [E.wilder("_g", "_gain", rows), E.wilder("_l", "_loss", rows)])
+    return d.select(*bars.columns, _rsi_value("_g", "_l").alias("rsi"))
+
+
+def macd(bars: DataFrame, fast: int = cfg.MACD_FAST, slow: int = cfg.MACD_SLOW, signal: int = cfg.MACD_SIGNAL) -> DataFrame:
+    """Both averages are rounded before the line, and the line before its signal."""
+    d = E.with_ewm(bars, SYM, [E.span("_f", "close", fast), E.span("_s", "close", slow)])
+    d = d.withColumn("macd", rnd(F.col("_f") - F.col("_s"), 4))
+    d = E.with_ewm(d, SYM, [E.span("macd_signal", "macd", signal)])
+    return d.select(*bars.columns, "macd", "macd_signal", rnd(F.col("macd") - F.col("macd_signal"), 4).alias("macd_hist"))
 
 
 def atr(bars: DataFrame, rows: int = cfg.ATR_WINDOW) -> DataFrame:
-    return E.grouped(bars, SYM, "date", ["atr"], lambda p: p.assign(atr=E.atr(p, rows)))
+    return E.with_ewm(_moves(bars), SYM, [E.wilder("atr", "_tr", rows, 4)]).select(*bars.columns, "atr")
 
 
 def adx(bars: DataFrame, rows: int = cfg.ATR_WINDOW) -> DataFrame:
-    return E.grouped(bars, SYM, "date", ["adx_14", "plus_di", "minus_di"], lambda p: p.assign(**E.adx(p, rows)))
+    d = E.with_ewm(_moves(bars), SYM, [E.wilder("_t", "_tr", rows), E.wilder("_p", "_pdm", rows), E.wilder("_m", "_mdm", rows)])
+    d = d.select(*bars.columns, _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di"))
+    d = E.with_ewm(d.withColumn("_dx", _dx()), SYM, [E.wilder("adx_14", "_dx", rows, 4)])
+    return d.select(*bars.columns, "adx_14", "plus_di", "minus_di")
 
 
 def stoch_rsi(bars: DataFrame, rsi_rows: int = cfg.RSI_WINDOW, rows: int = cfg.RSI_WINDOW) -> DataFrame:
-    return E.grouped(bars, SYM, "date", ["stochrsi_k", "stochrsi_d"],
-                     lambda p: p.assign(**E.stoch_rsi(p["close"], rsi_rows, rows)))
+    return _stoch(rsi(bars, rsi_rows), "rsi", rows).drop("rsi")
 
 
 def _bands(df: DataFrame, middle, sd, sigma: float = cfg.BB_SIGMA) -> DataFrame:
@@ -176,7 +213,27 @@ def indicator_suite(bars: DataFrame) -> DataFrame:
     out = (out.withColumn("drawdown_pct", rnd(div(close - c("_peak"), c("_peak")), 4))
            .withColumn("rolling_max", rnd(c("_peak"), 4)))
     out = _bands(out, c("_mid"), c("_dev")).drop("_mid", "_dev", "_peak")
-    return E.recursive_suite(out, SYM)
+    return _recursive(out)
+
+
+def _recursive(df: DataFrame) -> DataFrame:
+    """The recursive columns of the suite in two passes: averages of prices and moves, then averages of those."""
+    c, mult = F.col, F.col("vol_regime_mult")
+    size = {name: {m: v[i] for m, v in cfg.REGIME_WINDOWS.items()}
+            for i, name in enumerate(("rsi", "bb", "atr", "fast", "slow", "signal"))}
+    n = cfg.ATR_WINDOW
+    first = E.with_ewm(_moves(df), SYM, [
+        E.by_regime("ema_12", "close", mult, size["fast"], True, 4), E.by_regime("ema_26", "close", mult, size["slow"], True, 4),
+        E.by_regime("_g", "_gain", mult, size["rsi"], False, None), E.by_regime("_l", "_loss", mult, size["rsi"], False, None),
+        E.by_regime("atr_14", "_tr", mult, size["atr"], False, 4), E.wilder("_g14", "_gain", cfg.RSI_WINDOW),
+        E.wilder("_l14", "_loss", cfg.RSI_WINDOW), E.wilder("_t", "_tr", n), E.wilder("_p", "_pdm", n), E.wilder("_m", "_mdm", n)])
+    mid = first.select(
+        *df.columns, "ema_12", "ema_26", "atr_14", _rsi_value("_g", "_l").alias("rsi_14"), _rsi_value("_g14", "_l14").alias("_r14"),
+        rnd(c("ema_12") - c("ema_26"), 4).alias("macd"), _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di"))
+    second = E.with_ewm(mid.withColumn("_dx", _dx()), SYM, [
+        E.by_regime("macd_signal", "macd", mult, size["signal"], True, 4), E.wilder("adx_14", "_dx", n, 4)])
+    out = _stoch(second.withColumn("macd_hist", rnd(c("macd") - c("macd_signal"), 4)), "_r14", cfg.RSI_WINDOW)
+    return out.drop("_dx", "_r14")
 
 
 def cum_return(bars: DataFrame, min_rows: int = 20) -> DataFrame:

@@ -37,6 +37,7 @@ class Ewm:
     min_rows: int | Column = 1
     digits: int | None = 4
     alpha_range: tuple[float, float] | None = None
+    skip: int = 0  # leading rows known to have no value; used when the rest is known to be complete
 
     def limits(self) -> tuple[float, float]:
         return self.alpha_range or (self.alpha, self.alpha)
@@ -46,11 +47,12 @@ def span(out: str, src: str, rows: int, digits: int | None = 4) -> Ewm:
     return Ewm(out, src, 2.0 / (rows + 1), 1, digits)
 
 
-def wilder(out: str, src: str, rows: int, digits: int | None = None) -> Ewm:
-    return Ewm(out, src, 1.0 / rows, rows, digits)
+def wilder(out: str, src: str, rows: int, digits: int | None = None, skip: int = 0) -> Ewm:
+    return Ewm(out, src, 1.0 / rows, rows, digits, skip=skip)
 
 
-def by_regime(out: str, src: str, mult: Column, rows: dict[float, int], is_span: bool, digits: int | None) -> Ewm:
+def by_regime(out: str, src: str, mult: Column, rows: dict[float, int], is_span: bool, digits: int | None,
+              skip: int = 0) -> Ewm:
     """A window size per volatility multiplier."""
     def alpha(n):
         return 2.0 / (n + 1) if is_span else 1.0 / n
@@ -60,7 +62,7 @@ def by_regime(out: str, src: str, mult: Column, rows: dict[float, int], is_span:
         if k != 1.0:
             a, m = F.when(mult == k, F.lit(alpha(n))).otherwise(a), F.when(mult == k, F.lit(n)).otherwise(m)
     sizes = [alpha(n) for n in rows.values()]
-    return Ewm(out, src, a, 1 if is_span else m, digits, (min(sizes), max(sizes)))
+    return Ewm(out, src, a, 1 if is_span else m, digits, (min(sizes), max(sizes)), skip)
 
 
 def block_rows(specs: Sequence[Ewm]) -> int:
@@ -74,66 +76,77 @@ def block_rows(specs: Sequence[Ewm]) -> int:
     return rows
 
 
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
+    """Row number, block and row in block; several :func:`with_ewm` passes may share them."""
+    d = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    blk = F.floor((F.col("_rn") - 1) / block)
+    return d.select("*", blk.alias("_blk"), (F.col("_rn") - 1 - blk * block).alias("_i"))
+
+
 def with_ewm(df: DataFrame, keys: Sequence[str], specs: Sequence[Ewm], order: str = "date", nulls: bool = True,
              block: int | None = None) -> DataFrame:
     """Add one column per spec.
 
-    ``nulls=False`` states that the sources have no missing values and drops the windows that handle them.  All windows
-    after the first use one sort (keys, block, order) on one partitioning by ``keys``.
+    ``nulls=False`` states that the sources are complete after their ``skip`` leading rows and drops the windows that
+    handle missing values.  All windows after the first use one sort (keys, block, order) on one partitioning by ``keys``.
+    A frame that went through :func:`number_rows` keeps its numbering.
     """
-    keys, n = list(keys), block or block_rows(specs)
+    keys = list(keys)
     c = F.col
-    d = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    d = d.withColumn("_blk", F.floor((c("_rn") - 1) / n)).withColumn("_i", (c("_rn") - 1) - c("_blk") * n)
+    d = df if "_rn" in df.columns else number_rows(df, keys, order, block or block_rows(specs))
     run = Window.partitionBy(*keys).orderBy("_blk", order)
     seen, past = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
     in_block = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_blk").rangeBetween(Window.unboundedPreceding, -1)
+    n = range(len(specs))
 
-    def alpha(s: Ewm) -> Column:
-        return F.lit(float(s.alpha)) if not isinstance(s.alpha, Column) else s.alpha
+    def col(kind: str, j: int) -> Column:
+        return c(f"_{kind}{j}")
 
-    def at(s: Ewm) -> Column:
-        """Row number of an observation, NULL elsewhere."""
-        return F.when(c(s.src).isNotNull(), c("_rn"))
+    def alpha(j: int) -> Column:
+        return col("a", j) if isinstance(specs[j].alpha, Column) else F.lit(float(specs[j].alpha))
+
+    def there(j: int) -> Column:
+        return c(specs[j].src).isNotNull()
 
-    def names(kind: str) -> list[Column]:
-        return [c(f"_{kind}{j}") for j in range(len(specs))]
+    def at(j: int) -> Column:
+        """Row number of an observation, NULL elsewhere."""
+        return F.when(there(j), c("_rn"))
 
+    varying = [specs[j].alpha.alias(f"_a{j}") for j in n if isinstance(specs[j].alpha, Column)]
+    if varying:
+        d = d.select("*", *varying)
     if nulls:
-        d = d.select("*", *[F.count(s.src).over(seen).alias(f"_n{j}") for j, s in enumerate(specs)],
-                     *[(c("_rn") - F.last(at(s), ignorenulls=True).over(past)).alias(f"_k{j}") for j, s in enumerate(specs)])
-        steps = []
-        for s, k, cnt in zip(specs, names("k"), names("n")):
-            late = c(s.src).isNotNull() & (cnt > 1) & (k > 1)
-            norm = F.pow(1 - alpha(s), k) + alpha(s)
-            steps.append((F.when(late, -F.log(norm)).otherwise(F.lit(0.0)),
-                          F.when(cnt == 1, F.lit(1.0)).when(late, alpha(s) / norm).otherwise(alpha(s))))
-        d = d.select("*", *[F.sum(e).over(in_block).alias(f"_e{j}") for j, (e, _) in enumerate(steps)])
-        stretch = [F.exp(e) for e in names("e")]
-        weight = [w for _, w in steps]
-        count = names("n")
+        d = d.select("*", *[F.count(specs[j].src).over(seen).alias(f"_n{j}") for j in n],
+                     *[(c("_rn") - F.last(at(j), ignorenulls=True).over(past)).alias(f"_k{j}") for j in n])
+        norm = [F.pow(1 - alpha(j), col("k", j)) + alpha(j) for j in n]
+        late = [there(j) & (col("n", j) > 1) & (col("k", j) > 1) for j in n]
+        d = d.select("*", *[F.sum(F.when(late[j], -F.log(norm[j])).otherwise(F.lit(0.0))).over(in_block).alias(f"_e{j}") for j in n])
+        stretch = [F.exp(col("e", j)) for j in n]
+        weight = [F.when(col("n", j) == 1, F.lit(1.0)).when(late[j], alpha(j) / norm[j]).otherwise(alpha(j)) for j in n]
+        count = [col("n", j) for j in n]
     else:
-        stretch = [F.lit(1.0)] * len(specs)
-        weight = [F.when(c("_rn") == 1, F.lit(1.0)).otherwise(alpha(s)) for s in specs]
-        count = [c("_rn")] * len(specs)
-    scale = [F.pow(1 - alpha(s), c("_i")) * e for s, e in zip(specs, stretch)]
-    d = d.select("*", *[F.sum(w * c(s.src) / f).over(in_block).alias(f"_s{j}")
-                        for j, (s, w, f) in enumerate(zip(specs, weight, scale))])
+        stretch = [None] * len(specs)
+        weight = [F.when(c("_rn") == specs[j].skip + 1, F.lit(1.0)).otherwise(alpha(j)) for j in n]
+        count = [c("_rn") - specs[j].skip for j in n]
+    scale = [F.pow(1 - alpha(j), c("_i")) if stretch[j] is None else F.pow(1 - alpha(j), c("_i")) * stretch[j] for j in n]
+    d = d.select("*", *[F.sum(weight[j] * c(specs[j].src) / scale[j]).over(in_block).alias(f"_s{j}") for j in n])
     # The newest observation of all earlier blocks: its value within its own block, and its row.
-    d = d.select("*", *[F.max_by(F.struct((f * t).alias("z"), c("_rn").alias("r")), at(s)).over(earlier).alias(f"_c{j}")
-                        for j, (s, f, t) in enumerate(zip(specs, scale, names("s")))])
+    d = d.select("*", *[F.max_by(F.struct((scale[j] * col("s", j)).alias("z"), c("_rn").alias("r")), at(j)).over(earlier)
+                        .alias(f"_c{j}") for j in n])
     ys = []
-    for s, f, e, t, carry in zip(specs, scale, stretch, names("s"), names("c")):
-        inherited = carry["z"] * F.pow(1 - alpha(s), c("_rn") - carry["r"]) * e
-        ys.append(F.when(c(s.src).isNotNull(), f * t + F.coalesce(inherited, F.lit(0.0))))
+    for j in n:
+        inherited = col("c", j)["z"] * F.pow(1 - alpha(j), c("_rn") - col("c", j)["r"])
+        if stretch[j] is not None:
+            inherited = inherited * stretch[j]
+        ys.append(F.when(there(j), scale[j] * col("s", j) + F.coalesce(inherited, F.lit(0.0))))
     if nulls:
-        d = d.select("*", *[y.alias(f"_y{j}") for j, y in enumerate(ys)])
-        ys = [F.last(y, ignorenulls=True).over(seen) for y in names("y")]
+        d = d.select("*", *[ys[j].alias(f"_y{j}") for j in n])
+        ys = [F.last(col("y", j), ignorenulls=True).over(seen) for j in n]
     outs = []
-    for s, y, k in zip(specs, ys, count):
-        min_rows = s.min_rows if isinstance(s.min_rows, Column) else F.lit(s.min_rows)
+    for j, s in enumerate(specs):
+        y = ys[j]
         if isinstance(s.min_rows, Column) or s.min_rows > 1:
-            y = F.when(k >= min_rows, y)
+            y = F.when(count[j] >= s.min_rows, y)
         outs.append((y if s.digits is None else rnd(y, s.digits)).alias(s.out))
     return d.select(*df.columns, *outs)

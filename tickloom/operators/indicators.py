@@ -69,32 +69,37 @@ def universe_signals(prices: DataFrame) -> DataFrame:
             .orderBy(F.col("signal_strength").desc_nulls_last(), "symbol"))
 
 
-def regime_windows(bars: DataFrame) -> DataFrame:
-    """Per symbol: where the last month's return deviation ranks among its quarter deviations, as a window multiplier."""
-    wo, q = W.ordered(SYM), cfg.ADAPTIVE_LOOKBACK
-    prev = F.lag("close").over(wo)
-    ret = bars.select("symbol", "date", "close", prev.alias("_p")).where(F.col("_p").isNotNull()).select(
-        "symbol", "date", div(F.col("close") - F.col("_p"), F.col("_p")).alias("_r"))
-    ret = ret.where(F.col("_r").isNotNull())
+def _multiplier(df: DataFrame) -> DataFrame:
+    """Add ``vol_regime_mult``: where the last month's return deviation ranks among the symbol's quarter deviations.
+
+    Window expressions only, on the partitioning and sort the other indicators use, so the bars are read once.
+    """
+    wo, q, c, all_ = W.ordered(SYM), cfg.ADAPTIVE_LOOKBACK, F.col, W.whole(SYM)
     w63 = W.trailing(SYM, q)
-    marked = ret.select(
-        "symbol", F.count("_r").over(W.whole(SYM)).alias("_n"), F.row_number().over(wo).alias("_i"), "_r",
-        F.when(F.count("_r").over(w63) >= q, F.stddev_samp("_r").over(w63)).alias("_hist"))
-    recent = F.stddev_samp(F.when(F.col("_i") > F.col("_n") - cfg.ADAPTIVE_RECENT, F.col("_r"))).over(W.whole(SYM))
-    ranked = marked.withColumn("_recent", recent).groupBy("symbol").agg(
-        F.max("_n").alias("_n"), F.count("_hist").alias("_h"), F.count_if(F.col("_hist") < F.col("_recent")).alias("_below"))
-    rank = div(F.col("_below"), F.col("_h"))
-    mult = (F.when(F.col("_n") < q, F.lit(1.0)).when(rank >= cfg.ADAPTIVE_HIGH, F.lit(cfg.ADAPTIVE_FAST_MULT))
+    prev = F.lag("close").over(wo)
+    d = df.withColumn("_r", div(c("close") - prev, prev))
+    # The first row has no return, so q returns need q + 1 rows; a missing return inside would shift the frame by one.
+    d = d.select("*", F.count("_r").over(all_).alias("_n"), F.count("_r").over(W.up_to(SYM)).alias("_i"),
+                 F.when(F.count("_r").over(w63) >= q, F.stddev_samp("_r").over(w63)).alias("_hist"))
+    d = d.select("*", F.stddev_samp(F.when(c("_i") > c("_n") - cfg.ADAPTIVE_RECENT, c("_r"))).over(all_).alias("_recent"))
+    d = d.select("*", F.count_if(c("_hist") < c("_recent")).over(all_).alias("_below"), F.count("_hist").over(all_).alias("_h"))
+    rank = div(c("_below"), c("_h"))
+    mult = (F.when(c("_n") < q, F.lit(1.0)).when(rank >= cfg.ADAPTIVE_HIGH, F.lit(cfg.ADAPTIVE_FAST_MULT))
             .when(rank <= cfg.ADAPTIVE_LOW, F.lit(cfg.ADAPTIVE_SLOW_MULT)).otherwise(F.lit(1.0)))
-    out = bars.select("symbol").distinct().join(ranked.select("symbol", mult.alias("_m")), "symbol", "left")
-    out = out.select("symbol", F.coalesce("_m", F.lit(1.0)).alias("mult"))
+    return d.select(*df.columns, mult.alias("vol_regime_mult"))
+
+
+def regime_windows(bars: DataFrame) -> DataFrame:
+    """Per symbol: the window multiplier of its volatility regime and the window sizes that follow from it."""
+    m = _multiplier(bars.select("symbol", "date", "close")).groupBy("symbol").agg(F.max("vol_regime_mult").alias("mult"))
     names = ("rsi", "bb", "atr", "macd_fast", "macd_slow", "macd_signal")
+    sizes = []
     for i, name in enumerate(names):
         pick = F.lit(cfg.REGIME_WINDOWS[1.00][i])
-        for m in (0.70, 1.35):
-            pick = F.when(F.col("mult") == m, F.lit(cfg.REGIME_WINDOWS[m][i])).otherwise(pick)
-        out = out.withColumn(name, pick)
-    return out
+        for k in (0.70, 1.35):
+            pick = F.when(F.col("mult") == k, F.lit(cfg.REGIME_WINDOWS[k][i])).otherwise(pick)
+        sizes.append(pick.alias(name))
+    return m.select("symbol", "mult", *sizes)
 
 
 def _moves(df: DataFrame) -> DataFrame:
@@ -184,11 +189,13 @@ def drawdown(bars: DataFrame, rows: int = cfg.DRAWDOWN_WINDOW) -> DataFrame:
         rnd(F.col("_peak"), 4).alias("rolling_max"))
 
 
-def indicator_suite(bars: DataFrame) -> DataFrame:
-    """The full indicator frame of every symbol; extra columns of ``bars`` pass through."""
+def indicator_suite(bars: DataFrame, complete: bool = False) -> DataFrame:
+    """The full indicator frame of every symbol; extra columns of ``bars`` pass through.
+
+    One shuffle by symbol.  ``complete`` states that no open/high/low/close is missing, as in bars built from ticks.
+    """
     c = F.col
-    mult = regime_windows(bars).select("symbol", c("mult").alias("vol_regime_mult"))
-    base = bars.join(mult, "symbol")
+    base = _multiplier(bars)
     wo = W.ordered(SYM)
     close = c("close")
     if "returns_pct" not in bars.columns:
@@ -213,27 +220,30 @@ def indicator_suite(bars: DataFrame) -> DataFrame:
     out = (out.withColumn("drawdown_pct", rnd(div(close - c("_peak"), c("_peak")), 4))
            .withColumn("rolling_max", rnd(c("_peak"), 4)))
     out = _bands(out, c("_mid"), c("_dev")).drop("_mid", "_dev", "_peak")
-    return _recursive(out)
+    return _recursive(out, complete)
 
 
-def _recursive(df: DataFrame) -> DataFrame:
+def _recursive(df: DataFrame, complete: bool) -> DataFrame:
     """The recursive columns of the suite in two passes: averages of prices and moves, then averages of those."""
     c, mult = F.col, F.col("vol_regime_mult")
     size = {name: {m: v[i] for m, v in cfg.REGIME_WINDOWS.items()}
             for i, name in enumerate(("rsi", "bb", "atr", "fast", "slow", "signal"))}
-    n = cfg.ATR_WINDOW
-    first = E.with_ewm(_moves(df), SYM, [
+    n, w = cfg.ATR_WINDOW, cfg.RSI_WINDOW
+    level1 = [
         E.by_regime("ema_12", "close", mult, size["fast"], True, 4), E.by_regime("ema_26", "close", mult, size["slow"], True, 4),
-        E.by_regime("_g", "_gain", mult, size["rsi"], False, None), E.by_regime("_l", "_loss", mult, size["rsi"], False, None),
-        E.by_regime("atr_14", "_tr", mult, size["atr"], False, 4), E.wilder("_g14", "_gain", cfg.RSI_WINDOW),
-        E.wilder("_l14", "_loss", cfg.RSI_WINDOW), E.wilder("_t", "_tr", n), E.wilder("_p", "_pdm", n), E.wilder("_m", "_mdm", n)])
+        E.by_regime("_g", "_gain", mult, size["rsi"], False, None, 1), E.by_regime("_l", "_loss", mult, size["rsi"], False, None, 1),
+        E.by_regime("atr_14", "_tr", mult, size["atr"], False, 4), E.wilder("_g14", "_gain", w, skip=1),
+        E.wilder("_l14", "_loss", w, skip=1), E.wilder("_t", "_tr", n), E.wilder("_p", "_pdm", n), E.wilder("_m", "_mdm", n)]
+    level2 = [E.by_regime("macd_signal", "macd", mult, size["signal"], True, 4), E.wilder("adx_14", "_dx", n, 4)]
+    numbered = E.number_rows(_moves(df), SYM, "date", E.block_rows(level1 + level2))
+    first = E.with_ewm(numbered, SYM, level1, nulls=not complete)
     mid = first.select(
-        *df.columns, "ema_12", "ema_26", "atr_14", _rsi_value("_g", "_l").alias("rsi_14"), _rsi_value("_g14", "_l14").alias("_r14"),
-        rnd(c("ema_12") - c("ema_26"), 4).alias("macd"), _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di"))
-    second = E.with_ewm(mid.withColumn("_dx", _dx()), SYM, [
-        E.by_regime("macd_signal", "macd", mult, size["signal"], True, 4), E.wilder("adx_14", "_dx", n, 4)])
-    out = _stoch(second.withColumn("macd_hist", rnd(c("macd") - c("macd_signal"), 4)), "_r14", cfg.RSI_WINDOW)
-    return out.drop("_dx", "_r14")
+        *df.columns, "_rn", "_blk", "_i", "ema_12", "ema_26", "atr_14", _rsi_value("_g", "_l").alias("rsi_14"),
+        _rsi_value("_g14", "_l14").alias("_r14"), rnd(c("ema_12") - c("ema_26"), 4).alias("macd"),
+        _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di"))
+    second = E.with_ewm(mid.withColumn("_dx", _dx()), SYM, level2)
+    out = _stoch(second.withColumn("macd_hist", rnd(c("macd") - c("macd_signal"), 4)), "_r14", w)
+    return out.drop("_dx", "_r14", "_rn", "_blk", "_i")
 
 
 def cum_return(bars: DataFrame, min_rows: int = 20) -> DataFrame:

@@ -14,7 +14,7 @@ w7 = w(7, "symbol")
 
 
 def trade_indicators(spark, sf):
-    return I.indicator_suite(P.bar_returns(ohlcv(spark, sf)))
+    return I.indicator_suite(P.bar_returns(ohlcv(spark, sf)), complete=True)
 
 
 def trade_features(spark, sf):
@@ -51,9 +51,9 @@ def cols(text: str) -> list[str]:
 
 
 query("ratio_features", with_("ratios", f"SELECT symbol, date, {RATIO} FROM ratios"))(
-    lambda s, d: X.ratio_features(I.indicator_suite(ohlcv(s, d))).select(*cols(RATIO)))
+    lambda s, d: X.ratio_features(I.indicator_suite(ohlcv(s, d), complete=True)).select(*cols(RATIO)))
 query("interaction_features", with_("feats", f"SELECT symbol, date, {INTER} FROM feats"))(
-    lambda s, d: X.interaction_features(X.ratio_features(I.indicator_suite(ohlcv(s, d)))).select(*cols(INTER)))
+    lambda s, d: X.interaction_features(X.ratio_features(I.indicator_suite(ohlcv(s, d), complete=True))).select(*cols(INTER)))
 query("feature_set", with_("feats", f"SELECT {COLS} FROM feats"))(trade_features)
 
 NORM = ["returns_pct", "rsi_14", "macd_hist", "volume_ratio"]

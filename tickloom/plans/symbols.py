@@ -243,7 +243,7 @@ def ohlcv(spark, sf):
     return S.trade_bars(spark, sf).drop("vwap")
 
 
-query("indicator_suite", with_("suite", "SELECT * FROM suite"))(lambda s, d: I.indicator_suite(ohlcv(s, d)))
+query("indicator_suite", with_("suite", "SELECT * FROM suite"))(lambda s, d: I.indicator_suite(ohlcv(s, d), complete=True))
 
 # --- cleaning and projections ------------------------------------------------------------------------------------------
 query("price_status_tier", with_("event_prices", """

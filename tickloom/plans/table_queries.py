@@ -139,7 +139,7 @@ query("macro_series", with_("trade_bars", """
     lambda s, d: ING.macro_series(S.trade_bars(s, d).select(F.col("symbol").alias("series_alias"), "date",
                                                            F.col("vwap").alias("value")), F.lit(MACRO_DAY)))
 query("symbol_json_export")(lambda s, d: store.symbol_json(
-    I.indicator_suite(ohlcv(s, d)), ["date", "close", "sma_20", "sma_50", "rsi_14", "macd", "macd_signal", "macd_hist",
+    I.indicator_suite(ohlcv(s, d), complete=True), ["date", "close", "sma_20", "sma_50", "rsi_14", "macd", "macd_signal", "macd_hist",
                                      "bb_upper", "bb_lower"]))
 
 # --- sentiment -------------------------------------------------------------------------------------------------------
@@ -356,7 +356,7 @@ query("dq_bars", with_("messy event_bars", tidy(
 query("dq_features", with_("suite", " UNION ALL ".join(
     f"SELECT symbol, '{x}' AS \"column\", {r(f'count_if({x} IS NULL) / count(*)', 6)} AS null_rate, CASE WHEN count_if({x} IS NULL) "
     f"/ count(*) > 0.5 THEN 'warning' ELSE 'ok' END AS severity FROM suite GROUP BY symbol" for x in Q.KEY_INDICATORS)))(
-    lambda s, d: Q.dq_features(I.indicator_suite(ohlcv(s, d))))
+    lambda s, d: Q.dq_features(I.indicator_suite(ohlcv(s, d), complete=True)))
 
 # --- calendar --------------------------------------------------------------------------------------------------------
 OBS = "CASE isodow({d}) WHEN 6 THEN {d} - 1 WHEN 7 THEN {d} + 1 ELSE {d} END"

@@ -16,6 +16,10 @@ def local_session(cpus: int | str | None = None, app: str = "tickloom", **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Local data is small: keep all cores busy instead of merging it into one partition.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        # Skip the Python call-site capture of every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)

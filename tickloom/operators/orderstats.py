@@ -34,7 +34,8 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, bins: int = BI
     single = keys == ["_all"]
     small = F.broadcast if single else (lambda d: d)
     vc = value_counts(df, keys, value)
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value))
+    # ``n`` in the order keeps the counts in this branch too, so all branches read one and the same shuffle.
+    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(value), F.col(value), F.col("n"))
     step = max(1, SAMPLE // bins)
     cuts = (
         vc.select(*keys, value, F.row_number().over(by_hash).alias("_r")).where(F.col("_r") <= SAMPLE)

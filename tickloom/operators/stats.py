@@ -87,18 +87,22 @@ def null_dup_audit(prices: DataFrame) -> DataFrame:
         F.count_if(F.col("price") <= 0).alias("invalid_prices"))
 
 
-def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",)) -> DataFrame:
-    """Add an average-tie rank ``r_<column>`` within each group."""
-    for c in columns:
-        rv = ranked_values(df, by, c).select(*by, c, average_rank().alias(f"r_{c}"))
-        df = df.join(rv, [*by, c], "left")
-    return df
+def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",), ids: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Average-tie rank ``r_<column>`` of every column within each group; ``ids`` identify a row inside its group.
 
+    The columns are stacked, so one ranking serves them all.
+    """
+    by, ids = list(by), list(ids)
+    long = df.select(*by, *ids, *columns).unpivot([*by, *ids], list(columns), "_col", "_v")
+    rv = ranked_values(long, [*by, "_col"], "_v").select(*by, "_col", "_v", average_rank().alias("_rank"))
+    return long.join(rv, [*by, "_col", "_v"]).groupBy(*by, *ids).agg(*[
+        F.max(F.when(F.col("_col") == x, F.col("_rank"))).alias(f"r_{x}") for x in columns])
 
-def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",)) -> DataFrame:
+
+def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",), ids: Sequence[str] = ("symbol",)) -> DataFrame:
     """Spearman ρ of every column pair per group, with strength, direction and the t statistic."""
     by = list(by)
-    ranked = with_ranks(df.select(*by, *columns).dropna(), columns, by)
+    ranked = with_ranks(df.select(*by, *ids, *columns).dropna(), columns, by, ids)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     wide = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])

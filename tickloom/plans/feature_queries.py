@@ -9,6 +9,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.sqlviews import CTE, r, skew_sql, w, with_
 from tickloom.plans.symbols import RETURNS, lag, ohlcv
 from tickloom.sources import sample as S
+from tickloom.streaming.runtime import stored
 
 w7 = w(7, "symbol")
 
@@ -21,6 +22,11 @@ def trade_features(spark, sf):
     return X.feature_set(trade_indicators(spark, sf))
 
 
+def stored_features(spark, sf):
+    """The feature table as the multi-pass rankings read it: written once."""
+    return stored(trade_features(spark, sf), "features")
+
+
 def off(a: str, b: str) -> str:
     return r(f"{a} / nullif({b}, 0) - 1", 4)
 
@@ -86,7 +92,7 @@ query("mutual_information", with_("mi_long", f"""
                  (sum(n) OVER (PARTITION BY feature, xb) / sum(n) OVER (PARTITION BY feature))
                  * (sum(n) OVER (PARTITION BY feature, yb) / sum(n) OVER (PARTITION BY feature)) AS q FROM j)
     SELECT feature, greatest(0.0, {r('sum(p * ln(p / q))', 6)}) AS mutual_information FROM p GROUP BY feature""")
-      .replace(")\n\n    , xe", "),\n xe"))(lambda s, d: X.mutual_information(trade_features(s, d), FEATS))
+      .replace(")\n\n    , xe", "),\n xe"))(lambda s, d: X.mutual_information(stored_features(s, d), FEATS))
 
 
 def rel(x: str) -> str:
@@ -97,7 +103,7 @@ def rel(x: str) -> str:
 query("variance_filter", with_("whole", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, {i + 1}::INTEGER AS position, coalesce(var_samp({f}) >= 1e-5, true) AS kept, "
     f"{r(f'log10(nullif(var_samp({f}), 0))', 4)} AS log_variance FROM whole" for i, f in enumerate(FEATS))))(
-    lambda s, d: X.variance_filter(trade_features(s, d), FEATS).select(
+    lambda s, d: X.variance_filter(stored_features(s, d), FEATS).select(
         "feature", "position", "kept", X.rnd(F.log10(F.nullif("variance", F.lit(0.0))), 4).alias("log_variance")))
 
 SMALL = FEATS[:20]
@@ -107,7 +113,7 @@ query("correlation_filter", with_("whole20", "SELECT feature, position, max(a) A
           [f"SELECT '{SMALL[0]}' AS feature, 1::INTEGER AS position, NULL::DOUBLE AS a"] +
           [f"SELECT '{SMALL[j]}', {j + 1}, abs({r(f'corr({SMALL[i]}, {SMALL[j]})', 6)}) FROM whole20"
            for j in range(len(SMALL)) for i in range(j)]) + ") GROUP BY feature, position"))(
-    lambda s, d: X.correlation_filter(trade_features(s, d), SMALL))
+    lambda s, d: X.correlation_filter(stored_features(s, d), SMALL))
 query("select_features", with_("whole20", """
     , v AS (SELECT * FROM (""" + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, {i + 1}::INTEGER AS position, var_samp({f}) AS v FROM whole20" for i, f in enumerate(SMALL))
@@ -117,4 +123,4 @@ query("select_features", with_("whole20", """
         for j in range(len(SMALL)) for i in range(j)) + """)
     SELECT feature, position FROM v WHERE feature NOT IN (
         SELECT feature FROM c WHERE a >= 0.92 AND earlier IN (SELECT feature FROM v))""").replace(")\n\n    , v", "),\n v"))(
-    lambda s, d: X.select_features(trade_features(s, d), SMALL))
+    lambda s, d: X.select_features(stored_features(s, d), SMALL))

@@ -18,6 +18,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the work folder and read it back: later passes scan a table instead of repeating the lineage."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query and surface its error."""
     query.awaitTermination()

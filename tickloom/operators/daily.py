@@ -14,6 +14,7 @@ from tickloom.functions.numeric import adjusted_kurtosis, adjusted_skew, div, rn
 from tickloom.operators.ewm import span, with_ewm
 
 U = ["universe"]
+KEY = ["universe", "date"]
 
 
 def breadth_share():
@@ -22,23 +23,27 @@ def breadth_share():
 
 
 def _cross_section(df: DataFrame) -> DataFrame:
-    """Counts, moments and extremes of ``pct_change`` per (universe, date); ties go to the first symbol."""
-    pct, chg = F.col("pct_change"), F.col("change")
-    known = pct.isNotNull()
+    """Counts, moments and extremes of ``pct_change`` per (universe, date); ties go to the first symbol.
+
+    The first aggregate has only fixed-width buffers, so it runs as a hash aggregate without sorting the rows.  The
+    names of the extremes come from a second pass that keeps just the rows at a day's highest or lowest change.
+    """
+    pct, chg, c = F.col("pct_change"), F.col("change"), F.col
     g = df.groupBy("universe", "date").agg(
         F.count_if(chg > 0).alias("n_gainers"), F.count_if(chg < 0).alias("n_losers"),
         F.count_if(chg == 0).alias("n_flat"), F.avg(pct).alias("_avg"), F.stddev_samp(pct).alias("_sd"),
         F.skewness(pct).alias("_g1"), F.kurtosis(pct).alias("_g2"), F.count(pct).alias("_n"),
-        F.min(F.when(known, F.struct((-pct).alias("v"), F.col("symbol").alias("s")))).alias("_best"),
-        F.min(F.when(known, F.struct(pct.alias("v"), F.col("symbol").alias("s")))).alias("_worst"))
-    return g.select(
+        F.max(pct).alias("best_pct"), F.min(pct).alias("worst_pct"))
+    ends = g.select("universe", "date", c("best_pct").alias("_hi"), c("worst_pct").alias("_lo"))
+    who = (df.select("universe", "date", "symbol", "pct_change").join(ends, KEY).where((pct == c("_hi")) | (pct == c("_lo")))
+           .groupBy(*KEY).agg(F.min(F.when(pct == c("_hi"), c("symbol"))).alias("best_stock"),
+                              F.min(F.when(pct == c("_lo"), c("symbol"))).alias("worst_stock")))
+    return g.join(who, KEY, "left").select(
         "universe", "date", "n_gainers", "n_losers", "n_flat", "_n", "_sd",
-        rnd(F.col("_avg"), 6).alias("avg_pct"), rnd(F.col("_sd"), 6).alias("volatility"),
-        rnd(adjusted_skew(F.col("_g1"), F.col("_n"), F.col("_sd")), 4).alias("skew_pct"),
-        rnd(adjusted_kurtosis(F.col("_g2"), F.col("_n"), F.col("_sd")), 4).alias("kurt_pct"),
-        breadth_share().alias("breadth_pct"), F.col("_best.s").alias("best_stock"),
-        (-F.col("_best.v")).alias("best_pct"), F.col("_worst.s").alias("worst_stock"),
-        F.col("_worst.v").alias("worst_pct"))
+        rnd(c("_avg"), 6).alias("avg_pct"), rnd(c("_sd"), 6).alias("volatility"),
+        rnd(adjusted_skew(c("_g1"), c("_n"), c("_sd")), 4).alias("skew_pct"),
+        rnd(adjusted_kurtosis(c("_g2"), c("_n"), c("_sd")), 4).alias("kurt_pct"),
+        breadth_share().alias("breadth_pct"), "best_stock", "best_pct", "worst_stock", "worst_pct")
 
 
 def daily_breadth(prices: DataFrame) -> DataFrame:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickloom.functions.numeric import div
 from tickloom.functions.windows import ordered
 
 
-def tick_day(ts: Column) -> Column:
-    return ts.cast("date")
+def tick_order(ts: Column, tie: Column) -> Column:
+    """(ts, tie) as one exact number, for a timestamp_ntz and a non-negative bigint.
+
+    ``min_by`` on a fixed-width key runs as a hash aggregate; on a struct it would sort every tick first.
+    """
+    # Built from the fields, so no session time zone and no daylight-saving hole is involved.
+    minutes = (F.unix_date(ts.cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts))
+    micros = minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return (micros.cast(T.DecimalType(18, 0)) * F.lit(Decimal(10) ** 19) + tie.cast(T.DecimalType(19, 0))).cast(T.DecimalType(38, 0))
 
 
 def bar_aggs(value: str, order: Column, volume: Column | None = None) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.functions.numeric import div, rnd
 from tickloom.functions.windows import whole
 from tickloom.operators.sentiment import lexicon_score
-from tickloom.sources.market import bars_from_ticks, prices_from_bars
+from tickloom.sources.market import bars_from_ticks, prices_from_bars, tick_order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_ticks(event_ticks(spark, sf_dir), "value", F.struct("ts", "event_id"))
+    return bars_from_ticks(event_ticks(spark, sf_dir), "value", tick_order(F.col("ts"), F.col("event_id")))
 
 
 def event_prices(spark: SparkSession, sf_dir: str) -> DataFrame:

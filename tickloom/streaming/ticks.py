@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickloom import config as cfg
 from tickloom.functions.numeric import div, rnd
 from tickloom.operators.preprocess import keep_one
-from tickloom.sources.market import bar_aggs
+from tickloom.sources.market import bar_aggs, tick_order
 from tickloom.streaming.runtime import drain
 
 SYM = ["symbol"]
@@ -37,7 +37,7 @@ def bar_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     """Daily bars by event time: the batch aggregates over a tumbling one-day window."""
     day = F.window("event_time", "1 day")
     return (ticks.withWatermark("event_time", delay).groupBy("symbol", day)
-            .agg(*bar_aggs("value", F.struct("ts", "event_id")), F.min("date").alias("date"))
+            .agg(*bar_aggs("value", tick_order(F.col("ts"), F.col("event_id"))), F.min("date").alias("date"))
             .select("symbol", "date", "open", "high", "low", "close", "volume"))
 
 

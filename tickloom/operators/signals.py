@@ -121,7 +121,8 @@ def risk_scores(enriched: DataFrame) -> DataFrame:
     fall = (c("hist_peak") - c("price")) / F.greatest(c("hist_peak"), F.lit(0.001)) * 100
     drawdown = F.when(c("hist_peak").isNotNull(), F.greatest(F.lit(0.0), fall)).otherwise(F.lit(0.0))
     out = enriched.select("universe", "symbol", "date", vol_ratio.alias("_v"), z.alias("_z"), drawdown.alias("_d"))
-    score = F.least(rnd(c("_v") * 30 + c("_z") * 40 + c("_d") * 0.3, 2), F.lit(100.0))
+    raw = rnd(c("_v") * 30 + c("_z") * 40 + c("_d") * 0.3, 2)
+    score = F.when(raw > 100, F.lit(100.0)).otherwise(raw)  # ``least`` would turn a missing score into 100
     return out.select("universe", "symbol", "date", score.alias("risk_score"), ladders.risk_label(score).alias("risk_label"),
                       rnd(c("_v"), 4).alias("vol_ratio"), rnd(c("_z"), 4).alias("hist_z"), rnd(c("_d"), 4).alias("drawdown"))
 

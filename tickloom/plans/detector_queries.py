@@ -102,7 +102,7 @@ query("all_signals", with_("te", ALL_SIGNALS))(lambda s, d: G.all_signals(trade_
 
 SCORE = r("v * 30 + z * 40 + dd * 0.3", 2)
 RISK = f"""
-    SELECT symbol, date, least({SCORE}, 100.0) AS risk_score, CASE WHEN {SCORE} >= 70 THEN 'High Risk'
+    SELECT symbol, date, CASE WHEN {SCORE} > 100 THEN 100.0 ELSE {SCORE} END AS risk_score, CASE WHEN {SCORE} >= 70 THEN 'High Risk'
            WHEN {SCORE} >= 40 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_label, {r('v', 4)} AS vol_ratio,
            {r('z', 4)} AS hist_z, {r('dd', 4)} AS drawdown
     FROM (SELECT symbol, date, abs(pct_change) / greatest(baseline_vol, 0.001) AS v,

@@ -116,7 +116,7 @@ query("tier_counts", with_("event_prices", f"""
 def box(group: str, name: str, value: str) -> str:
     ok = "v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)"
     return with_("event_prices", f"""
-        SELECT date, {name}, count(*) AS n, count_if(NOT ({ok}))::BIGINT AS n_outliers, {r(f'min(v) FILTER ({ok})', 4)} AS whisker_low,
+        SELECT date, {name}, count(v) AS n, count_if(NOT ({ok}))::BIGINT AS n_outliers, {r(f'min(v) FILTER ({ok})', 4)} AS whisker_low,
                {r('q1', 4)} AS q1, {r('q2', 4)} AS median, {r('q3', 4)} AS q3, {r(f'max(v) FILTER ({ok})', 4)} AS whisker_high
         FROM (SELECT date, {group} AS {name}, {value} AS v, quantile_cont({value}, 0.25) OVER g AS q1,
                      quantile_cont({value}, 0.5) OVER g AS q2, quantile_cont({value}, 0.75) OVER g AS q3
@@ -189,16 +189,18 @@ def ranked(df, order, n, by=("date",)):
 
 def top_movers(p):
     pct = F.col("pct_change")
-    up = ranked(p, [pct.desc(), F.col("symbol")], 10).withColumn("list", F.lit("gainers"))
-    down = ranked(p, [pct.asc(), F.col("symbol")], 10).withColumn("list", F.lit("losers"))
+    known = p.where(pct.isNotNull())
+    up = ranked(known, [pct.desc(), F.col("symbol")], 10).withColumn("list", F.lit("gainers"))
+    down = ranked(known, [pct.asc(), F.col("symbol")], 10).withColumn("list", F.lit("losers"))
     swing = ranked(p, [F.abs("change").desc(), F.col("symbol")], 15).withColumn("list", F.lit("swings"))
     return up.unionByName(down).unionByName(swing).select("list", "date", "rank", "symbol", "pct_change", "change")
 
 
 query("top_movers", with_("event_prices", " UNION ALL ".join(
     f"SELECT '{name}' AS list, date, rank, symbol, pct_change, change FROM (SELECT *, (row_number() OVER (PARTITION BY date "
-    f"ORDER BY {o}, symbol))::INTEGER AS rank FROM event_prices) WHERE rank <= {n}"
-    for name, o, n in (("gainers", "pct_change DESC", 10), ("losers", "pct_change", 10), ("swings", "abs(change) DESC", 15)))))(
+    f"ORDER BY {o}, symbol))::INTEGER AS rank FROM event_prices WHERE {k} IS NOT NULL) WHERE rank <= {n}"
+    for name, o, k, n in (("gainers", "pct_change DESC", "pct_change", 10), ("losers", "pct_change", "pct_change", 10),
+                          ("swings", "abs(change) DESC", "change", 15)))))(
     lambda s, d: top_movers(ep(s, d)))
 query("screener_latest", with_("event_prices", """
     SELECT symbol, price, change, pct_change FROM event_prices WHERE date = (SELECT max(date) FROM event_prices)"""))(

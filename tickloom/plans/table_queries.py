@@ -87,7 +87,7 @@ def quote_payloads(spark, sf):
 
 query("quotes_from_json", with_("event_prices", f"""
     SELECT date, symbol, symbol || ' Inc' AS company_name, {r('price', 2)} AS price, {r('change', 4)} AS change,
-           {r('pct_change', 4)} AS pct_change FROM event_prices WHERE price > 0"""))(
+           {r('pct_change', 4)} AS pct_change FROM event_prices WHERE price > 0 AND pct_change IS NOT NULL"""))(
     lambda s, d: ING.quotes_from_json(quote_payloads(s, d), keep=["date"]))
 query("event_props_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(
     lambda s, d: S.table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))

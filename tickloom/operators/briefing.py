@@ -136,7 +136,8 @@ def risk_text(risk: DataFrame) -> DataFrame:
     g = risk.groupBy("date").agg(
         F.count(lit(1)).alias("n"), F.count_if(c("risk_label") == "High Risk").alias("hi"),
         F.count_if(c("risk_label") == "Medium Risk").alias("mid"), F.count_if(c("risk_label") == "Low Risk").alias("lo"),
-        F.min(F.struct((-c("risk_score")).alias("k"), c("symbol").alias("s"), c("risk_score").alias("v"))).alias("w"))
+        F.min(F.when(c("risk_score").isNotNull(), F.struct((-c("risk_score")).alias("k"), c("symbol").alias("s"),
+                                                           c("risk_score").alias("v")))).alias("w"))
 
     def s(x):
         return c(x).cast("string")

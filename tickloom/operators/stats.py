@@ -194,7 +194,7 @@ def session_scalars(prices: DataFrame) -> DataFrame:
         F.count_if(chg > 0).alias("n_gain"), F.count_if(chg < 0).alias("n_loss"), F.count(F.lit(1)).alias("_n"),
         (F.max(pct) - F.min(pct)).alias("_span"), F.count_if(F.abs(pct) >= 5).alias("high_move_count"),
         F.count_if(F.col("price") < 25).alias("low_price_count"),
-        F.min(F.struct((-F.abs(chg)).alias("v"), F.col("symbol").alias("s"))).alias("_big"),
+        F.min(F.when(chg.isNotNull(), F.struct((-F.abs(chg)).alias("v"), F.col("symbol").alias("s")))).alias("_big"),
         F.skewness("price").alias("_g1"), F.stddev_samp("price").alias("_sd"))
     gain, loss = F.col("n_gain"), F.col("n_loss")
     skew = rnd(adjusted_skew(F.col("_g1"), F.col("_n"), F.col("_sd")), 4)

@@ -13,6 +13,7 @@ from tickloom.plans.market import event_hist, trade_hist
 from tickloom.plans.registry import query
 from tickloom.plans.sqlviews import CTE, ema_sql, ewm_sql, r, w, with_
 from tickloom.sources import sample as S
+from tickloom.sources.ingest import pct_recompute
 
 w7, w20, w30, w50 = (w(n, "symbol") for n in (7, 20, 30, 50))
 LAG = "lag({}) OVER (PARTITION BY symbol ORDER BY date)"
@@ -257,12 +258,6 @@ query("price_status_tier", with_("event_prices", """
         ladders.price_tier(F.col("price")).alias("price_tier")))
 
 
-def pct_recompute(prices):
-    """Percent change from price and change where the change is large enough; the stored value otherwise."""
-    again = rnd(div(F.col("change"), F.col("price") - F.col("change")) * 100, 2)
-    return prices.withColumn("pct_change", F.when(F.abs("change") >= 0.01, again).otherwise(F.col("pct_change")))
-
-
 query("pct_recompute", with_("event_prices", f"""
     SELECT symbol, date, CASE WHEN abs(change) >= 0.01 THEN {r('change / nullif(price - change, 0) * 100', 2)}
                               ELSE pct_change END AS pct_change FROM event_prices"""))(

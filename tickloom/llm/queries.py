@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate
+from tickloom.llm import decontaminate, packing
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -29,3 +29,8 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 @query("op7_decontamination", OP7_SQL)
 def op7(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_packing")
+def op2(spark, sf_dir):
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))

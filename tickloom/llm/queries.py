@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, packing
+from tickloom.llm import decontaminate, packing, toxicity
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -34,3 +34,8 @@ def op7(spark, sf_dir):
 @query("op2_packing")
 def op2(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, packing, toxicity
+from tickloom.llm import decontaminate, packing, secrets, toxicity
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -39,3 +39,8 @@ def op2(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_secrets")
+def op3(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))

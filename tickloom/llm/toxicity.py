@@ -25,14 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import LOWER, fold, prefix_hash, slices, span_hash, utf8
+from tickloom.llm.text import LOWER, fold, mix, prefix_hash, slices, span_hash, utf8
 
 ORDER, DECAY, ACTIVE = 3, 0.5, 0.3
 LANDMARKS, GRAMS = 64, (4, 5, 6)
 TRAIN_ROWS, TRAIN_BYTES = 1500, 12 << 20
 THRESHOLD = 0.7
+CHUNK = 4096  # words compared at once
 WIDTH = 24  # letters compared at once; longer words are compared in overlapping parts
 
+_LENGTHS = ((0, 8), (8, 11), (11, 15), (15, WIDTH + 2))  # words of like length are compared together
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -86,6 +88,8 @@ def matrix(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The subsequence kernel of each row of ``a`` with the same row of ``b`` (or its only row); zero bytes match nothing."""
     n, s, t = len(a), a.shape[1], b.shape[1]
+    if n > CHUNK:
+        return np.concatenate([kernel(a[k:k + CHUNK], b if len(b) == 1 else b[k:k + CHUNK]) for k in range(0, n, CHUNK)])
     same = [[((a[:, i] == b[:, j]) & (a[:, i] > 0)).astype(np.float32) * np.float32(DECAY ** 2) for j in range(t)] for i in range(s)]
     total = np.zeros(n, dtype=np.float32)
     inner = None  # weights of common subsequences of the previous length that end before (i, j), up to there
@@ -140,18 +144,21 @@ class Model:
         out = np.zeros((len(rows), len(self.rows)), dtype=np.float32)
         pairs = _pairs(rows, (1, 2))
         near = [np.flatnonzero(np.bitwise_count(pairs & m).sum(1) > 0.5 * np.bitwise_count(m).sum()) for m in self.pairs]
-        used = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
-        own = np.zeros(len(rows), dtype=np.float32)
         lengths = (rows > 0).sum(1)
-        for lo, hi in ((0, 8), (8, 13), (13, WIDTH + 2)):
-            some = used[(lengths[used] > lo) & (lengths[used] <= hi)]
-            if len(some):
-                own[some] = kernel(rows[some, :hi], rows[some, :hi])
+        # A word's own kernel value is at least that of its runs of three characters, which rules most pairs out early.
+        least = np.maximum(lengths - ORDER + 1, 1) * DECAY ** (2 * ORDER) * ACTIVE ** 2
         for k, at in enumerate(near):
-            for lo, hi in ((0, 8), (8, 13), (13, WIDTH + 2)):
-                some = at[(lengths[at] > lo) & (lengths[at] <= hi) & (own[at] > 0)]
+            for lo, hi in _LENGTHS:
+                some = at[(lengths[at] > lo) & (lengths[at] <= hi)]
                 if len(some):
-                    out[some, k] = kernel(rows[some, :hi], self.rows[k]) / np.sqrt(own[some] * self.own[k])
+                    out[some, k] = kernel(rows[some, :hi], self.rows[k])
+            out[at[out[at, k] ** 2 < least[at] * self.own[k]], k] = 0
+        used = np.flatnonzero(out.any(1))
+        for lo, hi in _LENGTHS:
+            some = used[(lengths[used] > lo) & (lengths[used] <= hi)]
+            if len(some):
+                own = kernel(rows[some, :hi], rows[some, :hi])
+                out[some] /= np.sqrt(own[:, None] * np.array(self.own, dtype=np.float32))
         out[out < ACTIVE] = 0
         return out
 
@@ -195,38 +202,70 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -30, 30)))
 
 
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct character sequences per row: row, hash, place, and the fenced words they are read from (a place is start * 8 + length)."""
+    letters, start, end, row, _ = tokens(column)
+    size = end - start + 2
+    first = np.cumsum(size) - size
+    fenced = np.full(int(size.sum()), 36, dtype=np.uint8)
+    inside = np.arange(len(fenced)) - np.repeat(first, size)
+    middle = (inside > 0) & (inside < np.repeat(size, size) - 1)
+    fenced[first] = 94
+    fenced[middle] = letters[(np.repeat(start, size) + inside - 1)[middle]]
+    sums, left, owner = prefix_hash(fenced), np.repeat(size, size) - inside, np.repeat(row, size)
+    out = []
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        h = span_hash(sums, at, at + n)
+        _, some = np.unique(h ^ mix(owner[at].astype(np.uint64) + np.uint64(1)), return_index=True)
+        out.append((owner[at[some]], h[some], at[some] * 8 + n))
+    return *(np.concatenate(c) for c in zip(*out)), fenced
+
+
+def chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """The texts as columns of about ``size`` characters, each with the number of its first text."""
+    start = spent = 0
+    for k, text in enumerate(texts):
+        spent += len(text or "")
+        if spent >= size or k + 1 == len(texts):
+            yield start, pa.array(texts[start:k + 1], pa.string())
+            start, spent = k + 1, 0
+
+
 def choose_landmarks(texts: list[str | None], labels: np.ndarray) -> list[bytes]:
     """Character sequences of toxic documents, by documents covered and not yet covered times the log ratio of their shares."""
-    per_doc: list[set[bytes]] = []
-    grams_of: dict[bytes, set[bytes]] = {}
-    for text in texts:
-        letters, start, end, _, _ = tokens(pa.array([text], pa.string()))
-        data, own = letters.tobytes(), set()
-        for word in {data[a:b] for a, b in zip(start.tolist(), end.tolist())}:
-            if word not in grams_of:
-                w = b"^" + word + b"$"
-                grams_of[word] = {w[i:i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-            own |= grams_of[word]
-        per_doc.append(own)
-    toxic, clean = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    count: dict[bytes, int] = {}
-    for d in toxic:
-        for g in per_doc[d]:
-            count[g] = count.get(g, 0) + 1
-    least = max(2, len(toxic) // 200)
-    other = dict.fromkeys((g for g, n in count.items() if n >= least), 0)
-    for d in clean:
-        for g in per_doc[d] & other.keys():
-            other[g] += 1
-    gain = {g: math.log(((count[g] + 0.5) / (len(toxic) + 1)) / ((n + 0.5) / (len(clean) + 1))) for g, n in other.items()}
-    pool = sorted((g for g, x in gain.items() if x > math.log(4)), key=lambda g: (-gain[g] * count[g], g))[:4000]
-    if not pool:
+    toxic, clean = [t for t, y in zip(texts, labels) if y == 1], [t for t, y in zip(texts, labels) if y == 0]
+    found = [(k, start, _grams(column)) for k, (start, column) in enumerate(chunks(toxic))]
+    hashes, first, count = np.unique(np.concatenate([g[1] for _, _, g in found]), return_index=True, return_counts=True)
+    some = count >= max(2, len(toxic) // 200)
+    hashes, first, count = hashes[some], first[some], count[some]
+    if not len(hashes):
+        return []
+    other = np.zeros(len(hashes), np.int64)
+    for _, column in chunks(clean):
+        h = _grams(column)[1]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        np.add.at(other, at[hashes[at] == h], 1)
+    gain = np.log((count + 0.5) / (len(toxic) + 1)) - np.log((other + 0.5) / (len(clean) + 1))
+    pool = np.flatnonzero(gain > math.log(4))
+    pool = np.sort(pool[np.argsort(-(gain * count)[pool], kind="stable")][:4000])
+    if not len(pool):
         return []
-    cover = np.array([[g in per_doc[d] for d in toxic] for g in pool], dtype=np.float32)
-    worth, weight, chosen = np.array([gain[g] for g in pool]), np.ones(len(toxic), dtype=np.float32), []
+    cover = np.zeros((len(pool), len(toxic)), dtype=np.float32)
+    names, base = [b""] * len(pool), 0
+    for _, start, (row, h, place, fenced) in found:
+        at = np.minimum(np.searchsorted(hashes[pool], h), len(pool) - 1)
+        hit = np.flatnonzero(hashes[pool][at] == h)
+        cover[at[hit], row[hit] + start] = 1
+        for k in np.flatnonzero((first[pool] >= base) & (first[pool] < base + len(h))):
+            p = int(place[first[pool[k]] - base])
+            names[k] = fenced[p >> 3:(p >> 3) + (p & 7)].tobytes()
+        base += len(h)
+    worth = gain[pool] * np.array([1 + 0.1 * len(g) for g in names])  # of sequences with the same documents the longest says most
+    weight, chosen = np.ones(len(toxic), dtype=np.float32), []
     for _ in range(min(LANDMARKS, len(pool))):
         k = int(np.argmax((cover @ weight) * worth))
-        chosen.append(pool[k])
+        chosen.append(names[k])
         weight *= np.where(cover[k] > 0, 0.5, 1)
         worth[k] = 0
     return chosen
@@ -273,14 +312,15 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     gram = np.stack([kernel(np.repeat(pad[k:k + 1], len(marks), 0), pad) for k in range(len(marks))]) / np.sqrt(np.outer(model.own, model.own))
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    rows, found = model.sentences(pa.array(texts, pa.string()))
+    parts = [(start, model.sentences(column)) for start, column in chunks(texts)]
+    rows, found = np.concatenate([r + start for start, (r, _) in parts]), np.vstack([v for _, (_, v) in parts])
     worst = [int(at[np.argmax(found[at].sum(1))]) for d in np.flatnonzero(y == 1) if len(at := np.flatnonzero(rows == d))]
     calm = np.flatnonzero(y[rows] == 0)
     x = np.vstack((found[worst], found[calm], np.zeros((max(1, len(worst)), len(marks)))))
     side = np.concatenate((np.ones(len(worst)), -np.ones(len(x) - len(worst))))
     w, model.bias = _machine(x @ root, side)
     model.weights = root @ w
-    model.slope, model.shift = _logistic(model.margins(pa.array(texts, pa.string())), np.where(y == 1, 1, -1))
+    model.slope, model.shift = _logistic(np.concatenate([model.margins(c) for _, c in chunks(texts)]), np.where(y == 1, 1, -1))
     return model
 
 
@@ -315,7 +355,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, limit=16 << 20):
+            for piece in slices(batch, limit=8 << 20):
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shared.value.scores(piece.column("text")), pa.float64())], names=names)
 
     return docs.mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))

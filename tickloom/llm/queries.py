@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, packing, secrets, toxicity
+from tickloom.llm import decontaminate, packing, quality, secrets, toxicity
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -44,3 +44,8 @@ def op9(spark, sf_dir):
 @query("op3_secrets")
 def op3(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, packing, quality, secrets, toxicity
+from tickloom.llm import decontaminate, packing, quality, secrets, toxicity, url_filter
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -49,3 +49,8 @@ def op3(spark, sf_dir):
 @query("op4_quality")
 def op4(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_url_filter")
+def op10(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))

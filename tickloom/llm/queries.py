@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, packing, quality, secrets, toxicity, url_filter
+from tickloom.llm import decontaminate, packing, pseudonyms, quality, secrets, toxicity, url_filter
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -54,3 +54,8 @@ def op4(spark, sf_dir):
 @query("op10_url_filter")
 def op10(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op8_pseudonyms")
+def op8(spark, sf_dir):
+    return pseudonyms.report(table(spark, sf_dir, "documents"), key="a key of the caller")

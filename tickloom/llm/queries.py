@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, packing, pseudonyms, quality, secrets, toxicity, url_filter
+from tickloom.llm import decontaminate, fingerprints, packing, pseudonyms, quality, secrets, toxicity, url_filter
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -59,3 +59,8 @@ def op10(spark, sf_dir):
 @query("op8_pseudonyms")
 def op8(spark, sf_dir):
     return pseudonyms.report(table(spark, sf_dir, "documents"), key="a key of the caller")
+
+
+@query("op1_fingerprints")
+def op1(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))

@@ -1,6 +1,6 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, fingerprints, jaccard_join, packing, pseudonyms, quality, secrets, toxicity, url_filter
+from tickloom.llm import decontaminate, fingerprints, jaccard_join, packing, pseudonyms, quality, secrets, suffix_dedup, toxicity, url_filter
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -69,3 +69,8 @@ def op1(spark, sf_dir):
 @query("op6_jaccard_join")
 def op6(spark, sf_dir):
     return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))

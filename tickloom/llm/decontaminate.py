@@ -6,7 +6,7 @@ binary-searched in it, which yields all places where it stands; neighbouring win
 
 A window is 13 consecutive words of an item; an item with fewer words, but not none, is one window.  A document word inside an occurrence
 of a window is hit.  Null or wordless documents have 0 words and are clean; null or wordless items match nothing; repeated items (same or
-different ids) each count; repeated documents are judged row by row; other columns pass through ``decontaminate`` untouched.
+different ids) each count; repeated documents are judged row by row; other columns, whatever their names, pass through ``decontaminate``.
 
 The windows are broadcast in parts of at most ``PART_BYTES`` of benchmark text, so a task never holds more than one part's index.
 """
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import runs, slices, stored, words
+from tickloom.llm.text import fresh, runs, slices, stored, words
 
 WINDOW = 13
 PART_BYTES = 16 << 20
@@ -86,12 +86,13 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str, st
         yield [tuple(r) for r in part.collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, item_ids (those with occurring windows, sorted as strings) and contaminated."""
+def scan(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three more columns, and their names: packed runs of hit words, ids of the occurring items (as sorted strings), words."""
     spark, plain = docs.sparkSession, docs.columns
-    schema = T.StructType(docs.schema.fields + [T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType())),
-                                                T.StructField("_words", T.LongType())])
-    out = docs.withColumns({"_hits": F.lit(b""), "_items": F.array().cast("array<string>"), "_words": F.lit(0).cast("long")})
+    added = fresh(docs, "_hits", "_items", "_words")
+    schema = T.StructType(docs.schema.fields + [T.StructField(added[0], T.BinaryType()), T.StructField(added[1], T.ArrayType(T.StringType())),
+                                                T.StructField(added[2], T.LongType())])
+    out = docs.withColumns(dict(zip(added, (F.lit(b""), F.array().cast("array<string>"), F.lit(0).cast("long")))))
     for k, items in enumerate(_parts(benchmark, part_bytes)):
         shared = spark.sparkContext.broadcast(items)
 
@@ -100,27 +101,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) ->
             for batch in batches:
                 for piece in slices(batch):
                     at, window, bounds = windows.search(piece.column("text"))
-                    hits, found = _per_row(windows, at, window, bounds, piece)
-                    base = [c for i, c in enumerate(piece.columns) if piece.schema.names[i] not in ("_hits", "_items", "_words")]
+                    hits, found = _per_row(windows, at, window, bounds, *(piece.column(c).to_pylist() for c in added[:2]))
                     yield pa.RecordBatch.from_arrays(
-                        base + [pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(np.diff(bounds), pa.int64())],
-                        names=plain + ["_hits", "_items", "_words"])
+                        [*(piece.column(c) for c in plain), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string())),
+                         pa.array(np.diff(bounds), pa.int64())], names=plain + added)
 
         if k:
             out = stored(out, "decontaminate")  # a stage then holds one part only
         out = out.mapInArrow(task, schema)
-    return out
+    return out, added
 
 
-def _per_row(windows: Windows, at, window, bounds, piece) -> tuple[list[bytes], list[list[str]]]:
-    """Per row the packed hit runs (with those of earlier parts) and the sorted item ids."""
-    n = len(bounds) - 1
+def _per_row(windows: Windows, at, window, bounds, hits: list[bytes], found: list[list[str]]) -> tuple[list[bytes], list[list[str]]]:
+    """Per row the packed hit runs and the sorted item ids, added to those of earlier parts."""
     row = np.searchsorted(bounds, at, side="right") - 1
     cover = np.zeros(bounds[-1] + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + windows.sizes[window], -1)
-    hits: list[bytes] = piece.column("_hits").to_pylist()
-    found: list[list[str]] = piece.column("_items").to_pylist()
     covered = np.cumsum(cover[:-1]) > 0
     for r in np.unique(row):
         starts, ends = runs(covered[bounds[r]:bounds[r + 1]])
@@ -128,7 +125,7 @@ def _per_row(windows: Windows, at, window, bounds, piece) -> tuple[list[bytes],
     pair = np.unique(np.stack((row, window), 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
     for r, w in pair.tolist():
         found[r] = found[r] + [windows.ids[k] for k, _ in windows.owners[w]]
-    return hits, [sorted(set(x)) if x else [] for x in found] if n else []
+    return hits, [sorted(set(x)) if x else [] for x in found]
 
 
 def _hit_words(packed: bytes) -> int:
@@ -141,13 +138,14 @@ def _hit_words(packed: bytes) -> int:
 
 def judge(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document its doc_id, n_words, n_hit, n_items, items_sha256 and whether it is contaminated."""
-    found = scan(docs.select("doc_id", "text"), benchmark, part_bytes).drop("text")
+    found, (hits_of, items_of, words_of) = scan(docs.select("doc_id", "text"), benchmark, part_bytes)
+    found = found.drop("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words = b.column("_words").to_pylist()
-            n_hit = [_hit_words(x) for x in b.column("_hits").to_pylist()]
-            items = b.column("_items").to_pylist()
+            n_words = b.column(words_of).to_pylist()
+            n_hit = [_hit_words(x) for x in b.column(hits_of).to_pylist()]
+            items = b.column(items_of).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                  pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
@@ -159,11 +157,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` without the contaminated rows: at least one hit word, and at least a twentieth of the words hit."""
-    found, names = scan(docs, benchmark, part_bytes), docs.columns
+    (found, (hits_of, _, words_of)), names = scan(docs, benchmark, part_bytes), docs.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit, n = [_hit_words(x) for x in b.column("_hits").to_pylist()], b.column("_words").to_pylist()
+            hit, n = [_hit_words(x) for x in b.column(hits_of).to_pylist()], b.column(words_of).to_pylist()
             yield b.select(names).filter(pa.array([not (h > 0 and 20 * h >= w) for h, w in zip(hit, n)], pa.bool_()))
 
     return found.mapInArrow(task, docs.schema)

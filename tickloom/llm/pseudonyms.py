@@ -131,7 +131,9 @@ def _pseudonym(value: Column, form: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``column`` and, as ``_values``, what stood there: kind, value and pseudonym in order of place."""
+    """``docs`` with pseudonyms in ``column`` and, as ``_values``, what stood there: kind, value and pseudonym in order of place.
+    Own columns of the names used here (``_values``, ``_found``, ``_typed``, ``_named``) are replaced."""
+    docs = docs.drop("_values", "_found", "_typed", "_named")
     found = docs.withColumn("_found", F.when(F.col(column).rlike("[0-9@]"), F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0))))
     typed = found.withColumn("_typed", F.transform("_found", lambda v: F.struct(kind(v).alias("kind"), v.alias("value"))))
     named = typed.withColumn("_named", F.transform("_typed", lambda t: t.withField("pseudonym", _pseudonym(t["value"], t["kind"], key))))

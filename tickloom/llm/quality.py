@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the quality of every whole text, 0 to 1."""
+    """``docs`` with the quality of every whole text, 0 to 1; an own column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns + [name]
 

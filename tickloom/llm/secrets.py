@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 KINDS = ("assign", "access", "hex", "guess")
 # The patterns of the base kinds and their least lengths.
@@ -137,7 +137,9 @@ def _sorted(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
 
 
 def find(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
-    """``docs`` with ``spans``: every span as (start, kind, end), in order of start and kind; the kind ``guess`` is the added one."""
+    """``docs`` with ``spans``: every span as (start, kind, end), in order of start and kind; the kind ``guess`` is the added one.
+    An own column ``spans`` is replaced."""
+    docs = docs.drop("spans")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())]))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
@@ -171,7 +173,7 @@ def report(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 
 
 def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every maximal run of span text replaced by ``mark``; null texts stay null."""
+    """``docs`` with every maximal run of span text replaced by ``mark``; null texts stay null, ``n_chars`` follows the text."""
     names = docs.columns
 
     def hide(text: str | None) -> str | None:
@@ -188,4 +190,5 @@ def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") ->
         for b in batches:
             yield b.set_column(at, b.schema.field(at), pa.array([hide(x.as_py()) for x in b.column(at)], b.schema.field(at).type))
 
-    return docs.mapInArrow(task, docs.schema)
+    out = docs.mapInArrow(task, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

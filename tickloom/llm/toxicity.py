@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import LOWER, fold, mix, prefix_hash, slices, span_hash, utf8
+from tickloom.llm.text import LOWER, fold, fresh, mix, prefix_hash, slices, span_hash, utf8
 
 ORDER, DECAY, ACTIVE = 3, 0.5, 0.3
 LANDMARKS, GRAMS = 64, (4, 5, 6)
@@ -349,7 +349,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the toxicity of every whole text, 0 to 1."""
+    """``docs`` with the toxicity of every whole text, 0 to 1; an own column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns + [name]
 
@@ -368,5 +369,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that score ``THRESHOLD`` or more."""
-    name = "_toxicity"
+    name = fresh(docs, "_toxicity")[0]
     return score(docs, train(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)

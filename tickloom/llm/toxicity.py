@@ -2,12 +2,12 @@
 
 A text is a list of sentences, a sentence a set of words.  A word is a run without white space, reduced to its letters (``i.d-i*o_t`` is one
 word, and so are single letters in a row), lower-cased in ASCII and fenced by ``^`` and ``$``.  The kernel counts common subsequences of
-three characters, each weighted by ``DECAY`` to the power of the span it needs in either word, and is normalised; inserted characters
+three characters, each weighted by ``DECAY`` to the power of the span it needs in either word, normalised and cubed; inserted characters
 lower it but do not destroy it.  Landmarks are the character sequences that tell toxic from other training documents best, chosen one after
 the other so that each covers documents the earlier ones cover least.  A sentence is the greatest kernel value of its words at each
-landmark (values under ``ACTIVE`` count as 0), mapped by K_mm^(-1/2), and the machine separates the most conspicuous sentence of toxic
-documents from all conspicuous sentences of the others.  A document's margin is that of its worst sentence, turned into a score by a
-logistic curve fitted to the training documents.
+landmark (values under ``ACTIVE`` count as 0); a text is the sum of its sentences per ``WORDS`` words, so one chance likeness in a long
+text weighs little; K_mm^(-1/2) maps it to the space where a linear machine separates toxic from other labelled texts.  A logistic curve
+turns margins into scores.
 
 Labels are learnt from at most ``TRAIN_ROWS`` documents of each class and ``TRAIN_BYTES`` of text; every document is scored over its
 whole text.  Null, empty and wordless texts get the score of a text without conspicuous words; without labels of both classes every score
@@ -28,10 +28,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tickloom.llm.text import LOWER, fold, fresh, mix, prefix_hash, slices, span_hash, utf8
 
 ORDER, DECAY, ACTIVE = 3, 0.5, 0.3
-LANDMARKS, GRAMS = 64, (4, 5, 6)
+POWER = 3  # of the normalised kernel, which is a kernel again and sets close words apart from vaguely similar ones
+LANDMARKS, GRAMS = 48, (4, 5, 6)
+SUPPORT = 0.04  # least share of toxic documents with a landmark: fewer is chance or copies
 TRAIN_ROWS, TRAIN_BYTES = 1500, 12 << 20
 THRESHOLD = 0.7
 CHUNK = 4096  # words compared at once
+WORDS = 50  # to which the kernel values of a text are related
 WIDTH = 24  # letters compared at once; longer words are compared in overlapping parts
 
 _LENGTHS = ((0, 8), (8, 11), (11, 15), (15, WIDTH + 2))  # words of like length are compared together
@@ -160,43 +163,34 @@ class Model:
                 own = kernel(rows[some, :hi], rows[some, :hi])
                 out[some] /= np.sqrt(own[:, None] * np.array(self.own, dtype=np.float32))
         out[out < ACTIVE] = 0
-        return out
+        return out ** POWER
 
-    def sentences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Conspicuous sentences of a column: the row of each, and its greatest kernel values."""
+    def documents(self, column: pa.Array) -> np.ndarray:
+        """Per text the sum of its sentences' greatest kernel values, per ``WORDS`` words, square-rooted."""
         letters, start, end, row, sentence = tokens(column)
-        none = np.zeros(0, np.int64), np.zeros((0, len(self.rows)), np.float32)
+        out = np.zeros((len(column), len(self.rows)), dtype=np.float32)
         if not len(start):
-            return none
+            return out
         _, first, back = np.unique(span_hash(prefix_hash(letters), start, end), return_index=True, return_inverse=True)
         parts, word = matrix(letters, start[first], end[first])
         values = self.words(parts)
         hit = np.flatnonzero(values.any(1))
-        if not len(hit):
-            return none
-        by_word = np.zeros((len(first), len(self.rows)), dtype=np.float32) if len(hit) > len(first) // 8 else None
-        if by_word is None:
-            names, at = np.unique(word[hit], return_inverse=True)
-            by_word = np.zeros((len(names), len(self.rows)), dtype=np.float32)
-            np.maximum.at(by_word, at, values[hit])
-            place = np.full(len(first), -1)
-            place[names] = np.arange(len(names))
-        else:
-            np.maximum.at(by_word, word[hit], values[hit])
-            place = np.arange(len(first))
+        names, at = np.unique(word[hit], return_inverse=True)
+        by_word = np.zeros((len(names), len(self.rows)), dtype=np.float32)
+        np.maximum.at(by_word, at, values[hit])
+        place = np.full(len(first), -1)
+        place[names] = np.arange(len(names))
         use = np.flatnonzero(place[back] >= 0)
         key, at = np.unique(sentence[use], return_inverse=True)
+        greatest = np.zeros((len(key), len(self.rows)), dtype=np.float32)
+        np.maximum.at(greatest, at, by_word[place[back[use]]])
         rows = np.zeros(len(key), np.int64)
         rows[at] = row[use]
-        out = np.zeros((len(key), len(self.rows)), dtype=np.float32)
-        np.maximum.at(out, at, by_word[place[back[use]]])
-        return rows, out
+        np.add.at(out, rows, greatest)
+        return np.sqrt(out / (1 + np.bincount(row, minlength=len(column))[:, None] / WORDS))
 
     def margins(self, column: pa.Array) -> np.ndarray:
-        rows, vectors = self.sentences(column)
-        out = np.full(len(column), self.bias)
-        np.maximum.at(out, rows, vectors @ self.weights + self.bias)
-        return out
+        return self.documents(column) @ self.weights + self.bias
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -30, 30)))
@@ -237,7 +231,7 @@ def choose_landmarks(texts: list[str | None], labels: np.ndarray) -> list[bytes]
     toxic, clean = [t for t, y in zip(texts, labels) if y == 1], [t for t, y in zip(texts, labels) if y == 0]
     found = [(k, start, _grams(column)) for k, (start, column) in enumerate(chunks(toxic))]
     hashes, first, count = np.unique(np.concatenate([g[1] for _, _, g in found]), return_index=True, return_counts=True)
-    some = count >= max(2, len(toxic) // 200)
+    some = count >= max(3, SUPPORT * len(toxic))
     hashes, first, count = hashes[some], first[some], count[some]
     if not len(hashes):
         return []
@@ -267,6 +261,7 @@ def choose_landmarks(texts: list[str | None], labels: np.ndarray) -> list[bytes]
         k = int(np.argmax((cover @ weight) * worth))
         chosen.append(names[k])
         weight *= np.where(cover[k] > 0, 0.5, 1)
+        worth[[n in names[k] or names[k] in n for n in names]] *= 0.2  # its own parts and extensions say little more
         worth[k] = 0
     return chosen
 
@@ -310,17 +305,13 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     for k, mark in enumerate(marks):
         pad[k, :len(mark)] = np.frombuffer(mark, dtype=np.uint8)
     gram = np.stack([kernel(np.repeat(pad[k:k + 1], len(marks), 0), pad) for k in range(len(marks))]) / np.sqrt(np.outer(model.own, model.own))
+    gram = gram ** POWER
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    parts = [(start, model.sentences(column)) for start, column in chunks(texts)]
-    rows, found = np.concatenate([r + start for start, (r, _) in parts]), np.vstack([v for _, (_, v) in parts])
-    worst = [int(at[np.argmax(found[at].sum(1))]) for d in np.flatnonzero(y == 1) if len(at := np.flatnonzero(rows == d))]
-    calm = np.flatnonzero(y[rows] == 0)
-    x = np.vstack((found[worst], found[calm], np.zeros((max(1, len(worst)), len(marks)))))
-    side = np.concatenate((np.ones(len(worst)), -np.ones(len(x) - len(worst))))
+    x, side = np.vstack([model.documents(column) for _, column in chunks(texts)]), np.where(y == 1, 1, -1)
     w, model.bias = _machine(x @ root, side)
     model.weights = root @ w
-    model.slope, model.shift = _logistic(np.concatenate([model.margins(c) for _, c in chunks(texts)]), np.where(y == 1, 1, -1))
+    model.slope, model.shift = _logistic(x @ model.weights + model.bias, side)
     return model
 
 

@@ -90,16 +90,18 @@ def with_previous(ids: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text (second half replaced from the next document) and both likenesses."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    named = plain.where(F.col("doc_id").isNotNull())
+    named, nameless = plain.where(F.col("doc_id").isNotNull()), plain.where(F.col("doc_id").isNull())
     ids = stored(named.groupBy("doc_id").agg(F.max(F.char_length("text")).cast("long").alias("n"), F.min(F.xxhash64("text")).alias("h")), "ids")
-    known = plain.join(with_previous(ids), "doc_id").where(F.xxhash64("text") == F.col("h"))
+    # Both joins take ``named`` as it is by doc_id, so its texts are moved once and read twice.
+    known = named.join(with_previous(ids), "doc_id").where(F.col("h").bitwiseXOR(F.xxhash64("text")) == 0)
     half = (F.col("previous_n") / 2).cast("int")
     following = known.select(F.col("previous").alias("doc_id"), F.substring("text", F.lit(1), half).alias("part"),
                              sketch(F.col("text")).alias("next")).dropDuplicates(["doc_id"])  # equal texts under one id give equal rows
     n = F.char_length("text")
     cut = (n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("part", F.lit("")), F.lit(1), cut))
-    both = (plain.join(following, "doc_id", "left")
+    alone = nameless.select("doc_id", "text", F.lit(None).cast("string").alias("part"), F.lit(None).cast("array<bigint>").alias("next"))
+    both = (named.join(following, "doc_id", "left").unionByName(alone)
             .select("doc_id", n.cast("long").alias("n_chars"), F.col("text").alias("own"), edited.alias("edited"), "next")
             .select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     sketch(F.col("own")).alias("a"), sketch(F.col("edited")).alias("b"), "next"))

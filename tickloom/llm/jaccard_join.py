@@ -216,7 +216,8 @@ def verify(groups: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                                                  names=["rep", "copies", "root", "size", "grams"])
 
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(groups.join(sizes, "root"), "rep").select("rep", "copies", "root", "size", "text")
+    # A shuffle at every size: a broadcast of the members would grow with the documents.
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(groups.join(sizes, "root").hint("merge"), "rep").select("rep", "copies", "root", "size", "text")
     members = texts.mapInArrow(sets, "rep long, copies long, root long, size long, grams binary")
 
     def work(part: pa.Table) -> list[tuple]:
@@ -261,7 +262,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     """``docs`` with one document of each class: that of the least doc_id.  Rows without doc_id stay."""
     found = link(docs, threshold, recall)
     gone = stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("doc_id = class_id and n_links > 0").groupBy("doc_id").count().where("count > 1")
     if twice.isEmpty():
         return kept

@@ -1,0 +1,419 @@
+"""Every operator against a brute-force version or its contract, on small tables with nulls, ties, repeats and odd columns."""
+
+import collections
+import datetime as dt
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tickloom.llm import (components, decontaminate, fingerprints, jaccard_join, packing, pseudonyms, quality, secrets, suffix_dedup,
+                          text as texts, toxicity, url_filter)
+from tickloom.llm.queries import QUERIES, SQL
+
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+COPY = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+TEXTS = [(0, None), (1, ""), (2, " \n"), (3, "!?"), (4, "word"), (5, COPY), (6, COPY), (7, COPY + " more"), (8, "A" * 30000), (9, "ab " * 9000),
+         (10, "Été à ΑΒΓ 漢字 " * 20), (11, COPY), (11, COPY), (12, "x. " + COPY.upper()), (13, "\x00\x7f weird \t tabs"), (10**12, "far " * 60)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with every odd case and extra columns whose names the operators use."""
+    rows = [(d, t, None, "s", 7, "extra", d) for d, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, score long").repartition(3)
+
+
+def words(text):
+    return WORD.findall((text or "").translate(ASCII))
+
+
+def rows(df, *keys):
+    return sorted((tuple(r[k] for k in keys) for r in df.collect()), key=repr)
+
+
+def docs_of(spark, sf, name="documents"):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def test_every_operator_is_registered():
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert set(SQL) <= set(QUERIES)
+
+
+def test_words_match_the_pattern():
+    column = pa.array([t for _, t in TEXTS], pa.string())
+    hashes, bounds = texts.words(column)
+    known = {}
+    for k, (_, t) in enumerate(TEXTS):
+        own = words(t)
+        assert bounds[k + 1] - bounds[k] == len(own)
+        for h, w in zip(hashes[bounds[k]:bounds[k + 1]].tolist(), own):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
+# 1
+
+def test_fingerprints(odd):
+    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprints(odd).collect()}
+    assert odd.count() == fingerprints.fingerprints(odd).count()
+    order = sorted({d: t or "" for d, t in TEXTS}.items())
+    for k, (d, t) in enumerate(order):
+        half = len(t) // 2
+        edited = t[:len(t) - half] + order[(k + 1) % len(order)][1][:half]
+        r = got[d, len(t)]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert got[5, len(COPY)]["fingerprint"] == got[11, len(COPY)]["fingerprint"] != ""
+    assert got[5, len(COPY)]["near_next"] == 1.0 and got[0, 0]["near_next"] == 1.0 and got[0, 0]["fingerprint"] == ""
+
+
+def test_anchors_are_context_free(spark):
+    e = spark.createDataFrame([(COPY,), ("some other beginning " + COPY,)], "text string").select(fingerprints.anchors(F.col("text")).alias("a"))
+    a, b = ({(x["hash"], x["piece"]) for x in r["a"]} for r in e.collect())
+    assert a and {(h, p + 4) for h, p in a} <= b  # three words, one of them in two pieces
+
+
+# 2
+
+def test_packing(odd, spark):
+    whole = packing.Tokenizer()
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = odd.where("doc_id <> 11").unionByName(odd.sparkSession.createDataFrame(
+        [(99, "a <|endoftext|> b", None, None, None, None, None)], odd.schema)).coalesce(2)
+    pieces = packing.pack(plain).collect()
+    by, at = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        by[p["doc_id"]].append((p["start"], bytes(p["ids"])))
+        at[p["sequence_id"]].append((p["offset"], p["length"]))
+        assert len(p["ids"]) == 4 * p["length"]
+    for d, t in {**dict(TEXTS), 99: "a <|endoftext|> b"}.items():
+        if d != 11:
+            ids = np.frombuffer(b"".join(b for _, b in sorted(by[d])), np.uint32).tolist()
+            assert ids == reference.encode(t or "", add_special_tokens=False).ids + [0]
+    for spans in at.values():
+        assert sum(n for _, n in spans) <= 1024
+        ends = np.cumsum([n for _, n in sorted(spans)])
+        assert [o for o, _ in sorted(spans)] == [0, *ends[:-1].tolist()]
+    got = packing.digests(packing.pack(plain)).where("doc_id = 5").first()
+    assert got["ids_crc32"] == zlib.crc32(np.append(whole.ids(COPY), np.uint32(0)).tobytes()) or got["doc_tokens"] > got["length"]
+    assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_cuts_are_cheapest():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n, cap = int(rng.integers(5, 60)), int(rng.integers(4, 12))
+        bounds = sorted({*rng.integers(1, n, n // 3).tolist(), n})
+        costs = [float(c) for c in rng.integers(0, 4, len(bounds))]
+        extra = dict(zip(bounds, costs))
+        best = [0.0] + [float("inf")] * n
+        for j in range(1, n + 1):
+            for i in range(max(0, j - cap), j):
+                if j in extra:
+                    best[j] = min(best[j], best[i] + cap - (j - i) + extra[j])
+                elif j - i == cap:
+                    best[j] = min(best[j], best[i] + 3)
+        cuts = packing.best_cuts(bounds, costs, cap, 3)
+        total, last = 0.0, 0
+        for c in cuts:
+            assert 0 < c - last <= cap
+            total += min(cap - (c - last) + extra[c] if c in extra else 99, 3 if c - last == cap else 99)
+            last = c
+        assert last == n and total == best[n]
+
+
+# 3
+
+def test_secret_patterns(spark):
+    t = 'é password = "abcdefghijkl" secret=token: abcdefghijklmnop AKIAABCDEFGHIJKLMN 0123456789abcdef0 TOKEN:short API-key=abcdefghijklm api_key:abcdefghijklm'
+    base = secrets.base_spans(t)
+    want = [(m.start(), "assign", m.end()) for m in re.finditer(
+        r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m.group(1)) >= 12]
+    assert [b for b in base if b[1] == "assign"] == want and len(want) == 2
+    assert [b[1] for b in secrets._sorted(base)] == ["assign", "access", "hex", "assign"]
+    e = spark.createDataFrame([(1, t), (2, None), (3, "pwd: xK9$vQ2!pLz7 and login is password1")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.report(e).collect()}
+    assert (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"]) == (2, 1, 1)
+    assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[3]["spans"] == "guess:5:17" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(e).collect()}
+    assert masked[2] is None and masked[3] == "pwd: [SECRET] and login is password1" and "abcdefghijkl" not in masked[1].replace("token: abcdefghijklmnop", "").replace("API-key=abcdefghijklm", "")
+
+
+def test_guess_costs_order():
+    cost = secrets.guess_cost
+    assert cost("qwertyuiop") < 6 > cost("19990512") and cost("aaaaaaaaaaaa") < 5 and cost("P@ssw0rd") < 5
+    assert cost("xK9$vQ2!pLz7") > 14 and cost("") == 0
+    assert cost("zebrafish", {"zebrafish": 3}) < cost("zebrafish")
+
+
+def test_secrets_keep_odd_rows(odd):
+    assert rows(secrets.redact(odd), "doc_id", "text", "spans") == rows(odd, "doc_id", "text", "spans")
+    assert secrets.find(odd).count() == len(TEXTS)
+
+
+# 4, 9
+
+@pytest.mark.parametrize("module, column, modulus, out", [(quality, "quality", 5, 0), (toxicity, "toxic", 3, 1)])
+def test_classifiers_on_held_out_rows(spark, module, column, modulus, out):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = docs_of(spark, sf), docs_of(spark, sf, "labels")
+    got = module.judge(docs, labels).join(labels, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == out) for r in got)
+    held = [r for r in got if r["held_out"]]
+    right = sum(r["predicted"] == r[column] for r in held) / len(held)
+    assert right > 0.95 and all(0 <= r["score"] <= 1 for r in got)
+
+
+@pytest.mark.parametrize("module, column", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_without_labels(odd, spark, module, column):
+    none = spark.createDataFrame([(5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = module.judge(odd, none).collect()
+    assert len(got) == len(TEXTS) and len({r["score"] for r in got}) == 1
+    one = spark.createDataFrame([(d, d % 2, d % 2) for d, _ in TEXTS], "doc_id long, quality int, toxic int")
+    assert module.judge(odd, one).count() == len(TEXTS)
+    assert module.judge(odd.limit(0), one).count() == 0
+    assert module.score(odd, module.train(odd, one)).columns[-1] == "score"
+
+
+def test_inserted_characters_are_seen():
+    rng = np.random.default_rng(5)
+    syllables = ["ba", "ko", "ri", "tu", "ne", "sol", "mi", "da"]
+    line = lambda: " ".join("".join(rng.choice(syllables, 3)) for _ in range(30))
+    bad = ["nasty", "vermin"]
+    texts_, labels = [], []
+    for k in range(160):
+        t = line().split()
+        if k % 4 == 0:
+            t[5:5] = bad
+        texts_.append(" ".join(t))
+        labels.append(int(k % 4 == 0))
+    model = toxicity.fit(texts_, labels)
+    s = model.scores(pa.array([line(), line() + " nasty vermin", line() + " n.a.s.t.y v-e-r-m-i-n", line() + " naxsty verzmin", "", None]))
+    assert s[1] > 0.7 and s[2] > 0.7 and s[3] > s[0] and s[0] < 0.3 and s[4] == s[5] < 0.3
+
+
+# 5
+
+def brute_repeats(docs, length=100):
+    seen, out = set(), {}
+    for d, x in sorted(docs):
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            w = x[i:i + length]
+            if w in seen:
+                gone[i:i + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(c for c, g in zip(x, gone) if not g)
+        out[d] = (len(x), sum(gone), sum(1 for k in range(len(x)) if gone[k] and (not k or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(odd, spark):
+    passage = "".join(chr(97 + (i * i * 7 + i * 3) % 26) for i in range(173))
+    more = [(20, "left " + passage + " right"), (21, passage[:99]), (22, passage[30:]), (23, "zz" + passage[:140] + passage[20:]), (24, passage[3:103]), (25, "é" * 80)]
+    plain = odd.where("doc_id <> 11").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(4)
+    want = brute_repeats([(d, (t or "").encode()) for d, t in TEXTS if d != 11] + [(d, t.encode()) for d, t in more])
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffix_dedup.report(plain, bucket_bytes=4096).collect()}
+    assert got == want
+    full = {r["doc_id"]: r for r in suffix_dedup.deduplicate(plain).collect()}
+    assert hashlib.sha256(full[23]["kept"]).hexdigest() == want[23][3] and full[22]["removed"][0]["start"] == 0
+    assert suffix_dedup.report(plain.limit(0)).count() == 0
+
+
+def test_difference_set_is_perfect():
+    c, v = suffix_dedup.COVER, suffix_dedup.PERIOD
+    assert {(a - b) % v for a in c for b in c} == set(range(v)) and len(c) * (len(c) - 1) == v - 1
+
+
+# 6
+
+def brute_links(docs, least=0.8):
+    sets = []
+    for d, t in docs:
+        w = words(t)
+        sets.append((d, {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    root = list(range(len(sets)))
+    links = [0] * len(sets)
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, (_, a) in enumerate(sets):
+        for j in range(i):
+            b = sets[j][1]
+            if a and b and len(a & b) >= least * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    names = collections.defaultdict(list)
+    for i, (d, _) in enumerate(sets):
+        names[find(i)].append(d)
+    return sorted(((d, min(names[find(i)]), links[i]) for i, (d, _) in enumerate(sets)), key=repr)
+
+
+def test_jaccard_join(odd, spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in rng.integers(0, 500, 120)]
+    near = []
+    for d in range(100, 140):  # a large group of different near copies
+        w = list(base)
+        for k in rng.integers(0, 120, 1):
+            w[k] = f"edit{d}"
+        near.append((d, " ".join(w)))
+    docs = [*TEXTS, *near]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    old, jaccard_join.BLOCK = jaccard_join.BLOCK, 8
+    try:
+        got = rows(jaccard_join.link(frame), "doc_id", "class_id", "n_links")
+    finally:
+        jaccard_join.BLOCK = old
+    assert got == brute_links(docs)
+    kept = jaccard_join.deduplicate(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id in (6, 7, 11)").count() == 0 and kept.where("doc_id in (0, 1, 2, 3, 5)").count() == 5
+    assert jaccard_join.link(odd.limit(0)).count() == 0
+
+
+def test_jaccard_join_on_the_sample(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in docs_of(spark, sf).collect()]
+    assert rows(QUERIES["op6_jaccard_join"](spark, sf), "doc_id", "class_id", "n_links") == brute_links(docs)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (70, 2))] + [(k, k + 1) for k in range(200, 240)] + [(7, 7)]
+    root = {}
+    for a, b in edges * 80:
+        m = min(root.get(a, a), root.get(b, b))
+        root[a] = root[b] = m
+    alone = {a for a, b in edges if a == b} - {x for e in edges if e[0] != e[1] for x in e}
+    got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long")), "vertex", "root"))
+    assert got == {k: v for k, v in root.items() if k not in alone}
+
+
+# 7
+
+def test_decontamination(odd, spark):
+    bench = spark.createDataFrame([("b", COPY), ("a", "word"), ("c", None), ("d", "!"), ("e", COPY), ("f", "eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more")],
+                                  "item_id string, text string")
+    def brute(t):
+        w, hit, items = words(t), set(), set()
+        for r in bench.collect():
+            v = words(r["text"])
+            for i in range(max(1, len(v) - 12) if v else 0):
+                k = v[i:i + 13]
+                for p in range(len(w) - len(k) + 1):
+                    if w[p:p + len(k)] == k:
+                        hit |= set(range(p, p + len(k)))
+                        items.add(r["item_id"])
+        return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+    want = sorted(((d, *brute(t)) for d, t in TEXTS), key=repr)
+    keys = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows(decontaminate.judge(odd, bench), *keys) == want
+    assert rows(decontaminate.judge(odd, bench, part_bytes=100), *keys) == want
+    clean = decontaminate.decontaminate(odd.withColumnRenamed("score", "_hits"), bench)
+    assert clean.count() == sum(not w[-1] for w in want) and "_hits" in clean.columns
+    assert decontaminate.judge(odd, bench.limit(0)).where("contaminated").count() == 0
+    found = rows(decontaminate.matches(odd.where("doc_id = 7"), bench), "item_id", "doc_word", "item_word", "n_words")
+    assert found == [("b", 0, 0, 20), ("e", 0, 0, 20), ("f", 7, 0, 14)]
+
+
+def test_decontamination_matches_sql(spark, sf):
+    from tools.check import compare, connect
+
+    assert compare(QUERIES["op7_decontamination"](spark, sf), connect(sf), SQL["op7_decontamination"])[0] == ""
+
+
+# 8
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
+
+
+def test_pseudonyms(spark, odd):
+    t = ("a.b@x.com +1 (705) 555-1902 4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111112 10.0.0.1 300.1.1.1 1999-12-31 31/12/1999 12.31.1999 "
+         "2024-02-30 123-45-6789 +17055551902 3a4111111111111111")
+    e = spark.createDataFrame([(1, t), (2, "again 4111111111111111"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(e, "k").collect()}
+    kinds = [(v["kind"], v["value"]) for v in got[1]["_values"]]
+    assert [k for k, _ in kinds] == ["email", "phone", "card", "card", "ip", "date", "date", "date", "ssn", "phone"]
+    new = {v["value"]: v["pseudonym"] for v in got[1]["_values"]}
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert luhn(digits(new["4111 1111 1111 1111"])) and digits(new["4111 1111 1111 1111"]) == digits(new["4111-1111-1111-1111"]) == got[2]["_values"][0]["pseudonym"]
+    assert digits(new["+1 (705) 555-1902"]) == digits(new["+17055551902"]) and new["+1 (705) 555-1902"].startswith("+1 (")
+    assert re.sub(r"\d", "9", new["123-45-6789"]) == "999-99-9999"
+    day = dt.date.fromisoformat(new["1999-12-31"])
+    assert new["31/12/1999"] == day.strftime("%d/%m/%Y") and new["12.31.1999"] in (day.strftime("%d.%m.%Y"), day.strftime("%m.%d.%Y"))
+    assert "300.1.1.1" in got[1]["text"] and "2024-02-30" in got[1]["text"] and "4111111111111112" in got[1]["text"] and "3a4111111111111111" in got[1]["text"]
+    assert got[3]["text"] is None and got[3]["_values"] == []
+    other = pseudonyms.pseudonymise(e, "another key").where("doc_id = 2").first()["text"]
+    assert other != got[2]["text"]
+    assert rows(pseudonyms.pseudonymise(odd, "k"), "doc_id", "text", "score") == rows(odd, "doc_id", "text", "score")
+
+
+def test_permutation_is_one_to_one(spark):
+    d = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
+    assert d.select(pseudonyms.permute_digits(F.col("d"), F.lit("t"), "k").alias("p")).distinct().count() == 10000
+    days = spark.range(146097).select((F.col("id") / 773).cast("int").alias("a"), (F.col("id") % 773).alias("b"))
+    moved = days.select(pseudonyms._feistel(F.col("a"), F.col("b"), F.lit(189), F.lit(773), F.lit("date"), "k").alias("p"))
+    assert moved.distinct().count() == 146097
+
+
+# 10
+
+def test_url_rules(spark):
+    urls = [(1, None), (2, "x"), (3, "http://NET/"), (4, "http://a.net"), (5, "http://aexample.net/en/"), (6, "https://www.Example.net/en/q?x#y"), (7, "a://b.org/fr/?://c.net/"),
+            (8, "http://example.com/de/1"), (9, "http://example.com/en/1"), (10, "http://example.net#/en/"), (10, "http://example.net#/en/")]
+    got = rows(url_filter.judge(spark.createDataFrame([(p, u, "x") for p, u in urls], "page_id long, url string, host string")), "page_id", "host", "path", "rule")
+    assert [g[3] for g in sorted(got)] == [None, None, "net/", None, "net/", "example.net/en/", "org/fr/", "example.com/de/", None, None, None]
+    assert sorted(got)[5] == (6, "www.example.net", "/en/q", "example.net/en/") and sorted(got)[6][2] == "/fr/"
+
+
+def test_url_models(spark):
+    known = [(k, f"good{k % 7}.org/fr/{k}", True) for k in range(200)] + [(k + 200, f"casino{k % 5}.net/win/{k}", False) for k in range(200)]
+    urls = spark.createDataFrame(known, "page_id long, text string, accepted boolean")
+    model = url_filter.train(urls.select("text", "accepted"))
+    s = model.scores(pa.array(["good9.org/fr/12", "casino9.net/win/3", "", None]))
+    assert s[0] > 0.2 > -0.2 > s[1] and s[2] == s[3] == 0
+    t = url_filter.calibrate(url_filter.score(urls.select("accepted", "text"), model))
+    assert s[1] < t < s[0]
+    # The counts of a model with wide cells are those of a plain count.
+    grams = collections.Counter((u[max(0, i - 5):i], u[i]) for _, u, a in known if a for i in range(len(u)))
+    assert model.seen[0, 1].sum() == sum(len(u) for _, u, a in known if a) and model.gram[5, 1].sum() == sum(grams.values())
+
+
+# pipeline
+
+def test_pipeline_on_the_sample(spark, sf):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "jaccard_join", "decontamination", "secrets", "packing"]
+    docs = docs_of(spark, sf)
+    first = texts.stored(p.STAGES[0][1](spark, docs, sf), "t")
+    judged = toxicity.judge(docs, docs_of(spark, sf, "labels"))
+    assert rows(first, "doc_id") == rows(judged.where("predicted = 0"), "doc_id")
+    kept = [(r["doc_id"], r["text"]) for r in first.collect()]
+    second = texts.stored(p.STAGES[1][1](spark, first, sf), "j")
+    assert rows(second, "doc_id") == sorted({(c,) for _, c, _ in brute_links(kept)}, key=repr)
+    third = texts.stored(p.STAGES[2][1](spark, second, sf), "d")
+    bad = decontaminate.judge(second, docs_of(spark, sf, "benchmark")).where("contaminated")
+    assert third.count() == second.count() - bad.count()
+    fourth = texts.stored(p.STAGES[3][1](spark, third, sf), "s")
+    assert fourth.columns == docs.columns and secrets.report(fourth).where("n_assign + n_access + n_hex > 0").count() == 0
+    last = p.STAGES[4][1](spark, fourth, sf)
+    assert last.select("doc_id").distinct().count() == fourth.count()
+    assert p.run(spark, sf).count() == last.count()

@@ -297,7 +297,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     y = np.asarray(labels)
     share = float(y.mean()) if len(y) else 0.5
     flat = Model([], np.zeros(0), 0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6)))
-    marks = choose_landmarks(texts, y) if 0 < share < 1 else []
+    marks = choose_landmarks(texts, y) if len(y) and 0 < share < 1 else []
     if not marks:
         return flat
     model = Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0)

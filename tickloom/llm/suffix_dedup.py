@@ -56,18 +56,19 @@ class Block:
         self.stop = np.repeat(self.bounds[1:], size)  # end of each byte's document
         self.start = np.repeat(self.bounds[:-1], size)
 
-    def names(self, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names of spans in ascending order, the id of the document each stands in first, each span's name, and whether it is not
-        the name's first span."""
+    def names(self, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names of spans in ascending order, the first span of each, and each span's name."""
         h = span_hash(self.sums, at, end)
-        order = np.argsort(h, kind="stable")
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, bool)
-        inverse = np.empty(len(h), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        again = np.ones(len(h), bool)
-        again[order[new]] = False
-        first = order[new]
-        return h[first], self.ids[np.searchsorted(self.bounds, at[first], side="right") - 1], inverse, again
+        order = np.argsort(h)
+        h = h[order]
+        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        inverse = np.empty(len(h), np.int32)
+        inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        return h[new], np.minimum.reduceat(order, np.flatnonzero(new)) if len(h) else order, inverse
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the documents that positions lie in."""
+        return self.ids[np.searchsorted(self.bounds, at, side="right") - 1]
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end of its suffixes, and end of its bytes, for each chunk that has suffixes."""
@@ -98,21 +99,27 @@ class Block:
 
 
 class State:
-    """What is known about a block after each answer."""
+    """What is known about a block after each answer.  A question sets ``asked``: names, first spans, each span's name, and positions."""
 
     def __init__(self, block: Block):
         self.block = block
         self.chunk = block.chunks()
 
-    def first(self) -> tuple:
+    def _early(self, early: np.ndarray) -> np.ndarray:
+        """Which of the spans asked about have an equal one before them, here or, by the answer, elsewhere."""
+        _, first, inverse, _ = self.asked
+        gone = np.ones(len(inverse), bool)
+        gone[first] = early
+        return gone
+
+    def first(self) -> None:
         start, _, end = self.chunk
-        return self.block.names(start, end)
+        self.asked = *self.block.names(start, end), start
 
     def live(self, early: np.ndarray) -> None:
         """After chunks are judged: which suffixes are repeats already, and which stay open."""
         start, after, _ = self.chunk
-        _, _, inverse, again = self.first()
-        gone = again | early[inverse]
+        gone = self._early(early)
         n = len(self.block.raw)
         self.repeat, self.open = np.zeros(n, bool), np.zeros(n, bool)
         for flags, which in ((self.repeat, gone), (self.open, ~gone)):
@@ -121,28 +128,27 @@ class State:
             np.add.at(step, after[which], -1)
             flags[:] = np.cumsum(step)[:n] > 0
 
-    def second(self) -> tuple:
-        self.sample = self.block.samples(self.open)
-        return self.block.names(self.sample, self.sample + SAMPLE)
+    def second(self) -> None:
+        at = self.block.samples(self.open)
+        self.asked = *self.block.names(at, at + SAMPLE), at
 
     def narrow(self, often: np.ndarray) -> None:
         """After samples are judged: open suffixes keep a repeated name within reach."""
-        names, _, inverse, again = self.second()
+        names, _, inverse, at = self.asked
         twice = often | (np.bincount(inverse, minlength=len(names)) > 1)
-        at = self.sample[twice[inverse]]
+        at = at[twice[inverse]]
         n = len(self.block.raw)
         reach = np.zeros(n + 1, np.int32)
         np.add.at(reach, np.maximum(at - PERIOD + 1, 0), 1)
         np.add.at(reach, at + 1, -1)
         self.open &= np.cumsum(reach)[:n] > 0
 
-    def third(self) -> tuple:
-        self.suffix = np.flatnonzero(self.open)
-        return self.block.names(self.suffix, self.suffix + LENGTH)
+    def third(self) -> None:
+        at = np.flatnonzero(self.open)
+        self.asked = *self.block.names(at, at + LENGTH), at
 
     def finish(self, early: np.ndarray) -> None:
-        _, _, inverse, again = self.third()
-        self.repeat[self.suffix[again | early[inverse]]] = True
+        self.repeat[self.asked[3][self._early(early)]] = True
 
     def removed(self) -> np.ndarray:
         n = len(self.block.raw)
@@ -186,7 +192,9 @@ def _emit(step: int, answers: list[str], buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 state = _state(row, answers)
-                names, ids, _, _ = (state.first, state.second, state.third)[step]()
+                (state.first, state.second, state.third)[step]()
+                names, first, _, at = state.asked
+                ids = state.block.owner(at[first]) if step != 1 else first
                 bucket = ((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 which, start = np.unique(bucket, return_index=True)
                 out = []
@@ -210,7 +218,8 @@ _DEALT = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary
 def _state(row: dict, answers: list[str]) -> State:
     state = State(Block(row["blob"], row["sizes"], row["ids"]))
     for column, (ask, take) in zip(answers, ((state.first, state.live), (state.second, state.narrow), (state.third, state.finish))):
-        names = ask()[0]
+        ask()
+        names = state.asked[0]
         flags = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in sorted(row[column] or [], key=lambda x: x["bucket"])]
         flags = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
         if len(flags) != len(names):

@@ -119,14 +119,16 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str = "re
 # --- selection ---------------------------------------------------------------------------------------------------------
 
 def variance_filter(df: DataFrame, features: Sequence[str], minimum: float = cfg.MIN_VARIANCE) -> DataFrame:
-    """(feature, position, variance, kept) over complete rows, in one aggregate."""
+    """(feature, position, variance, kept) over complete rows, in one aggregate.
+
+    Without a complete row everything is kept; with a single one no variance exists and nothing is.
+    """
     whole = df.select(*features).dropna()
-    row = whole.agg(*[F.var_samp(c).alias(c) for c in features])
-    long = row.unpivot([], list(features), "feature", "variance")
+    row = whole.agg(*[F.var_samp(c).alias(c) for c in features], F.count(F.lit(1)).alias("_rows"))
+    long = row.unpivot(["_rows"], list(features), "feature", "variance")
     order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("int")
-    v = F.coalesce("variance", F.lit(0.0))
-    return long.select("feature", order.alias("position"), "variance",
-                       (F.col("variance").isNull() | (v >= minimum)).alias("kept"))
+    enough = F.coalesce(F.nanvl("variance", F.lit(0.0)) >= minimum, F.lit(False))
+    return long.select("feature", order.alias("position"), "variance", ((F.col("_rows") == 0) | enough).alias("kept"))
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -172,12 +174,15 @@ def correlation_filter(df: DataFrame, features: Sequence[str], cutoff: float = c
 
 def select_features(df: DataFrame, features: Sequence[str], cutoff: float = cfg.CORR_CUTOFF,
                     minimum: float = cfg.MIN_VARIANCE) -> DataFrame:
-    """(feature, position) that pass the variance filter and then the correlation filter."""
-    varied = variance_filter(df, features, minimum).where("kept")
-    pairs = correlation_pairs(df, features)
-    # Only features that passed the first filter may knock out a later one.
-    live = varied.select(F.col("feature").alias("earlier"))
-    close = pairs.join(live, "earlier", "left_semi").where(F.abs("r") >= cutoff).select("feature").distinct()
+    """(feature, position) that pass the variance filter and then the correlation filter.
+
+    The names that pass the first filter decide which rows are complete for the second, so they are fetched: one row per feature.
+    """
+    varied = variance_filter(df, features, minimum).where("kept").select("feature", "position")
+    live = [r["feature"] for r in sorted(varied.collect(), key=lambda r: r["position"])]
+    if len(live) < 2:
+        return varied
+    close = correlation_pairs(df, live).where(F.abs("r") >= cutoff).select("feature").distinct()
     return varied.join(close, "feature", "left_anti").select("feature", "position")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -51,7 +51,7 @@ def model_score(load: Callable[[], Callable[[list[str]], list[float]]], fallback
     return score
 
 
-def headline_sentiment(scored: DataFrame, order: str = "doc_id") -> DataFrame:
+def headline_sentiment(scored: DataFrame, order: Sequence[str] = ("doc_id", "line")) -> DataFrame:
     """Per (symbol, date): mean score, label, count and the headline nearest the mean (first on a tie).
 
     Both passes are map-side merging aggregates, so a symbol with most of the news is never gathered.
@@ -62,7 +62,7 @@ def headline_sentiment(scored: DataFrame, order: str = "doc_id") -> DataFrame:
     return (
         scored.join(means, keys).groupBy(*keys)
         .agg(F.first("_mean").alias("_mean"), F.first("headlines_used").alias("headlines_used"),
-             F.min(F.struct(near.alias("d"), F.col(order).alias("o"), F.col("headline").alias("h"))).alias("_best"))
+             F.min(F.struct(near.alias("d"), F.struct(*order).alias("o"), F.col("headline").alias("h"))).alias("_best"))
         .select("date", "symbol", rnd(F.col("_mean"), 4).alias("sentiment_score"),
                 ladders.sentiment_label(rnd(F.col("_mean"), 9)).alias("sentiment_label"), "headlines_used",
                 F.col("_best.h").alias("top_headline"))

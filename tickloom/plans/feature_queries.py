@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tickloom.operators import features as X, indicators as I, preprocess as P
@@ -9,7 +10,6 @@ from tickloom.plans.registry import query
 from tickloom.plans.sqlviews import CTE, r, skew_sql, w, with_
 from tickloom.plans.symbols import RETURNS, lag, ohlcv
 from tickloom.sources import sample as S
-from tickloom.streaming.runtime import stored
 
 w7 = w(7, "symbol")
 
@@ -22,9 +22,9 @@ def trade_features(spark, sf):
     return X.feature_set(trade_indicators(spark, sf))
 
 
-def stored_features(spark, sf):
-    """The feature table as the multi-pass rankings read it: written once."""
-    return stored(trade_features(spark, sf), "features")
+def kept_features(spark, sf):
+    """The feature table as the multi-pass rankings read it: computed once, kept by the executors, computed again where one is lost."""
+    return trade_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def off(a: str, b: str) -> str:
@@ -92,7 +92,7 @@ query("mutual_information", with_("mi_long", f"""
                  (sum(n) OVER (PARTITION BY feature, xb) / sum(n) OVER (PARTITION BY feature))
                  * (sum(n) OVER (PARTITION BY feature, yb) / sum(n) OVER (PARTITION BY feature)) AS q FROM j)
     SELECT feature, greatest(0.0, {r('sum(p * ln(p / q))', 6)}) AS mutual_information FROM p GROUP BY feature""")
-      .replace(")\n\n    , xe", "),\n xe"))(lambda s, d: X.mutual_information(stored_features(s, d), FEATS))
+      .replace(")\n\n    , xe", "),\n xe"))(lambda s, d: X.mutual_information(kept_features(s, d), FEATS))
 
 
 def rel(x: str) -> str:
@@ -101,26 +101,33 @@ def rel(x: str) -> str:
 
 
 query("variance_filter", with_("whole", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {i + 1}::INTEGER AS position, coalesce(var_samp({f}) >= 1e-5, true) AS kept, "
+    f"SELECT '{f}' AS feature, {i + 1}::INTEGER AS position, count(*) = 0 OR coalesce(var_samp({f}) >= 1e-5, false) AS kept, "
     f"{r(f'log10(nullif(var_samp({f}), 0))', 4)} AS log_variance FROM whole" for i, f in enumerate(FEATS))))(
-    lambda s, d: X.variance_filter(stored_features(s, d), FEATS).select(
+    lambda s, d: X.variance_filter(kept_features(s, d), FEATS).select(
         "feature", "position", "kept", X.rnd(F.log10(F.nullif("variance", F.lit(0.0))), 4).alias("log_variance")))
 
-SMALL = FEATS[:20]
-CTE["whole20"] = (("feats",), f"SELECT {', '.join(SMALL)} FROM feats WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SMALL)}")
-query("correlation_filter", with_("whole20", "SELECT feature, position, max(a) AS max_abs_r, coalesce(max(a) < 0.92, true) AS kept FROM ("
-      + " UNION ALL ".join(
-          [f"SELECT '{SMALL[0]}' AS feature, 1::INTEGER AS position, NULL::DOUBLE AS a"] +
-          [f"SELECT '{SMALL[j]}', {j + 1}, abs({r(f'corr({SMALL[i]}, {SMALL[j]})', 6)}) FROM whole20"
-           for j in range(len(SMALL)) for i in range(j)]) + ") GROUP BY feature, position"))(
-    lambda s, d: X.correlation_filter(stored_features(s, d), SMALL))
-query("select_features", with_("whole20", """
-    , v AS (SELECT * FROM (""" + " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, {i + 1}::INTEGER AS position, var_samp({f}) AS v FROM whole20" for i, f in enumerate(SMALL))
-      + """) WHERE v IS NULL OR v >= 1e-5),
-    c AS (""" + " UNION ALL ".join(
-        f"SELECT '{SMALL[i]}' AS earlier, '{SMALL[j]}' AS feature, abs(corr({SMALL[i]}, {SMALL[j]})) AS a FROM whole20"
-        for j in range(len(SMALL)) for i in range(j)) + """)
-    SELECT feature, position FROM v WHERE feature NOT IN (
-        SELECT feature FROM c WHERE a >= 0.92 AND earlier IN (SELECT feature FROM v))""").replace(")\n\n    , v", "),\n v"))(
-    lambda s, d: X.select_features(stored_features(s, d), SMALL))
+
+def pair_sql(src: str) -> str:
+    """(i, j, a): |correlation| of every pair of features, from one pass over ``src``."""
+    pairs = [(i, j) for j in range(len(FEATS)) for i in range(j)]
+    row = ", ".join(f"corr({FEATS[i]}, {FEATS[j]}) AS c_{i}_{j}" for i, j in pairs)
+    return (f"SELECT split_part(pair, '_', 2)::INTEGER AS i, split_part(pair, '_', 3)::INTEGER AS j, abs(c) AS a "
+            f"FROM (SELECT {row} FROM {src}) UNPIVOT INCLUDE NULLS (c FOR pair IN ({', '.join(f'c_{i}_{j}' for i, j in pairs)}))")
+
+
+NAMED = "(VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATS)) + ") AS f(feature, k)"
+query("correlation_filter", with_("whole", f"""
+    , c AS ({pair_sql('whole')})
+    SELECT feature, (k + 1)::INTEGER AS position, max({r('a', 6)}) AS max_abs_r, coalesce(max({r('a', 6)}) < 0.92, true) AS kept
+    FROM {NAMED} LEFT JOIN c ON j = k GROUP BY feature, k""").replace(")\n\n    , c", "),\n c"))(
+    lambda s, d: X.correlation_filter(kept_features(s, d), FEATS))
+# Survivors of the variance pass decide which rows the correlation pass sees.
+LIVE = {f: f"(n = 0 OR coalesce(v_{f} >= 1e-5, false))" for f in FEATS}
+query("select_features", with_("whole", f"""
+    , v AS (SELECT count(*) AS n, {', '.join(f'var_samp({f}) AS v_{f}' for f in FEATS)} FROM whole),
+    seen AS (SELECT feats.* FROM feats, v WHERE {' AND '.join(f'({f} IS NOT NULL OR NOT {LIVE[f]})' for f in FEATS)}),
+    live AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {i} AS k FROM v WHERE {LIVE[f]}" for i, f in enumerate(FEATS))}),
+    c AS ({pair_sql('seen')})
+    SELECT feature, (k + 1)::INTEGER AS position FROM live WHERE k NOT IN (
+        SELECT j FROM c WHERE a >= 0.92 AND i IN (SELECT k FROM live))""").replace(")\n\n    , v", "),\n v"))(
+    lambda s, d: X.select_features(kept_features(s, d), FEATS))

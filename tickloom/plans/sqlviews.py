@@ -41,9 +41,13 @@ def ewm_sql(x: str, alpha: str, by: str, min_rows: int = 1) -> str:
     return f"CASE WHEN count({x}) OVER (PARTITION BY {by} ORDER BY date) >= {min_rows} THEN {core} END"
 
 
+#: ``U`` and the id with at least four digits.
+SYMBOL = ("'U' || CASE WHEN length(CAST(user_id AS VARCHAR)) < 4 THEN lpad(CAST(user_id AS VARCHAR), 4, '0') "
+          "ELSE CAST(user_id AS VARCHAR) END")
+
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
-    "event_bars": ((), """
-        SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS symbol, CAST(ts AS DATE) AS date,
+    "event_bars": ((), f"""
+        SELECT {SYMBOL} AS symbol, CAST(ts AS DATE) AS date,
                first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
                last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume
         FROM events GROUP BY 1, 2"""),
@@ -66,21 +70,22 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, lag(vwap) OVER (PARTITION BY symbol ORDER BY date) AS p FROM trade_bars) WHERE p IS NOT NULL"""),
     "lexicon": ((), f"SELECT * FROM (VALUES {LEXICON_VALUES}) AS t(token, weight)"),
     "raw_headlines": ((), """
-        SELECT doc_id, n_name AS symbol, DATE '1995-01-02' + CAST(7 * ((doc_id // 25) % 357) AS INTEGER) AS date,
-               trim(string_split(text, chr(10))[1]) AS headline
-        FROM documents JOIN nation ON n_nationkey = doc_id % 25
-        WHERE length(trim(string_split(text, chr(10))[1])) > 3"""),
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, n_name AS symbol,
+               DATE '1995-01-02' + CAST(7 * ((doc_id // 25) % 357) AS INTEGER) AS date, trim(parts[i]) AS headline
+        FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+        JOIN nation ON n_nationkey = doc_id % 25 WHERE length(trim(parts[i])) > 3"""),
     "headlines": (("raw_headlines", "lexicon"), f"""
-        SELECT h.symbol, h.date, h.doc_id, h.headline, {r('coalesce(s.score, 0.0)', 4)} AS score
+        SELECT h.symbol, h.date, h.doc_id, h.line, h.headline, {r('coalesce(s.score, 0.0)', 4)} AS score
         FROM raw_headlines h LEFT JOIN (
-            SELECT doc_id, avg(weight) AS score
-            FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(headline), '[^a-zà-ÿ]+')) AS token
-                  FROM raw_headlines) JOIN lexicon USING (token) GROUP BY doc_id) s USING (doc_id)"""),
+            SELECT doc_id, line, avg(weight) AS score
+            FROM (SELECT doc_id, line, unnest(regexp_split_to_array(lower(headline), '[^a-zà-ÿ]+')) AS token
+                  FROM raw_headlines) JOIN lexicon USING (token) GROUP BY doc_id, line) s USING (doc_id, line)"""),
     "sentiment": (("headlines",), f"""
         SELECT date, symbol, {r('m', 4)} AS sentiment_score,
                CASE WHEN {r('m', 9)} >= 0.05 THEN 'Bullish' WHEN {r('m', 9)} <= -0.05 THEN 'Bearish'
                     ELSE 'Neutral' END AS sentiment_label, n AS headlines_used,
-               first(headline ORDER BY {r('abs(score - m)', 9)}, doc_id) AS top_headline
+               first(headline ORDER BY {r('abs(score - m)', 9)}, doc_id, line) AS top_headline
         FROM (SELECT *, avg(score) OVER (PARTITION BY symbol, date) AS m,
                      count(*) OVER (PARTITION BY symbol, date) AS n FROM headlines)
         GROUP BY date, symbol, m, n"""),

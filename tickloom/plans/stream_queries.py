@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import daily as D, indicators as I
 from tickloom.plans.market import event_hist
 from tickloom.plans.registry import query
-from tickloom.plans.sqlviews import CTE, HIST_COLS, ROLL_COLS, ema_sql, r, with_
+from tickloom.plans.sqlviews import CTE, HIST_COLS, ROLL_COLS, SYMBOL, ema_sql, r, with_
 from tickloom.sources import sample as S
 from tickloom.sources.market import prices_from_bars
 from tickloom.streaming import incremental as INC, ticks as TK
@@ -33,8 +33,8 @@ def replayed(spark, sf):
     return append_all(TK.dedup_stream(both, ["event_id"]).select("symbol", "event_id", "date", "value"), work_dir(spark, "dedup"))
 
 
-query("stream_dedup", """
-    SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS symbol, event_id, CAST(ts AS DATE) AS date, value FROM events""")(replayed)
+query("stream_dedup", f"""
+    SELECT {SYMBOL} AS symbol, event_id, CAST(ts AS DATE) AS date, value FROM events""")(replayed)
 
 
 def stored_bars(spark, sf, name: str) -> str:

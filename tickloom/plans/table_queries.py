@@ -13,7 +13,7 @@ from tickloom.operators import calendar as C, daily as D, extend as E, forecast
 from tickloom.plans.detector_queries import (ALL_ANOM, ALL_SIGNALS, forecast_sql, fsql, sentiment, trade_anomalies, trade_enriched)
 from tickloom.plans.market import event_hist, trade_hist
 from tickloom.plans.registry import query
-from tickloom.plans.sqlviews import CTE, HIST_COLS, ROLL_COLS, daily_cte, r, roll_cte, w, with_
+from tickloom.plans.sqlviews import CTE, HIST_COLS, ROLL_COLS, SYMBOL, daily_cte, r, roll_cte, w, with_
 from tickloom.plans.symbols import messy_bars, ohlcv
 from tickloom.sources import ingest as ING, sample as S, store
 
@@ -114,33 +114,42 @@ query("html_rows_in_pages", """
 
 
 def news_payloads(spark, sf):
-    h = S.headlines(spark, sf).select("symbol", "date", "doc_id", "headline")
+    h = S.headlines(spark, sf).select("symbol", "date", "doc_id", "line", "headline")
     epoch = F.unix_date("date").cast("long") * 86400 + 3600
     art = F.array(F.struct(epoch.alias("datetime"), F.concat(F.lit("  "), "headline", F.lit(" ")).alias("headline")),
                   F.struct(epoch.alias("datetime"), F.lit("abc").alias("headline")))
-    return h.select("symbol", "doc_id", F.to_json(art).alias("articles"))
+    return h.select("symbol", "doc_id", "line", F.to_json(art).alias("articles"))
 
 
 query("news_by_day", with_("sentiment", "SELECT * FROM sentiment"))(
-    lambda s, d: SE.headline_sentiment(ING.news_articles(news_payloads(s, d), keep=["doc_id"]).withColumn(
+    lambda s, d: SE.headline_sentiment(ING.news_articles(news_payloads(s, d), keep=["doc_id", "line"]).withColumn(
         "score", SE.lexicon_score(F.col("headline"), S.SAMPLE_LEXICON))))
-query("source_failures", """
+query("source_failures", f"""
     SELECT symbol, count(*) AS consecutive_failures, max(date) AS last_failure, count(*) >= 3 AS skip FROM (
-        SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS symbol, CAST(ts AS DATE) AS date, event_type,
+        SELECT {SYMBOL} AS symbol, CAST(ts AS DATE) AS date, event_type,
                count_if(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS later_ok FROM events)
     WHERE later_ok = 0 AND event_type = 'error' GROUP BY symbol""")(
     lambda s, d: ING.source_failures(
-        S.event_ticks(s, d).join(S.table(s, d, "events").select("event_id", "event_type"), "event_id")
-        .withColumn("success", F.col("event_type") != "error"), ["ts", "event_id"]))
+        S.event_ticks(s, d).withColumn("success", F.col("event_type") != "error"), ["ts", "event_id"]))
 MACRO_DAY = dt.date(2001, 10, 30)
 query("macro_series", with_("trade_bars", """
     SELECT symbol AS series_alias, date, vwap AS value, date_diff('day', max(date) OVER (PARTITION BY symbol), DATE '2001-10-30') <= 7
            AS recent FROM trade_bars WHERE vwap IS NOT NULL"""))(
     lambda s, d: ING.macro_series(S.trade_bars(s, d).select(F.col("symbol").alias("series_alias"), "date",
                                                            F.col("vwap").alias("value")), F.lit(MACRO_DAY)))
-query("symbol_json_export")(lambda s, d: store.symbol_json(
-    I.indicator_suite(ohlcv(s, d), complete=True), ["date", "close", "sma_20", "sma_50", "rsi_14", "macd", "macd_signal", "macd_hist",
-                                     "bb_upper", "bb_lower"]))
+CHART = ["date", "close", "sma_20", "sma_50", "rsi_14", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower"]
+
+
+def symbol_records(spark, sf):
+    """The exported JSON texts parsed back to rows."""
+    texts = store.symbol_json(I.indicator_suite(ohlcv(spark, sf), complete=True), CHART)
+    record = ", ".join(f"{c} {'date' if c == 'date' else 'double'}" for c in CHART)
+    return texts.select("symbol", "n_rows", F.inline(F.from_json("json", f"array<struct<{record}>>")))
+
+
+query("symbol_json_export", with_("suite", f"""
+    SELECT symbol, n_rows, {', '.join(CHART)} FROM (SELECT *, count(close) OVER (PARTITION BY symbol) AS n_rows FROM suite)
+    WHERE close IS NOT NULL AND n_rows >= 20"""))(symbol_records)
 
 # --- sentiment -------------------------------------------------------------------------------------------------------
 query("headline_scores", with_("headlines", "SELECT * FROM headlines"))(S.headlines)
@@ -151,8 +160,8 @@ def lexicon_df(spark, sf):
     return spark.createDataFrame(list(S.SAMPLE_LEXICON.items()), "token string, weight double")
 
 
-query("headline_scores_joined", with_("headlines", "SELECT doc_id, score FROM headlines"))(
-    lambda s, d: SE.lexicon_table_score(S.headlines(s, d).select("doc_id", "headline"), "doc_id", "headline", lexicon_df(s, d)))
+query("headline_scores_joined", with_("headlines", "SELECT doc_id || '-' || line AS id, score FROM headlines"))(
+    lambda s, d: SE.lexicon_table_score(S.headlines(s, d).select(F.concat_ws("-", "doc_id", "line").alias("id"), "headline"), "id", "headline", lexicon_df(s, d)))
 DS = f"SELECT date, {r('avg_score', 6)} AS avg_score, {r(f'avg(avg_score) OVER {w(7)}', 6)} AS rolling_7d FROM daily_sent"
 query("daily_sentiment", with_("daily_sent", DS))(
     lambda s, d: SE.daily_sentiment(sentiment(s, d)).select(

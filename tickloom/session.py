@@ -14,6 +14,8 @@ def local_session(cpus: int | str | None = None, app: str = "tickloom", **conf:
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # One machine: its executors share any local folder.
+        .config("spark.checkpoint.dir", os.environ.get("TICKLOOM_WORK", os.path.abspath("spark-warehouse")))
         .config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Local data is small: keep all cores busy instead of merging it into one partition.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.numeric import div, rnd
 from tickloom.functions.windows import whole
@@ -16,10 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def event_symbol(user_id: str = "user_id") -> Column:
+    """``U`` and the id with at least four digits; longer ids keep all of theirs."""
+    text = F.col(user_id).cast("string")
+    return F.concat(F.lit("U"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))
+
+
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("symbol"),
-        F.col("ts").cast("date").alias("date"), "ts", "event_id", "value")
+        event_symbol().alias("symbol"), F.col("ts").cast("date").alias("date"), "ts", "event_id", "value", "event_type")
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +68,17 @@ SAMPLE_LEXICON = {
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, date, doc_id, headline, score): one scored headline per document."""
+    """(symbol, date, doc_id, line, headline, score): one scored headline per line of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))
     week = F.expr("date_add(DATE'1995-01-02', CAST(7 * ((doc_id DIV 25) % 357) AS INT))")
+    lines = docs.select("doc_id", (F.col("doc_id") % 25).cast("int").alias("n_nationkey"), week.alias("date"),
+                        F.posexplode(F.split("text", "\n")).alias("line", "headline"))
     return (
-        docs.select("doc_id", (F.col("doc_id") % 25).cast("int").alias("n_nationkey"), week.alias("date"),
-                    F.trim(F.split("text", "\n")[0]).alias("headline"))
+        lines.withColumn("headline", F.trim("headline"))
         .where(F.length("headline") > 3)
         .join(nation, "n_nationkey")
-        .select("symbol", "date", "doc_id", "headline", lexicon_score(F.col("headline"), SAMPLE_LEXICON).alias("score"))
+        .select("symbol", "date", "doc_id", "line", "headline", lexicon_score(F.col("headline"), SAMPLE_LEXICON).alias("score"))
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """A fresh folder under the folder that the session names for checkpoints, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        raise ValueError("spark.checkpoint.dir is not set: streams and stored tables need a folder that all executors share")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the work folder and read it back: later passes scan a table instead of repeating the lineage."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drain(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query and surface its error."""
     query.awaitTermination()

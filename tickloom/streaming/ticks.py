@@ -14,6 +14,7 @@ from tickloom import config as cfg
 from tickloom.functions.numeric import div, rnd
 from tickloom.operators.preprocess import keep_one
 from tickloom.sources.market import bar_aggs, tick_order
+from tickloom.sources.sample import event_symbol
 from tickloom.streaming.runtime import drain
 
 SYM = ["symbol"]
@@ -24,7 +25,7 @@ def tick_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     raw = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
-    return raw.select(F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("symbol"), "event_id", "ts",
+    return raw.select(event_symbol().alias("symbol"), "event_id", "ts",
                       F.col("ts").cast("date").alias("date"), F.col("ts").cast("timestamp").alias("event_time"), "value")
 
 

@@ -104,6 +104,10 @@ SEVERITY_CRITICAL = 3.5
 SEVERITY_HIGH = 3.0
 MIN_BASELINE = 20
 
+# Statistics
+ALPHA = 0.05
+PCT_DISCREPANCY = 0.1
+
 # Feature selection
 CORR_CUTOFF = 0.92
 MIN_VARIANCE = 1e-5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -48,8 +50,29 @@ def normal_two_sided_p(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
-def fmt(pattern: str, *cols: Column) -> Column:
-    return F.format_string(pattern, *cols)
+def student_two_sided_p(t: Column, df: Column, exact_up_to: int = 1000) -> Column:
+    """Two-sided tail probability of Student's t with a whole number of degrees of freedom.
+
+    The finite sums of Abramowitz-Stegun 26.7.3 and 26.7.4; beyond ``exact_up_to`` degrees the normal law of 26.7.8.
+    """
+    df = df.cast("int")
+    cos2 = df / (df + t * t)
+    sin, cos = F.abs(t) / F.sqrt(df + t * t), F.sqrt(cos2)
+    odd = df % 2
+
+    def add(acc: Column, k: Column) -> Column:
+        ratio = (2 * k - 1 + odd) / (2 * k + odd)
+        term = acc["term"] * ratio * cos2
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    last = F.floor((F.least(df, F.lit(exact_up_to)) - odd) / 2).cast("int") - 1
+    terms = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.aggregate(terms, one, add)["sum"]
+    angle = F.asin(sin)
+    inside = F.when(odd == 0, sin * total).when(df == 1, angle * (2 / math.pi)).otherwise((angle + sin * cos * total) * (2 / math.pi))
+    z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
+    return F.when(df > exact_up_to, normal_two_sided_p(z)).when(df >= 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - inside)))
 
 
 def signed(c: Column, n: int) -> Column:
@@ -60,6 +83,3 @@ def signed(c: Column, n: int) -> Column:
 def fixed(c: Column, n: int) -> Column:
     return F.format_string(f"%.{n}f", rnd(c, n))
 
-
-def count_if(cond: Column) -> Column:
-    return F.count_if(cond)

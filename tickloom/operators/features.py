@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom import config as cfg
 from tickloom.functions import windows as W
@@ -84,36 +84,36 @@ def cross_asset_wide(features: DataFrame, symbols: Sequence[str], names: Sequenc
 
 # --- mutual information ------------------------------------------------------------------------------------------------
 
-def _bins(long: DataFrame, keys: list[str], value: str, n_bins: int) -> DataFrame:
-    """Right-closed quantile bin ids (lowest value included) from exact edges; repeated edges collapse."""
-    edges = quantiles(long, keys, value, [i / n_bins for i in range(n_bins + 1)], "_e")
-    cols = [F.col(f"_e{i}") for i in range(n_bins + 1)]
-    edges = edges.select(*keys, F.array_distinct(F.array(*cols)).alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return long.join(edges, keys).withColumn("_bin", F.greatest(below, F.lit(1)) - 1).drop("_edges")
-
-
 def mutual_information(df: DataFrame, features: Sequence[str], target: str = "returns_pct",
                        n_bins: int = cfg.MI_BINS) -> DataFrame:
     """(feature, mutual_information) over complete rows.
 
-    Quantile edges are exact and distributed; afterwards only (feature, bin, bin) counts are shuffled.
+    Quantile edges are exact and distributed; repeated edges collapse.  They are one row of features x (bins + 1) numbers, so every
+    task gets them all and counts its rows into (feature, bin, bin) cells; only those counts are shuffled.
     """
     names = [f for f in features if f != target]
     whole = df.select(target, *names).dropna()
-    long = whole.unpivot([target], names, "feature", "x")
-    binned = _bins(long, ["feature"], "x", n_bins).withColumnRenamed("_bin", "_xb")
-    y_edges = quantiles(whole, [], target, [i / n_bins for i in range(n_bins + 1)], "_e")
-    edges = y_edges.select(F.lit(1).alias("_k"), F.array_distinct(F.array(*[F.col(f"_e{i}") for i in range(n_bins + 1)])).alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: e < F.col(target)))
-    binned = binned.withColumn("_k", F.lit(1)).join(F.broadcast(edges), "_k").withColumn(
-        "_yb", F.greatest(below, F.lit(1)) - 1)
-    joint = binned.groupBy("feature", "_xb", "_yb").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    total = F.sum("_n").over(W.whole(["feature"]))
-    px, py = F.sum("_n").over(W.whole(["feature", "_xb"])), F.sum("_n").over(W.whole(["feature", "_yb"]))
-    terms = joint.select("feature", (F.col("_n") / total).alias("_p"), (px / total * (py / total)).alias("_q"))
-    mi = terms.groupBy("feature").agg(F.sum(F.col("_p") * F.log(F.col("_p") / F.col("_q"))).alias("_mi"))
-    return mi.select("feature", F.greatest(F.lit(0.0), rnd(F.col("_mi"), 6)).alias("mutual_information"))
+    every = whole.unpivot([], [target, *names], "feature", "x")
+    cuts = [F.col(f"_e{i}") for i in range(n_bins + 1)]
+    edges = quantiles(every, ["feature"], "x", [i / n_bins for i in range(n_bins + 1)], "_e").select(
+        "feature", F.array_distinct(F.array(*cuts)).alias("_edges"))
+    row = edges.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", "_edges"))).alias("_all")).withColumn("_k", F.lit(1))
+    with_edges = whole.withColumn("_k", F.lit(1)).join(F.broadcast(row), "_k")  # a global aggregate: exactly one row
+
+    def bin_of(c: str) -> Column:
+        """Right-closed bin, lowest value included."""
+        below = F.size(F.filter(F.col("_all")[c], lambda e: e < F.col(c)))
+        return (F.greatest(below, F.lit(1)) - 1).cast("short")
+
+    binned = with_edges.select(bin_of(target).alias("_yb"), *[bin_of(c).alias(c) for c in names])
+    cells = binned.select("_yb", F.posexplode(F.array(*names)).alias("_f", "_xb"))
+    joint = cells.groupBy("_f", "_xb", "_yb").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    total = F.sum("_n").over(W.whole(["_f"]))
+    px, py = F.sum("_n").over(W.whole(["_f", "_xb"])), F.sum("_n").over(W.whole(["_f", "_yb"]))
+    terms = joint.select("_f", (F.col("_n") / total).alias("_p"), (px / total * (py / total)).alias("_q"))
+    mi = terms.groupBy("_f").agg(F.sum(F.col("_p") * F.log(F.col("_p") / F.col("_q"))).alias("_mi"))
+    label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_f") + 1)
+    return mi.select(label.alias("feature"), F.greatest(F.lit(0.0), rnd(F.col("_mi"), 6)).alias("mutual_information"))
 
 
 # --- selection ---------------------------------------------------------------------------------------------------------

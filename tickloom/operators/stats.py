@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom import config as cfg
 from tickloom.functions import ladders
-from tickloom.functions.numeric import adjusted_kurtosis, adjusted_skew, div, normal_two_sided_p, rnd
+from tickloom.functions.numeric import adjusted_kurtosis, adjusted_skew, div, normal_two_sided_p, rnd, student_two_sided_p
 from tickloom.operators.orderstats import average_rank, quantiles, ranked_values
 
 DAY = ["date"]
@@ -100,7 +100,7 @@ def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date
 
 
 def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",), ids: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Spearman ρ of every column pair per group, with strength, direction and the t statistic."""
+    """Spearman ρ of every column pair per group, with strength, direction, the t statistic, its p-value and significance."""
     by = list(by)
     ranked = with_ranks(df.select(*by, *ids, *columns).dropna(), columns, by, ids)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
@@ -111,8 +111,16 @@ def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",
     out = long.select(*by, "n", F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), rho.alias("rho"))
     t = F.when(F.abs("rho") < 1, div(F.col("rho") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))),
                                      F.sqrt(1 - F.col("rho") * F.col("rho"))))
-    return out.select("*", rnd(t, 6).alias("t_stat"), ladders.corr_strength(F.col("rho")).alias("strength"),
-                      ladders.corr_direction(F.col("rho")).alias("direction"))
+    p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(student_two_sided_p(t, F.col("n") - 2))
+    p = rnd(F.when(F.col("n") >= 3, p), 4)
+    return out.select("*", rnd(t, 6).alias("t_stat"), p.alias("p_value"), F.coalesce(p < cfg.ALPHA, F.lit(False)).alias("significant"),
+                      ladders.corr_strength(F.col("rho")).alias("strength"), ladders.corr_direction(F.col("rho")).alias("direction"))
+
+
+def pct_discrepancy(prices: DataFrame, threshold: float = cfg.PCT_DISCREPANCY) -> DataFrame:
+    """Rows whose percent change differs from the one that price and change imply by more than ``threshold``."""
+    d = F.abs(div(F.col("change"), F.col("price") - F.col("change")) * 100 - F.col("pct_change"))
+    return prices.withColumn("discrepancy", d).where(F.col("discrepancy") > threshold)
 
 
 def mann_whitney(prices: DataFrame, value: str = "price", by: Sequence[str] = ("date",)) -> DataFrame:
@@ -134,7 +142,7 @@ def mann_whitney(prices: DataFrame, value: str = "price", by: Sequence[str] = ("
     return (sides.join(ties, by).where((a > 0) & (b > 0))
             .select(*by, "n_gain", "n_loss", rnd(u, 1).alias("u_stat"), rnd(z, 6).alias("z"),
                     rnd(normal_two_sided_p(z), 4).alias("p_value"))
-            .withColumn("reject", F.coalesce(F.col("p_value") < 0.05, F.lit(False))))
+            .withColumn("reject", F.coalesce(F.col("p_value") < cfg.ALPHA, F.lit(False))))
 
 
 def jarque_bera(df: DataFrame, value: str, by: Sequence[str] = ("date",)) -> DataFrame:
@@ -144,7 +152,7 @@ def jarque_bera(df: DataFrame, value: str, by: Sequence[str] = ("date",)) -> Dat
     s, k = F.col("_s"), F.col("_k")
     jb = F.col("n") / F.lit(6.0) * (s * s + k * k / 4)
     return m.where(F.col("n") >= 3).select(*by, "n", rnd(jb, 4).alias("jb"), rnd(F.exp(-jb / 2), 6).alias("p_value")).withColumn(
-        "non_normal", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
+        "non_normal", F.coalesce(F.col("p_value") < cfg.ALPHA, F.lit(False)))
 
 
 def tier_counts(prices: DataFrame) -> DataFrame:
@@ -213,7 +221,7 @@ def day_report(prices: DataFrame) -> DataFrame:
         F.skewness("price").alias("_g1"), F.kurtosis("price").alias("_g2"))
     q = quantiles(prices, DAY, "price", [0.25, 0.5, 0.75])
     out = iqr_outliers(prices).groupBy("date").agg(F.count(F.lit(1)).alias("n_outliers"))
-    rho = spearman(prices, ["price", "pct_change"]).select("date", F.col("rho").alias("sp_corr"),
+    rho = spearman(prices, ["price", "pct_change"]).select("date", F.col("rho").alias("sp_corr"), F.col("p_value").alias("sp_p"),
                                                           F.col("strength").alias("sp_strength"))
     mw = mann_whitney(prices).select("date", "u_stat", F.col("p_value").alias("mw_p"), F.col("reject").alias("mw_reject"))
     n, sd = F.col("n_total"), F.col("_sd")
@@ -224,6 +232,6 @@ def day_report(prices: DataFrame) -> DataFrame:
                 rnd(adjusted_kurtosis(F.col("_g2"), n, sd), 4).alias("price_kurt"), rnd(F.col("q0"), 4).alias("q1"),
                 rnd(F.col("q2"), 4).alias("q3"), rnd(F.col("q2") - F.col("q0"), 4).alias("iqr"),
                 rnd(F.col("q2") + 1.5 * (F.col("q2") - F.col("q0")), 4).alias("upper_fence"),
-                F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"), "sp_corr", "sp_strength", "u_stat", "mw_p",
+                F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"), "sp_corr", "sp_p", "sp_strength", "u_stat", "mw_p",
                 "mw_reject")
     )

@@ -69,15 +69,21 @@ def ranks(c: str) -> str:
 
 CTE["ranked"] = (("event_prices",), f"""SELECT date, {ranks('price')}, {ranks('change')}, {ranks('pct_change')} FROM event_prices
     WHERE price IS NOT NULL AND change IS NOT NULL AND pct_change IS NOT NULL""")
+# Student's t by gamma functions: the sums are over whole degrees of freedom.
+STUDENT = """CASE WHEN n < 3 OR rho IS NULL THEN NULL WHEN abs(rho) >= 1 THEN 0.0 WHEN n % 2 = 0 THEN 1 - s * coalesce(list_sum(list_transform(
+        range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2 + k * ln(c2)))), 0)
+    ELSE 1 - 2 / pi() * (asin(s) + s * sqrt(c2) * sqrt(pi()) / 2 * coalesce(list_sum(list_transform(
+        range(0, (n - 3) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + k * ln(c2)))), 0)) END"""
 SPEARMAN = """
-    SELECT *, {t} AS t_stat, CASE WHEN rho IS NULL THEN 'undefined' WHEN abs(rho) < 0.1 THEN 'negligible'
+    SELECT n, date, x, y, rho, t_stat, p_value, coalesce(p_value < 0.05, false) AS significant, CASE WHEN rho IS NULL THEN 'undefined' WHEN abs(rho) < 0.1 THEN 'negligible'
            WHEN abs(rho) < 0.3 THEN 'weak' WHEN abs(rho) < 0.5 THEN 'moderate' ELSE 'strong' END AS strength,
-           CASE WHEN rho < 0 THEN 'negative' WHEN rho >= 0 THEN 'positive' ELSE 'undefined' END AS direction FROM ({pairs})"""
+           CASE WHEN rho < 0 THEN 'negative' WHEN rho >= 0 THEN 'positive' ELSE 'undefined' END AS direction
+    FROM (SELECT *, {p} AS p_value FROM (SELECT *, {t} AS t_stat, (n - 2) / (n - 2 + tt * tt) AS c2, abs(tt) / sqrt(n - 2 + tt * tt) AS s
+          FROM (SELECT *, CASE WHEN abs(rho) < 1 THEN rho * sqrt(greatest(n - 2, 0)) / nullif(sqrt(1 - rho * rho), 0) END AS tt FROM ({pairs}))))"""
 PAIRS = " UNION ALL ".join(
     f"SELECT date, count(*) AS n, '{a}' AS x, '{b}' AS y, {r(f'corr(r_{a}, r_{b})', 6)} AS rho FROM ranked GROUP BY date"
     for a, b in (("price", "change"), ("price", "pct_change"), ("change", "pct_change")))
-SPEARMAN = SPEARMAN.format(pairs=PAIRS, t=r(
-    "CASE WHEN abs(rho) < 1 THEN rho * sqrt(greatest(n - 2, 0)) / nullif(sqrt(1 - rho * rho), 0) END", 6))
+SPEARMAN = SPEARMAN.format(pairs=PAIRS, t=r("tt", 6), p=r(STUDENT, 4))
 query("spearman_matrix", with_("ranked", SPEARMAN))(
     lambda s, d: T.spearman(ep(s, d), ["price", "change", "pct_change"]))
 
@@ -152,7 +158,7 @@ query("session_scalars", with_("event_prices", f"""
 query("day_report", with_("fences ranked mw", f"""
     SELECT date, n_total, price_mean, price_median, price_std, price_skew, price_kurt, {r('f.q1', 4)} AS q1, {r('f.q3', 4)} AS q3,
            {r('f.q3 - f.q1', 4)} AS iqr, {r('f.q3 + 1.5 * (f.q3 - f.q1)', 4)} AS upper_fence,
-           coalesce(o.n_outliers, 0) AS n_outliers, sp.rho AS sp_corr, sp.strength AS sp_strength, m.u_stat,
+           coalesce(o.n_outliers, 0) AS n_outliers, sp.rho AS sp_corr, sp.p_value AS sp_p, sp.strength AS sp_strength, m.u_stat,
            m.p_value AS mw_p, m.reject AS mw_reject
     FROM (SELECT date, count(*) AS n_total, {r('avg(price)', 4)} AS price_mean, {r('median(price)', 4)} AS price_median,
                  {r('stddev_samp(price)', 4)} AS price_std, {r(skew_sql('price'), 4)} AS price_skew,

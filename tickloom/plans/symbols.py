@@ -10,6 +10,7 @@ from tickloom.functions import ladders, windows as W
 from tickloom.functions.numeric import div, rnd
 from tickloom.operators import indicators as I, preprocess as P
 from tickloom.plans.market import event_hist, trade_hist
+from tickloom.operators.stats import pct_discrepancy
 from tickloom.plans.registry import query
 from tickloom.plans.sqlviews import CTE, ema_sql, ewm_sql, r, w, with_
 from tickloom.sources import sample as S
@@ -264,12 +265,10 @@ query("pct_recompute", with_("event_prices", f"""
     lambda s, d: pct_recompute(S.event_prices(s, d)).select("symbol", "date", "pct_change"))
 query("pct_discrepancy", with_("event_prices", f"""
     SELECT symbol, date, {r('d', 6)} AS discrepancy FROM (SELECT symbol, date,
-           abs({r('change', 2)} / nullif(price - {r('change', 2)}, 0) * 100 - {r('pct_change', 1)}) AS d FROM event_prices)
-    WHERE d > 0.04"""))(
-    lambda s, d: S.event_prices(s, d).select(
-        "symbol", "date", "price", rnd(F.col("change"), 2).alias("c"), rnd(F.col("pct_change"), 1).alias("p"))
-    .select("symbol", "date", F.abs(div(F.col("c"), F.col("price") - F.col("c")) * 100 - F.col("p")).alias("d"))
-    .where("d > 0.04").select("symbol", "date", rnd(F.col("d"), 6).alias("discrepancy")))
+           abs({r('change', 2)} / nullif(price - {r('change', 2)}, 0) * 100 - pct_change) AS d FROM event_prices)
+    WHERE d > 0.1"""))(
+    lambda s, d: pct_discrepancy(S.event_prices(s, d).withColumn("change", rnd(F.col("change"), 2)))
+    .select("symbol", "date", rnd(F.col("discrepancy"), 6).alias("discrepancy")))
 
 
 def messy_bars(spark, sf):

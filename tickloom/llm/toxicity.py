@@ -33,7 +33,7 @@ LANDMARKS, GRAMS = 48, (4, 5, 6)
 SUPPORT = 0.04  # least share of toxic documents with a landmark: fewer is chance or copies
 TRAIN_ROWS, TRAIN_BYTES = 1500, 12 << 20
 THRESHOLD = 0.7
-CHUNK = 4096  # words compared at once
+CHUNK, WORDS_AT_ONCE = 4096, 1 << 17  # words compared at once, words prepared at once
 WORDS = 50  # to which the kernel values of a text are related
 WIDTH = 24  # letters compared at once; longer words are compared in overlapping parts
 
@@ -172,12 +172,17 @@ class Model:
         if not len(start):
             return out
         _, first, back = np.unique(span_hash(prefix_hash(letters), start, end), return_index=True, return_inverse=True)
-        parts, word = matrix(letters, start[first], end[first])
-        values = self.words(parts)
-        hit = np.flatnonzero(values.any(1))
-        names, at = np.unique(word[hit], return_inverse=True)
+        hits, hit_words = [np.zeros((0, len(self.rows)), np.float32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(first), WORDS_AT_ONCE):
+            some = first[lo:lo + WORDS_AT_ONCE]
+            parts, word = matrix(letters, start[some], end[some])
+            values = self.words(parts)
+            hit = np.flatnonzero(values.any(1))
+            hits.append(values[hit])
+            hit_words.append(word[hit] + lo)
+        names, at = np.unique(np.concatenate(hit_words), return_inverse=True)
         by_word = np.zeros((len(names), len(self.rows)), dtype=np.float32)
-        np.maximum.at(by_word, at, values[hit])
+        np.maximum.at(by_word, at, np.concatenate(hits))
         place = np.full(len(first), -1)
         place[names] = np.arange(len(names))
         use = np.flatnonzero(place[back] >= 0)
@@ -347,7 +352,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, limit=8 << 20):
+            for piece in slices(batch):
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shared.value.scores(piece.column("text")), pa.float64())], names=names)
 
     return docs.mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))

@@ -59,9 +59,12 @@ def test_series_longer_than_one_block_carries_over(spark):
     assert E.block_rows([E.Ewm("a", "x", 0.3)]) < 5000
 
 
-def test_alphas_too_far_apart_are_refused():
-    with pytest.raises(ValueError):
-        E.block_rows([E.Ewm("a", "x", 0.9), E.Ewm("b", "x", 0.001)])
+def test_sparse_series_and_any_block_size(spark):
+    xs = [float(v) if RNG.random() < 0.05 else None for v in RNG.normal(1000, 50, 1500)]
+    specs = [E.Ewm("a", "x", 1 / 19, 1, None), E.Ewm("b", "x", 0.7, 1, None), E.Ewm("c", "x", 0.001, 3, None)]
+    for block in (1, 50, 333):
+        check(spark, {"sparse": xs, "full": [float(v) for v in RNG.normal(5, 1, 400)]}, specs, block=block)
+    check(spark, {"full": [float(v) for v in RNG.normal(5, 1, 400)]}, specs, block=50, nulls=False)
 
 
 def test_alpha_per_row(spark):

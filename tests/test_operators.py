@@ -253,7 +253,7 @@ def test_html_fallbacks_and_unreadable_rows(spark):
 def test_representative_headline_is_nearest_the_mean(spark):
     h = spark.createDataFrame([("A", DAY0, 1, "up", 0.9), ("A", DAY0, 2, "flat", 0.1), ("A", DAY0, 3, "down", -0.7), ("A", DAY0, 4, "flat too", 0.1)],
                               "symbol string, date date, doc_id int, headline string, score double")
-    r = SE.headline_sentiment(h).first()
+    r = SE.headline_sentiment(h, ["doc_id"]).first()
     assert (r.top_headline, r.headlines_used, r.sentiment_score, r.sentiment_label) == ("flat", 4, 0.1, "Bullish")
 
 
@@ -268,3 +268,29 @@ def test_model_scorer_batches_and_falls_back(spark):
     score = SE.model_score(load, fallback=lambda ts: [-1.0] * len(ts), batch=1)
     df = spark.createDataFrame([("abc",), ("bad",)], "t string").coalesce(1)
     assert {r.t: r.s for r in df.select("t", score("t").alias("s")).collect()} == {"abc": 0.3, "bad": -1.0}
+
+
+def test_long_symbol_ids_keep_their_digits(spark):
+    from tickloom.sources import sample
+    got = spark.createDataFrame([(7,), (1234,), (12345,), (12340,), (1234567,)], "user_id bigint").select(sample.event_symbol().alias("s"))
+    assert [r.s for r in got.collect()] == ["U0007", "U1234", "U12345", "U12340", "U1234567"]
+
+
+def test_selection_drops_rows_incomplete_among_the_survivors(spark):
+    from tickloom.operators import features as X
+    rows = [(1.0, 1.0, 5.0), (2.0, -1.0, None), (3.0, 2.0, 5.0), (4.0, 1.5, None), (5.0, 3.0, 5.0), (2.5, 4.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double")
+    assert [r.feature for r in X.select_features(df, ["a", "b", "flat"]).orderBy("position").collect()] == ["a", "b"]
+    one = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    assert not any(r.kept for r in X.variance_filter(one, ["a", "b"]).collect())
+    assert all(r.kept for r in X.variance_filter(one.limit(0), ["a", "b"]).collect())
+
+
+def test_student_p_values(spark):
+    from tickloom.functions.numeric import student_two_sided_p
+    # (t, degrees of freedom, two-sided p): tabulated 5 % and 1 % points, and t = 0
+    known = [(12.7062, 1, 0.05), (4.3027, 2, 0.05), (2.5706, 5, 0.05), (2.2281, 10, 0.05), (63.6567, 1, 0.01), (3.1693, 10, 0.01),
+             (1.9840, 100, 0.05), (2.6259, 100, 0.01), (0.0, 7, 1.0), (1.9623, 1000, 0.05), (1.9612, 2000, 0.05)]
+    df = spark.createDataFrame([(float(t), n, p) for t, n, p in known], "t double, n int, p double")
+    for r in df.select("p", student_two_sided_p(F.col("t"), F.col("n")).alias("got")).collect():
+        assert abs(r.got - r.p) < 5e-5

@@ -38,8 +38,9 @@ def test_partition_overwrite_touches_only_its_days(spark, tmp_path):
 
 def test_symbol_json_has_one_record_per_day(spark, sf):
     import json
-    got = QUERIES["symbol_json_export"](spark, sf).collect()
-    assert got
+    bars = S.event_bars(spark, sf)
+    got = store.symbol_json(bars, ["date", "close"], 5).collect()
+    assert got and QUERIES["symbol_json_export"](spark, sf).count() > 0
     for r in got:
         recs = json.loads(r.json)
         assert len(recs) == r.n_rows and [x["date"] for x in recs] == sorted(x["date"] for x in recs)
@@ -111,3 +112,32 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_late_and_repeated_ticks_reach_their_bars(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "job")
+    files = [[(1, "2024-01-01 10:00", 12345, 5.0), (2, "2024-01-01 11:00", 12345, 7.0)], [(3, "2024-01-10 10:00", 12345, 1.0), (3, "2024-01-10 10:00", 12345, 1.0)],
+             [(4, "2024-01-11 10:00", 7, 2.0)], [(5, "2024-01-01 12:00", 12345, 9.0), (6, "2024-01-02 09:00", 7, 4.0), (1, "2024-01-01 10:00", 12345, 5.0)]]
+    for k, rows in enumerate(files):
+        ticks(spark, folder, f"part{k}", rows)
+        got = TK.run_bars(TK.tick_stream(spark, folder + "/*", "*.parquet"), base)
+    rows = {(r.symbol, r.date.isoformat()): (r.open, r.high, r.low, r.close, r.volume) for r in got.collect()}
+    assert rows == {("U12345", "2024-01-01"): (5.0, 9.0, 5.0, 9.0, 3.0), ("U12345", "2024-01-10"): (1.0, 1.0, 1.0, 1.0, 1.0),
+                    ("U0007", "2024-01-11"): (2.0, 2.0, 2.0, 2.0, 1.0), ("U0007", "2024-01-02"): (4.0, 4.0, 4.0, 4.0, 1.0)}
+    assert [r.date.isoformat() for r in TK.late_days(spark, base).collect()] == ["2024-01-01"]
+    replay = spark.createDataFrame([("U0007", 4, dt.datetime(2024, 1, 11, 10), 2.0, dt.date(2024, 1, 11))],
+                                   "symbol string, event_id bigint, ts timestamp_ntz, value double, date date")
+    TK.bar_sink(base)(replay, 2)  # the third batch once more
+    assert spark.read.parquet(base + "/table").count() == 4
+
+
+def test_a_stopped_merge_goes_on_from_its_side_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    sink = TK.upsert_sink(path)
+    schema = "symbol string, date date, close double"
+    day = dt.date(2024, 1, 3)
+    sink(spark.createDataFrame([("A", day, 1.0), ("B", day, 2.0)], schema), 0)
+    sink(spark.createDataFrame([("A", day, 5.0)], schema), 1)
+    spark.createDataFrame([("A", day, 5.0)], schema).write.mode("overwrite").partitionBy("date").parquet(path)  # died while replacing
+    sink(spark.createDataFrame([("A", day, 5.0)], schema), 1)
+    assert {r.symbol: r.close for r in spark.read.parquet(path).collect()} == {"A": 5.0, "B": 2.0}

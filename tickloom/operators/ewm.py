@@ -6,8 +6,9 @@ window aggregate, so recursive indicators stay in the JVM, share the symbol's
 sort with the other windows, and need no per-group Python call.
 
 ``q^-s`` overflows on a long series, so rows are cut into blocks short enough to
-stay finite and long enough that what lies two blocks back weighs nothing
-(below 1e-15); a block starts from the last value of the earlier ones.
+stay finite.  Each block's last value and decay are folded over the earlier
+blocks (a handful per symbol), so a row inherits the exact value of all rows
+before its block, whatever the block size and however sparse the series.
 
 A missing value keeps the average where it is and lets the old weight decay one
 step per row: after ``k`` rows the new value gets ``a / (q^k + a)``.
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.functions.numeric import rnd
 
 FINITE = 600.0  # exp(600) is far from overflow
-NEGLIGIBLE = 72.0  # decay needed over one block; missing values may halve it
 
 
 @dataclass(frozen=True)
@@ -70,10 +70,7 @@ def block_rows(specs: Sequence[Ewm]) -> int:
     high = max(s.limits()[1] for s in specs)
     if not 0 < low <= high < 1:
         raise ValueError("alpha must lie strictly between 0 and 1")
-    rows = int(FINITE / -math.log(1 - high))
-    if rows * -math.log(1 - low) < NEGLIGIBLE:
-        raise ValueError(f"alphas {low} and {high} are too far apart for one pass; split them over two calls")
-    return rows
+    return int(FINITE / -math.log(1 - high))
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
@@ -131,9 +128,22 @@ def with_ewm(df: DataFrame, keys: Sequence[str], specs: Sequence[Ewm], order: st
         count = [c("_rn") - specs[j].skip for j in n]
     scale = [F.pow(1 - alpha(j), c("_i")) if stretch[j] is None else F.pow(1 - alpha(j), c("_i")) * stretch[j] for j in n]
     d = d.select("*", *[F.sum(weight[j] * c(specs[j].src) / scale[j]).over(in_block).alias(f"_s{j}") for j in n])
-    # The newest observation of all earlier blocks: its value within its own block, and its row.
-    d = d.select("*", *[F.max_by(F.struct((scale[j] * col("s", j)).alias("z"), c("_rn").alias("r")), at(j)).over(earlier)
-                        .alias(f"_c{j}") for j in n])
+    # The last observation of each block: its row, its value from its own block alone, and its stretch ...
+    whole = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.select("*", *[F.when(c("_rn") == F.max(at(j)).over(whole), F.struct(
+        c("_rn").alias("r"), (scale[j] * col("s", j)).alias("z"), (F.lit(1.0) if stretch[j] is None else stretch[j]).alias("g")))
+        .alias(f"_l{j}") for j in n])
+    # ... folded over the blocks before a row's own.
+    d = d.select("*", *[F.collect_list(col("l", j)).over(earlier).alias(f"_p{j}") for j in n])
+
+    def fold(j: int) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            before = acc["z"] * F.pow(1 - alpha(j), e["r"] - acc["r"]) * e["g"]
+            return F.struct((e["z"] + F.coalesce(before, F.lit(0.0))).alias("z"), e["r"].alias("r"))
+
+        return F.aggregate(col("p", j), F.struct(F.lit(None).cast("double").alias("z"), F.lit(None).cast("int").alias("r")), step)
+
+    d = d.select("*", *[fold(j).alias(f"_c{j}") for j in n])
     ys = []
     for j in n:
         inherited = col("c", j)["z"] * F.pow(1 - alpha(j), c("_rn") - col("c", j)["r"])

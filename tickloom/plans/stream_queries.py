@@ -17,11 +17,32 @@ from tickloom.streaming import incremental as INC, ticks as TK
 from tickloom.streaming.runtime import append_all, work_dir
 
 
+# Deliveries of the events: days in turn, and a few ticks of even days long after their day.
+SLICE = "CASE WHEN event_id % 50 = 7 AND day(ts) % 2 = 0 THEN 4 ELSE day(ts) % 4 END"
+SLICES = 5
+
+
+def delivered(spark, sf, base: str):
+    """The events as one file for each of several deliveries, read one per micro-batch."""
+    path = os.path.join(base, "in")
+    S.table(spark, sf, "events").withColumn("slice", F.expr(SLICE)).repartition(SLICES, "slice").write.partitionBy("slice").parquet(path)
+    return TK.tick_stream(spark, path, "*.parquet")
+
+
 def bars(spark, sf):
-    return TK.run_upsert(TK.bar_stream(TK.tick_stream(spark, sf)), work_dir(spark, "bars"))
+    base = work_dir(spark, "bars")
+    return TK.run_bars(delivered(spark, sf, base), base)
+
+
+def late(spark, sf):
+    base = work_dir(spark, "late")
+    TK.run_bars(delivered(spark, sf, base), base)
+    return TK.late_days(spark, base).select("date").distinct()
 
 
 query("stream_bars", with_("event_bars", "SELECT * FROM event_bars"))(bars)
+query("stream_late_days", f"""
+    SELECT date FROM (SELECT DISTINCT CAST(ts AS DATE) AS date, {SLICE} AS slice FROM events) GROUP BY date HAVING count(*) > 1""")(late)
 query("stream_daily_aggregates", with_("event_hist", f"SELECT {HIST_COLS} FROM event_hist"))(
     lambda s, d: D.daily_breadth(prices_from_bars(bars(s, d))).drop("universe"))
 
@@ -37,17 +58,17 @@ query("stream_dedup", f"""
     SELECT {SYMBOL} AS symbol, event_id, CAST(ts AS DATE) AS date, value FROM events""")(replayed)
 
 
-def stored_bars(spark, sf, name: str) -> str:
-    path = os.path.join(work_dir(spark, name), "bars")
-    S.event_bars(spark, sf).write.parquet(path)
-    return path
+WEEKS, FILES = 5, 2
 
 
 def ema(spark, sf):
-    path = stored_bars(spark, sf, "ema")
-    src = spark.readStream.schema("symbol string, date date, open double, high double, low double, close double, volume double"
-                                  ).option("maxFilesPerTrigger", 1000).parquet(path)
-    out = append_all(TK.ema_stream(src.select("symbol", "date", "close")), work_dir(spark, "ema"))
+    """Bars arrive week by week, one micro-batch each; the state goes from batch to batch."""
+    path = os.path.join(work_dir(spark, "ema"), "bars")
+    all_bars = S.event_bars(spark, sf).withColumn("w", F.least(F.lit(WEEKS - 1), F.floor((F.dayofmonth("date") - 1) / 7)))
+    for week in range(WEEKS):
+        all_bars.where(F.col("w") == week).select("symbol", "date", "close").repartition(FILES).write.mode("append").parquet(path)
+    src = spark.readStream.schema("symbol string, date date, close double").option("maxFilesPerTrigger", FILES).parquet(path)
+    out = append_all(TK.ema_stream(src), work_dir(spark, "ema"))
     return out.select("symbol", "date", I.rnd(F.col("ema"), 4).alias("ema"), "late")
 
 

@@ -15,7 +15,7 @@ from tickloom.functions.numeric import div, rnd
 from tickloom.operators.preprocess import keep_one
 from tickloom.sources.market import bar_aggs, tick_order
 from tickloom.sources.sample import event_symbol
-from tickloom.streaming.runtime import drain
+from tickloom.streaming.runtime import drain, exists
 
 SYM = ["symbol"]
 
@@ -34,12 +34,42 @@ def dedup_stream(ticks: DataFrame, keys: Sequence[str], delay: str = "2 days") -
     return ticks.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def bar_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Daily bars by event time: the batch aggregates over a tumbling one-day window."""
-    day = F.window("event_time", "1 day")
-    return (ticks.withWatermark("event_time", delay).groupBy("symbol", day)
-            .agg(*bar_aggs("value", tick_order(F.col("ts"), F.col("event_id"))), F.min("date").alias("date"))
-            .select("symbol", "date", "open", "high", "low", "close", "volume"))
+def bar_sink(base: str):
+    """``foreachBatch`` writer of daily bars that survive late ticks and replays.
+
+    A batch's ticks become their own folder of a raw table, so writing it twice leaves it once.  The days they touch are then
+    aggregated again from all raw ticks (one per event_id) and replace exactly those days of the bars.  Nothing that is being replaced
+    is read, no tick is too late, and no state grows with time.  Days that had raw ticks before this batch are noted as late.
+    """
+    raw, out, late = (os.path.join(base, n) for n in ("ticks", "table", "late"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = ["symbol", "event_id", "ts", "value", "date"]
+        batch.select(*own).write.mode("overwrite").partitionBy("date").parquet(os.path.join(raw, f"batch={batch_id}"))
+        every = spark.read.schema("symbol string, event_id bigint, ts timestamp_ntz, value double, batch long, date date").parquet(raw)
+        days = batch.select("date").distinct()
+        touched = every.join(days, "date", "left_semi")
+        (touched.where(F.col("batch") < batch_id).select("date").distinct().write.mode("overwrite").parquet(os.path.join(late, f"batch={batch_id}")))
+        ticks = touched.dropDuplicates(["symbol", "date", "event_id"])
+        bars = ticks.groupBy("symbol", "date").agg(*bar_aggs("value", tick_order(F.col("ts"), F.col("event_id"))))
+        (bars.hint("rebalance", F.col("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("date").parquet(out))
+
+    return write
+
+
+def run_bars(ticks: DataFrame, base: str) -> DataFrame:
+    """Drain a finite tick stream into a day-partitioned bar table and read it back."""
+    drain(ticks.writeStream.option("checkpointLocation", os.path.join(base, "ck")).foreachBatch(bar_sink(base)).trigger(availableNow=True).start())
+    schema = "symbol string, open double, high double, low double, close double, volume double, date date"
+    return ticks.sparkSession.read.schema(schema).parquet(os.path.join(base, "table")).select(
+        "symbol", "date", "open", "high", "low", "close", "volume")
+
+
+def late_days(spark: SparkSession, base: str) -> DataFrame:
+    """(batch, date): days of which a batch brought more ticks after they had been stored."""
+    return spark.read.schema("date date, batch long").parquet(os.path.join(base, "late")).select("batch", "date")
 
 
 def stored_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -55,18 +85,20 @@ def stored_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFram
 def upsert_sink(path: str, keys: Sequence[str] = ("symbol", "date"), day: str = "date"):
     """``foreachBatch`` writer that merges a batch into a day-partitioned table.
 
-    A late or corrected row rewrites its own day only; replaying a batch after a failure gives the same table.  The old
-    rows of the touched days are first materialised in a side table, since they are read from the path being replaced.
+    A late or corrected row rewrites its own day only; replaying a batch after a failure gives the same table.  The old rows of the
+    touched days are read from the path being replaced, so the merged days are first written to a side table of this batch; once that is
+    complete, a replay continues from it and never merges with half-replaced days.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("_new", F.lit(1))
-        stored = stored_or_empty(spark, path, batch)
-        old = stored.join(batch.select(day).distinct(), day, "left_semi").select(*batch.columns).withColumn("_new", F.lit(0))
-        side = f"{path.rstrip('/')}-merge"
-        keep_one(old.unionByName(fresh), list(keys), ["_new"], last=True).drop("_new").write.mode("overwrite").parquet(side)
-        (spark.read.parquet(side).hint("rebalance", F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(day).parquet(path))
+        side = f"{path.rstrip('/')}-merge-{batch_id}"
+        if not exists(spark, f"{side}/_SUCCESS"):
+            fresh = batch.withColumn("_new", F.lit(1))
+            stored = stored_or_empty(spark, path, batch)
+            old = stored.join(batch.select(day).distinct(), day, "left_semi").select(*batch.columns).withColumn("_new", F.lit(0))
+            keep_one(old.unionByName(fresh), list(keys), ["_new"], last=True).drop("_new").write.mode("overwrite").parquet(side)
+        (spark.read.schema(batch.schema).parquet(side).hint("rebalance", F.col(day)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
 
     return write
 

@@ -40,7 +40,7 @@ PERIOD, COVER = 73, (0, 1, 12, 20, 26, 30, 33, 35, 57)
 SAMPLE = LENGTH - PERIOD + 1
 CUT = 8  # bytes that decide a cut; one position in 64 is one
 BUCKET_BYTES = 16 << 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -52,9 +52,9 @@ class Block:
         self.bounds = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, dtype=np.int64))))
         self.ids = np.frombuffer(ids, dtype=np.int64)
         self.sums = prefix_hash(self.raw)
-        size = np.diff(self.bounds)
-        self.stop = np.repeat(self.bounds[1:], size)  # end of each byte's document
-        self.start = np.repeat(self.bounds[:-1], size)
+        size, narrow = np.diff(self.bounds), self.bounds.astype(np.min_scalar_type(-int(self.bounds[-1]) - 1))
+        self.stop = np.repeat(narrow[1:], size)  # end of each byte's document
+        self.start = np.repeat(narrow[:-1], size)
 
     def names(self, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names of spans in ascending order, the first span of each, and each span's name."""
@@ -79,7 +79,7 @@ class Block:
         cut = np.zeros(n, dtype=bool)
         cut[:n - CUT + 1] = ((eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)) == 0
         cut[n - LENGTH + 1:] = False
-        cut &= np.arange(n) + LENGTH <= self.stop  # a cut is a suffix of full length
+        cut &= np.arange(n, dtype=self.stop.dtype) <= self.stop - LENGTH  # a cut is a suffix of full length
         cut[self.bounds[:-1][np.diff(self.bounds) >= LENGTH]] = True
         start = np.flatnonzero(cut)
         after = np.minimum(np.append(start[1:], n), self.stop[start] - LENGTH + 1)
@@ -94,7 +94,7 @@ class Block:
         starts, ends = runs(live)
         np.add.at(reach, starts, 1)
         np.add.at(reach, ends + PERIOD - 1, -1)
-        at = np.flatnonzero(np.cumsum(reach)[:n] > 0)
+        at = np.flatnonzero(np.cumsum(reach, dtype=np.int32)[:n] > 0)
         return at[cover[(at - self.start[at]) % PERIOD] & (at + SAMPLE <= self.stop[at])]
 
 
@@ -126,7 +126,7 @@ class State:
             step = np.zeros(n + 1, np.int32)
             np.add.at(step, start[which], 1)
             np.add.at(step, after[which], -1)
-            flags[:] = np.cumsum(step)[:n] > 0
+            flags[:] = np.cumsum(step, dtype=np.int32)[:n] > 0
 
     def second(self) -> None:
         at = self.block.samples(self.open)
@@ -141,7 +141,7 @@ class State:
         reach = np.zeros(n + 1, np.int32)
         np.add.at(reach, np.maximum(at - PERIOD + 1, 0), 1)
         np.add.at(reach, at + 1, -1)
-        self.open &= np.cumsum(reach)[:n] > 0
+        self.open &= np.cumsum(reach, dtype=np.int32)[:n] > 0
 
     def third(self) -> None:
         at = np.flatnonzero(self.open)
@@ -156,7 +156,7 @@ class State:
         at, end = runs(self.repeat)
         np.add.at(step, at, 1)
         np.add.at(step, end + LENGTH - 1, -1)
-        return np.cumsum(step)[:n] > 0
+        return np.cumsum(step, dtype=np.int32)[:n] > 0
 
 
 def _write_blocks(docs: DataFrame) -> DataFrame:

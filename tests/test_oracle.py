@@ -16,6 +16,8 @@ breadth_trend sma_ema symbol_indicators bollinger drawdown clean_bars outlier_fl
 feature_set cross_asset_wide session_breadth spearman_matrix mann_whitney tier_box top_movers all_signals risk_scores
 all_anomalies forecast_linear forecast_ema quotes_from_json rows_from_html headline_sentiment enrich_sentiment_asof
 extended_hist dq_prices dq_bars holidays last_trading_day daily_briefing stream_bars incremental_refresh
+mutual_information variance_filter correlation_filter select_features pct_discrepancy indicators_refresh anomaly_log signal_log
+stream_late_days stream_ema symbol_json_export source_failures any_to_date top_volume_no_trades
 """.split()
 NAMES = sorted(SQL) if os.environ.get("TICKLOOM_FULL") else FAMILIES
 

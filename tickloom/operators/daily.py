@@ -213,12 +213,6 @@ def baseline_vol(hist: DataFrame) -> DataFrame:
                     (F.col("n_days") >= 2).alias("has_history")))
 
 
-def running_baseline(hist: DataFrame) -> DataFrame:
-    """Baseline volatility of every day: the mean of the days before it."""
-    return hist.select("universe", "date", "volatility",
-                       F.avg("volatility").over(W.before(U)).alias("baseline_vol"))
-
-
 def compute_all(prices: DataFrame) -> dict[str, DataFrame]:
     """Every historical view of a price table; the per-day table is cached because most of them read it."""
     hist = rolling_intelligence(daily_breadth(prices)).cache()

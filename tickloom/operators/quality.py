@@ -24,10 +24,6 @@ def _tidy(row: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> Da
 WARN, ERR = "warning", "error"
 
 
-def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return [x for x in required if x not in df.columns]
-
-
 def dq_prices(prices: DataFrame) -> DataFrame:
     """Nulls, bounds, repeated keys and the newest day's row count.
 
@@ -131,9 +127,10 @@ KEY_INDICATORS = ("rsi_14", "macd", "bb_upper", "atr_14", "drawdown_pct")
 
 
 def dq_features(features: DataFrame) -> DataFrame:
-    """Per symbol: null density of the key indicators."""
-    have = [x for x in KEY_INDICATORS if x in features.columns]
-    g = features.groupBy("symbol").agg(*[F.avg(F.when(c(x).isNull(), F.lit(1.0)).otherwise(F.lit(0.0))).alias(x) for x in have])
-    return g.unpivot(["symbol"], have, "column", "null_rate").select(
+    """Per symbol: null density of the key indicators; a column that is not there at all is missing in every row."""
+    absent = {x: F.lit(None).cast("double") for x in KEY_INDICATORS if x not in features.columns}
+    g = features.withColumns(absent).groupBy("symbol").agg(*[
+        F.avg(F.when(c(x).isNull(), F.lit(1.0)).otherwise(F.lit(0.0))).alias(x) for x in KEY_INDICATORS])
+    return g.unpivot(["symbol"], list(KEY_INDICATORS), "column", "null_rate").select(
         "symbol", "column", rnd(c("null_rate"), 6).alias("null_rate"),
         F.when(c("null_rate") > cfg.MAX_NULL_RATE, WARN).otherwise(F.lit("ok")).alias("severity"))

@@ -155,3 +155,9 @@ def compute_all(prices: DataFrame, sentiment: DataFrame | None = None) -> dict[s
     opp = opportunities(e)
     return {**{k: detect(e, k) for k in DETECTORS}, "risk_scores": risk_scores(e), "opportunities": top_opportunities(opp),
             "all_signals": all_signals(e)}
+
+
+def log_order(log: DataFrame, value: str, kind: str) -> DataFrame:
+    """A day's log in reading order: ``rank`` 1 is the greatest |value|; then symbol (market-wide rows first), kind and reason."""
+    day = Window.partitionBy("date").orderBy(F.abs(F.col(value)).desc_nulls_last(), F.coalesce("symbol", F.lit("")), kind, "reason")
+    return log.withColumn("rank", F.row_number().over(day))

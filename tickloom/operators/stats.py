@@ -117,6 +117,15 @@ def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date",
                       ladders.corr_strength(F.col("rho")).alias("strength"), ladders.corr_direction(F.col("rho")).alias("direction"))
 
 
+def top_volume(bars: DataFrame, today: Column | str, k: int = 15) -> DataFrame:
+    """The ``k`` symbols with stored bars that trade most on ``today``; alphabetically the first where none of them trades that day."""
+    known = bars.groupBy("symbol").agg(F.max(F.when(F.col("date") == today, F.col("volume"))).alias("volume"))
+    traded = known.agg(F.count("volume").alias("_traded"))  # one row
+    ranked = known.withColumn("_k", F.lit(1)).join(F.broadcast(traded.withColumn("_k", F.lit(1))), "_k")
+    return (ranked.where((F.col("_traded") == 0) | F.col("volume").isNotNull())
+            .orderBy(F.col("volume").desc_nulls_last(), "symbol").limit(k).select("symbol", "volume"))
+
+
 def pct_discrepancy(prices: DataFrame, threshold: float = cfg.PCT_DISCREPANCY) -> DataFrame:
     """Rows whose percent change differs from the one that price and change imply by more than ``threshold``."""
     d = F.abs(div(F.col("change"), F.col("price") - F.col("change")) * 100 - F.col("pct_change"))

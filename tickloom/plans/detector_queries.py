@@ -99,6 +99,9 @@ for kind in G.DETECTORS:
         query(kind, with_("ee", signal_sql(kind, "ee")))(lambda s, d, k=kind: G.detect(event_enriched(s, d), k))
 ALL_SIGNALS = " UNION ALL ".join(signal_sql(k, "te") for k in G.DETECTORS)
 query("all_signals", with_("te", ALL_SIGNALS))(lambda s, d: G.all_signals(trade_enriched(s, d)))
+query("signal_log", with_("te", f"""
+    SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(score) DESC NULLS LAST, symbol, signal_type, reason)::INTEGER AS rank
+    FROM ({ALL_SIGNALS})"""))(lambda s, d: G.log_order(G.all_signals(trade_enriched(s, d)), "score", "signal_type"))
 
 SCORE = r("v * 30 + z * 40 + dd * 0.3", 2)
 RISK = f"""
@@ -194,6 +197,9 @@ def trade_anomalies(spark, sf):
 
 ALL_ANOM = " UNION ALL ".join([gap_sql("te"), VOLREG, BREADTH, cluster_sql("trade_prices"), DIVERGE])
 query("all_anomalies", with_("te trade_hist daily_sent", ALL_ANOM))(trade_anomalies)
+query("anomaly_log", with_("te trade_hist daily_sent", f"""
+    SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(z_score) DESC NULLS LAST, coalesce(symbol, ''), anomaly_type, reason)::INTEGER
+           AS rank FROM ({ALL_ANOM})"""))(lambda s, d: G.log_order(trade_anomalies(s, d), "z_score", "anomaly_type"))
 query("anomaly_summary", with_("te trade_hist daily_sent", f"""
     SELECT date, count(*) AS n_anomalies, count_if(severity = 'Critical')::BIGINT AS n_critical,
            count_if(severity = 'High')::BIGINT AS n_high FROM ({ALL_ANOM}) GROUP BY date"""))(

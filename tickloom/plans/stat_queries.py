@@ -215,5 +215,7 @@ query("screener_latest", with_("event_prices", """
 query("top_volume_symbols", with_("event_bars", """
     SELECT symbol, volume FROM event_bars WHERE date = (SELECT max(date) FROM event_bars)
     ORDER BY volume DESC, symbol LIMIT 15"""))(
-    lambda s, d: (lambda b: b.where(F.col("date") == b.select(F.max("date")).scalar()).select("symbol", "volume")
-                  .orderBy(F.col("volume").desc(), "symbol").limit(15))(S.event_bars(s, d)))
+    lambda s, d: (lambda b: T.top_volume(b, b.select(F.max("date")).scalar()))(S.event_bars(s, d)))
+query("top_volume_no_trades", with_("event_bars", """
+    SELECT DISTINCT symbol, NULL::DOUBLE AS volume FROM event_bars ORDER BY symbol LIMIT 15"""))(
+    lambda s, d: T.top_volume(S.event_bars(s, d), F.lit("1990-01-01").cast("date")))

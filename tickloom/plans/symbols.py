@@ -354,7 +354,13 @@ query("recent_context", with_("event_hist", """
     lambda s, d: I.recent_context(
         event_hist(s, d).unpivot(["date"], ["avg_pct", "volatility", "breadth_pct"], "metric", "value"), ["metric"]))
 
-query("indicators_refresh", with_("suite", "SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM tb"))(
-    lambda s, d: I.run_indicators(ohlcv(s, d).withColumn("seq", F.lit(0)), ["seq"],
-                                  ohlcv(s, d).where(F.col("date") < F.lit(dt.date(1998, 1, 5))).select("symbol", "date"))
-    .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("symbol").alias("n_symbols")))
+
+def refreshed_indicators(spark, sf):
+    """All indicator rows of the symbols whose stored days lag behind, from cleaned bars and without the completeness promise."""
+    bars = ohlcv(spark, sf)
+    stored = bars.where(F.col("date") < F.lit(dt.date(1998, 1, 5))).select("symbol", "date")
+    fresh = I.run_indicators(bars.withColumn("seq", F.lit(0)), ["seq"], stored)
+    return fresh.select(*I.indicator_suite(bars, complete=True).columns)
+
+
+query("indicators_refresh", with_("suite", "SELECT * FROM suite"))(refreshed_indicators)

@@ -89,6 +89,11 @@ query("quotes_from_json", with_("event_prices", f"""
     SELECT date, symbol, symbol || ' Inc' AS company_name, {r('price', 2)} AS price, {r('change', 4)} AS change,
            {r('pct_change', 4)} AS pct_change FROM event_prices WHERE price > 0 AND pct_change IS NOT NULL"""))(
     lambda s, d: ING.quotes_from_json(quote_payloads(s, d), keep=["date"]))
+query("any_to_date", """
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(ts AS DATE) WHEN 1 THEN CAST(ts AS DATE) END AS date FROM events""")(
+    lambda s, d: S.table(s, d, "events").select("event_id", ING.to_day(
+        F.when(F.col("event_id") % 3 == 0, F.col("ts").cast("string")).when(F.col("event_id") % 3 == 1, F.col("ts").cast("date").cast("string"))
+        .otherwise("no date")).alias("date")))
 query("event_props_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")(
     lambda s, d: S.table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
 

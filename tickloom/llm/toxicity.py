@@ -286,12 +286,13 @@ def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve; targets are kept off 0 and 1 as usual for separable data."""
+    """Slope and shift of a logistic curve for classes of equal weight; targets are kept off 0 and 1 as usual for separable data."""
+    share = np.where(y > 0, 0.5 * len(y) / max((y > 0).sum(), 1), 0.5 * len(y) / max((y < 0).sum(), 1))
     target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g, r = p - target, p * (1 - p) + 1e-9
+        g, r = share * (p - target), share * p * (1 - p) + 1e-9
         h = np.array([[(r * m * m).sum() + 1e-3, (r * m).sum()], [(r * m).sum(), r.sum() + 1e-3]])
         da, db = np.linalg.solve(h, [(g * m).sum() + 1e-3 * a, g.sum()])
         a, b = float(np.clip(a - da, 0, 50)), float(np.clip(b - db, -50, 50))

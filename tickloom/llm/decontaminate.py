@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import fresh, runs, slices, stored, words
+from tickloom.llm.text import bounded, fresh, runs, slices, stored, words
 
 WINDOW = 13
 PART_BYTES = 16 << 20
@@ -76,40 +76,41 @@ class Windows:
         return at, window, bounds
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in parts of bounded size, one part on the driver at a time."""
+def _parts(benchmark: DataFrame, part_bytes: int) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """How many parts of bounded size the items make, and the parts, one on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("item_id").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // part_bytes) + 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+    n = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes) + 1
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return n, ([tuple(r) for r in (items if n == 1 else items.where(part == k)).collect()] for k in range(n))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[str]]:
-    """``docs`` with three more columns, and their names: packed runs of hit words, ids of the occurring items (as sorted strings), words."""
+def scan(docs: DataFrame, benchmark: DataFrame, finish: Callable, schema: T.StructType, part_bytes: int = PART_BYTES) -> DataFrame:
+    """What ``finish`` makes of each batch of ``docs``, given its packed runs of hit words, the ids of the occurring items (as sorted
+    strings) and its numbers of words, once all items are searched for."""
     spark, plain = docs.sparkSession, docs.columns
-    added = fresh(docs, "_hits", "_items", "_words")
-    schema = T.StructType(docs.schema.fields + [T.StructField(added[0], T.BinaryType()), T.StructField(added[1], T.ArrayType(T.StringType())),
-                                                T.StructField(added[2], T.LongType())])
-    out = docs.withColumns(dict(zip(added, (F.lit(b""), F.array().cast("array<string>"), F.lit(0).cast("long")))))
-    for k, items in enumerate(_parts(benchmark, part_bytes)):
+    added = fresh(docs, "_hits", "_items")
+    between = T.StructType(docs.schema.fields + [T.StructField(added[0], T.BinaryType()), T.StructField(added[1], T.ArrayType(T.StringType()))])
+    out = bounded(docs)
+    n, parts = _parts(benchmark, part_bytes)
+    for k, items in enumerate(parts):
         shared = spark.sparkContext.broadcast(items)
 
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def task(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k + 1 == n) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value)
             for batch in batches:
                 for piece in slices(batch):
                     at, window, bounds = windows.search(piece.column("text"))
-                    hits, found = _per_row(windows, at, window, bounds, *(piece.column(c).to_pylist() for c in added[:2]))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(piece.column(c) for c in plain), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string())),
-                         pa.array(np.diff(bounds), pa.int64())], names=plain + added)
-
-        if k:
+                    size = piece.num_rows
+                    before = ([b""] * size, [[] for _ in range(size)]) if first else (piece.column(c).to_pylist() for c in added)
+                    hits, found = _per_row(windows, at, window, bounds, *before)
+                    own = piece.select(plain)
+                    yield finish(own, hits, found, np.diff(bounds).tolist()) if last else pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=plain + added)
+
+        out = out.mapInArrow(task, schema if k + 1 == n else between)
+        if k + 1 < n:
             out = stored(out, "decontaminate")  # a stage then holds one part only
-        out = out.mapInArrow(task, schema)
-    return out, added
+    return out
 
 
 def _per_row(windows: Windows, at, window, bounds, hits: list[bytes], found: list[list[str]]) -> tuple[list[bytes], list[list[str]]]:
@@ -136,41 +137,38 @@ def _hit_words(packed: bytes) -> int:
     return total
 
 
+def _contaminated(hit: int, words: int) -> bool:
+    return hit > 0 and 20 * hit >= words
+
+
 def judge(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document its doc_id, n_words, n_hit, n_items, items_sha256 and whether it is contaminated."""
-    found, (hits_of, items_of, words_of) = scan(docs.select("doc_id", "text"), benchmark, part_bytes)
-    found = found.drop("text")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words = b.column(words_of).to_pylist()
-            n_hit = [_hit_words(x) for x in b.column(hits_of).to_pylist()]
-            items = b.column(items_of).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                 pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words)], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def finish(own: pa.RecordBatch, hits: list[bytes], items: list[list[str]], n_words: list[int]) -> pa.RecordBatch:
+        n_hit = [_hit_words(x) for x in hits]
+        return pa.RecordBatch.from_arrays(
+            [own.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+             pa.array([_contaminated(h, n) for h, n in zip(n_hit, n_words)], pa.bool_())],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return found.mapInArrow(task, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(), "contaminated": T.BooleanType()}
+    plain = docs.select("doc_id", "text")
+    schema = T.StructType([plain.schema["doc_id"], *(T.StructField(c, t) for c, t in kinds.items())])
+    return scan(plain, benchmark, finish, schema, part_bytes)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` without the contaminated rows: at least one hit word, and at least a twentieth of the words hit."""
-    (found, (hits_of, _, words_of)), names = scan(docs, benchmark, part_bytes), docs.columns
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit, n = [_hit_words(x) for x in b.column(hits_of).to_pylist()], b.column(words_of).to_pylist()
-            yield b.select(names).filter(pa.array([not (h > 0 and 20 * h >= w) for h, w in zip(hit, n)], pa.bool_()))
+    def finish(own: pa.RecordBatch, hits: list[bytes], items: list[list[str]], n_words: list[int]) -> pa.RecordBatch:
+        return own.filter(pa.array([not _contaminated(_hit_words(x), n) for x, n in zip(hits, n_words)], pa.bool_()))
 
-    return found.mapInArrow(task, docs.schema)
+    return scan(docs, benchmark, finish, docs.schema, part_bytes)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The longest verbatim matches: (doc_id, item_id, doc_word, item_word, n_words), one row per maximal diagonal run of windows."""
     spark, parts = docs.sparkSession, []
-    for items in _parts(benchmark, part_bytes):
+    for items in _parts(benchmark, part_bytes)[1]:
         shared = spark.sparkContext.broadcast(items)
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -193,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
                                                      names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(task, "doc_id long, item_id string, doc_word long, item_word long, n_words long"))
+        parts.append(bounded(docs.select("doc_id", "text")).mapInArrow(task, "doc_id long, item_id string, doc_word long, item_word long, n_words long"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

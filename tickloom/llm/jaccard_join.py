@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.text import mix, slices, stored, words
+from tickloom.llm.text import bounded, mix, slices, stored, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 ROWS = 5
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
                     [piece.column("doc_id"), pa.array(lists[0], pa.int64()), pa.array(lists[1], pa.int64()), pa.array(lists[2], pa.list_(pa.int64())),
                      pa.array(lists[3], pa.binary())], names=["doc_id", "k1", "k2", "bands", "octets"])
 
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(
+    return bounded(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())).mapInArrow(
         task, "doc_id long, k1 long, k2 long, bands array<long>, octets binary")
 
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.llm.text import bounded
+
 CAPACITY, SENTENCE_COST, WORD_COST = 1024, 4, 12
 STRETCH = 1 << 18
 END = 0
@@ -157,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
         if rows:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    return bounded(docs.select("doc_id", "text")).mapInArrow(task, SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import LOWER, fold, prefix_hash, slices, span_hash, utf8, word_spans
+from tickloom.llm.text import LOWER, bounded, fold, prefix_hash, slices, span_hash, utf8, word_spans
 from tickloom.llm.toxicity import chunks, training_rows
 
 CELLS, DIMS, NEIGHBOURS, SHARPNESS = 4096, 48, 15, 6
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for piece in slices(batch):
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shared.value.scores(piece.column("text")), pa.float64())], names=names)
 
-    return docs.mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))
+    return bounded(docs).mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tickloom.llm.text import bounded
+
 KINDS = ("assign", "access", "hex", "guess")
 # The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -136,6 +138,11 @@ def _sorted(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
+def all_spans(text: str | None, guesses: float = GUESSES) -> list[tuple[int, str, int]]:
+    base = base_spans(text or "")
+    return _sorted(base + added_spans(text or "", base, guesses))
+
+
 def find(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """``docs`` with ``spans``: every span as (start, kind, end), in order of start and kind; the kind ``guess`` is the added one.
     An own column ``spans`` is replaced."""
@@ -145,21 +152,17 @@ def find(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for value in batch.column("text"):
-                text = value.as_py() or ""
-                base = base_spans(text)
-                found.append([{"start": s, "kind": k, "end": e} for s, k, e in _sorted(base + added_spans(text, base, guesses))])
+            found = [[{"start": s, "kind": k, "end": e} for s, k, e in all_spans(x.as_py(), guesses)] for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*batch.schema.names, "spans"])
 
-    return docs.mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField("spans", kind)]))
+    return bounded(docs).mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField("spans", kind)]))
 
 
 def report(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """Per document the counts of the base kinds, a digest of the base spans, and all spans as text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[(s["start"], s["kind"], s["end"]) for s in spans] for spans in b.column("spans").to_pylist()]
+            rows = [all_spans(x.as_py(), guesses) for x in b.column("text")]
             text = [[f"{k}:{s}:{e}" for s, k, e in r] for r in rows]
             base = [",".join(t for t in x if not t.startswith("guess:")) for x in text]
             counts = [pa.array([sum(k == kind for _, k, _ in r) for r in rows], pa.int64()) for kind in KINDS[:3]]
@@ -168,8 +171,7 @@ def report(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
                  pa.array([",".join(x) for x in text], pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    found = find(docs.select("doc_id", "text"), guesses).select("doc_id", "spans")
-    return found.mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") -> DataFrame:
@@ -177,8 +179,7 @@ def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") ->
     names = docs.columns
 
     def hide(text: str | None) -> str | None:
-        base = base_spans(text or "")
-        spans, out, done = sorted((s, e) for s, _, e in base + added_spans(text or "", base, guesses)), [], 0
+        spans, out, done = sorted((s, e) for s, _, e in all_spans(text, guesses)), [], 0
         for s, e in spans:
             if s >= done:
                 out += [text[done:s], mark]
@@ -190,5 +191,5 @@ def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") ->
         for b in batches:
             yield b.set_column(at, b.schema.field(at), pa.array([hide(x.as_py()) for x in b.column(at)], b.schema.field(at).type))
 
-    out = docs.mapInArrow(task, docs.schema)
+    out = bounded(docs).mapInArrow(task, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

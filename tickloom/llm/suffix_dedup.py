@@ -32,7 +32,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.text import prefix_hash, runs, shared_folder, slices, span_hash, stored, utf8
+from tickloom.llm.text import bounded, prefix_hash, runs, shared_folder, slices, span_hash, stored, utf8
 
 LENGTH = 100
 # A perfect difference set; every non-zero distance modulo 73 is the difference of exactly one pair.
@@ -178,7 +178,7 @@ def _write_blocks(docs: DataFrame) -> DataFrame:
                 block += 1
 
     spark = docs.sparkSession
-    blocks = docs.select("doc_id", "text").mapInArrow(task, "part int, block int, blob binary, sizes binary, ids binary, known binary")
+    blocks = bounded(docs.select("doc_id", "text")).mapInArrow(task, "part int, block int, blob binary, sizes binary, ids binary, known binary")
     name = f"blocks_{uuid.uuid4().hex}"
     tasks = docs.rdd.getNumPartitions()
     path = f"{shared_folder(spark)}/{name}"

@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after the session was told to hand texts to Python in batches of few bytes, unless it has a limit of its own.
+
+    The default counts rows only: ten thousand long documents would make one batch.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, "4m")
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import LOWER, fold, fresh, mix, prefix_hash, slices, span_hash, utf8
+from tickloom.llm.text import LOWER, bounded, fold, fresh, mix, prefix_hash, slices, span_hash, utf8
 
 ORDER, DECAY, ACTIVE = 3, 0.5, 0.3
 POWER = 3  # of the normalised kernel, which is a kernel again and sets close words apart from vaguely similar ones
@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             for piece in slices(batch):
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(shared.value.scores(piece.column("text")), pa.float64())], names=names)
 
-    return docs.mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))
+    return bounded(docs).mapInArrow(task, T.StructType(docs.schema.fields + [T.StructField(name, T.DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.text import fold, mix, prefix_hash, slices, span_hash, utf8
+from tickloom.llm.text import bounded, fold, mix, prefix_hash, slices, span_hash, utf8
 
 # The rules and their verdicts.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -102,7 +102,7 @@ def train(urls: DataFrame) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), pa.array(key), pa.array(n.astype(np.int64))],
                                                      names=["o", "key", "n"])
 
-    counts = urls.mapInArrow(task, "o int, key long, n long").groupBy("o", "key").agg(F.sum("n").alias("n"))
+    counts = bounded(urls).mapInArrow(task, "o int, key long, n long").groupBy("o", "key").agg(F.sum("n").alias("n"))
     side, pair = F.col("key") % 2, F.expr("key div 2")
     cells = counts.select("o", side.cast("int").alias("k"), "n", F.explode(F.array(
         F.struct(F.lit(0).alias("what"), F.floor(pair / CELLS).cast("int").alias("cell")),
@@ -129,7 +129,7 @@ def score(urls: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), s], names=[*names, "score"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema.fields if f.name != "text")
-    return urls.mapInArrow(task, f"{schema}, score double")
+    return bounded(urls).mapInArrow(task, f"{schema}, score double")
 
 
 def calibrate(scored: DataFrame) -> float:

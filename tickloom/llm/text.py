@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# A worker lives through many tasks.  With the C library's growing threshold, arrays of a few megabytes would come from its heap, leave
+# holes there and never go back to the system; with a fixed one (parameter -3) each is given back as soon as it is freed.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)
+
 #: Bytes of text that a task holds in its working arrays at once (a single longer text is one slice).
 SLICE_BYTES = 2 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)

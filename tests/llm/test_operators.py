@@ -396,6 +396,37 @@ def test_url_models(spark):
     assert model.seen[0, 1].sum() == sum(len(u) for _, u, a in known if a) and model.gram[5, 1].sum() == sum(grams.values())
 
 
+def test_url_counts_are_exact(spark):
+    rng = np.random.default_rng(3)
+    known = [("".join(chr(c) for c in rng.integers(33, 127, 60)) + "/é", bool(k % 2)) for k in range(2500)]  # more grams than fit in 65536 cells
+    model = url_filter.train(spark.createDataFrame(known, "text string, accepted boolean"))
+    seen, new = [collections.Counter() for _ in range(2)], known[:3] + [(known[4][0][:30] + known[5][0][:30], None), ("ab", None)]
+    for u, a in known:
+        raw = u.encode()
+        seen[a].update((o, i < o, raw[max(0, i - o):i], raw[i]) for i in range(len(raw)) for o in range(6))
+    n, t = [collections.Counter() for _ in range(2)], [collections.Counter() for _ in range(2)]
+    for k in (0, 1):
+        for g, c in seen[k].items():
+            n[k][g[:3]] += c
+            t[k][g[:3]] += 1
+        for o in (0, 3, 5):
+            assert model.gram[o, k].sum() == model.seen[o, k].sum() == n[k].total() // 6 and (model.gram[o, k] > 0).sum() == sum(g[0] == o for g in seen[k])
+            assert model.distinct[o, k].sum() == sum(c for g, c in t[k].items() if g[0] == o)
+    want = []
+    for u, _ in new:
+        raw, total = u.encode(), 0.0
+        for i in range(len(raw)):
+            p = [1 / 256] * 2
+            for o in range(6):
+                c = (o, i < o, raw[max(0, i - o):i])
+                p = [(seen[k][(*c, raw[i])] + t[k][c] * p[k]) / (n[k][c] + t[k][c]) if n[k][c] else p[k] for k in (0, 1)]
+            total += np.log(p[1]) - np.log(p[0])
+        want.append(total / len(raw))
+    assert model.scores(pa.array([u for u, _ in new])) == pytest.approx(want)
+    twice = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, None)], "k long, text string")
+    assert rows(url_filter.score(twice, model), "k", "score") == [(1, pytest.approx(want[-1]))] * 2 + [(2, 0.0)]
+
+
 # pipeline
 
 def test_pipeline_on_the_sample(spark, sf):

@@ -6,8 +6,9 @@ Witten-Bell smoothing blends the orders 0 to ``ORDER``, and the score is the log
 calibrated on the fifth of the rule-decided URLs that the models do not see (crc32 of the id as text, modulo 5, is 0): least mean of both
 error rates, the middle of the widest such range.
 
-All URLs with a rule are counted, merged inside each task and then by key; contexts and characters are hashed into ``CELLS`` cells per
-order, which bounds the model that is broadcast (like any feature hashing, colliding counts add up).
+All URLs with a rule are counted exactly.  A gram, its context's length, context and character in one number, stands for itself without
+hashing, so the counts grow with the URLs; they are tables, merged inside each task and then by key, and joined to the distinct grams
+of the URLs to be scored.  Nothing of them is broadcast or sent to the driver.
 
 The host ends at the first ``/``, ``?``, ``#`` after the first ``://``; the path ends at ``?`` or ``#``.  A null URL or one without
 ``://`` has an empty host and path, fits no rule and scores 0; where one of the classes has no URL, every score and the threshold are 0;
@@ -21,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tickloom.llm.text import bounded, fold, mix, prefix_hash, slices, span_hash, utf8
+from tickloom.llm.text import bounded, fold, fresh, slices, stored, utf8
 
 # The rules and their verdicts.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-ORDER, CELLS = 5, 1 << 16
+ORDER = 5  # a gram fits in 64 bits: three for the length of its context, eight for each character
+BLOCKS, BLOCK_BYTES = 1024, 1 << 19  # of scored URLs: least number, and text in each
 STEPS = 2000  # of the calibration histogram, over scores from -RANGE to RANGE
 RANGE = 10.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,86 +52,146 @@ def rule(rules: dict[str, str] = RULES) -> Column:
     return out
 
 
-def _positions(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Bytes, row of each, row lengths, and per order the cells of each position's context and of context plus character."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per position its gram of the highest order, and its row; the lengths of the rows."""
     raw, bounds = utf8(column)
     size = np.diff(bounds)
     row = np.repeat(np.arange(len(size)), size)
-    at, first, sums = np.arange(len(raw)), np.repeat(bounds[:-1], size), prefix_hash(raw)
-    cells = []
-    for order in range(ORDER + 1):
-        start = np.maximum(at - order, first)
-        h = span_hash(sums, start, at) + (at - start).astype(np.uint64)
-        if order:
-            h += np.uint64(97) * (at - order < first)  # the start of a URL is part of its context
-        context = mix(h)
-        gram = mix(context + raw.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        cells.append(((context % np.uint64(CELLS)).astype(np.int64), (gram % np.uint64(CELLS)).astype(np.int64)))
-    return raw, row, size, cells
+    before = np.minimum(np.arange(len(raw)) - np.repeat(bounds[:-1], size), ORDER)
+    wide, context = raw.astype(np.int64), np.zeros(len(raw), np.int64)
+    for back in range(1, min(ORDER + 1, len(raw))):
+        context[back:] |= np.where(before[back:] >= back, wide[:-back] << (8 * back - 8), 0)
+    return ((before << (8 * ORDER) | context) << 8) | wide, row, size
+
+
+def lower(gram: Column, order: int) -> Column:
+    """The gram of a position at ``order``, from that of a higher one; a context cut off by the start of its URL stays as it is."""
+    cut = gram.bitwiseAND(F.lit((1 << (8 * order + 8)) - 1)) + F.lit(order << (8 * ORDER + 8))
+    return F.when(F.shiftright(gram, 8 * ORDER + 8) > order, cut).otherwise(gram)
+
+
+def _orders(grams: DataFrame, *others: str) -> DataFrame:
+    """Each gram of the highest order as one row (o, gram) per order."""
+    levels = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), lower(F.col("gram"), o).alias("gram")) for o in range(ORDER + 1))))
+    return grams.select(*others, levels.alias("c")).select(*others, "c.*")
+
+
+@dataclass
+class _Look:
+    """Counts by (order, class), for tests and small models."""
+
+    counts: DataFrame
+    name: str
+
+    def __getitem__(self, at: tuple[int, int]) -> np.ndarray:
+        return np.array([r[0] for r in self.counts.where(F.col("o") == at[0]).select(f"{self.name}{at[1]}").collect()])
 
 
 @dataclass
 class Model:
-    """Per order and class: characters counted in a context, distinct ones, and counts of context plus character."""
+    """Exact counts of both classes as tables: ``grams`` (o, gram, c0, c1), and by context (o, context) the characters counted, n0 and n1,
+    and the distinct ones, t0 and t1."""
 
-    seen: np.ndarray
-    distinct: np.ndarray
-    gram: np.ndarray
+    grams: DataFrame
+    contexts: DataFrame
     empty: bool = False
 
+    @property
+    def seen(self) -> _Look:
+        return _Look(self.contexts, "n")
+
+    @property
+    def distinct(self) -> _Look:
+        return _Look(self.contexts, "t")
+
+    @property
+    def gram(self) -> _Look:
+        return _Look(self.grams, "c")
+
     def scores(self, column: pa.Array) -> np.ndarray:
-        raw, row, size, cells = _positions(column)
-        if self.empty or not len(raw):
-            return np.zeros(len(column))
-        p = np.full((2, len(raw)), 1 / 256)
-        for order, (context, gram) in enumerate(cells):
-            for k in (0, 1):
-                n, t, c = self.seen[order, k, context], self.distinct[order, k, context], self.gram[order, k, gram]
-                p[k] = np.where(n > 0, (np.minimum(c, n) + t * p[k]) / np.maximum(n + t, 1), p[k])
-        ratio = np.log(p[1]) - np.log(p[0])
-        return np.bincount(row, weights=ratio, minlength=len(size)) / np.maximum(size, 1)
+        """Scores of a few texts."""
+        few = self.grams.sparkSession.createDataFrame(list(enumerate(column.to_pylist())), "k long, text string")
+        return np.array([r["score"] for r in sorted(score(few, self).collect(), key=lambda r: r["k"])])
 
 
 def train(urls: DataFrame) -> Model:
-    """Models from (text, accepted): counts merged per task, then per key; only the bounded cells reach the driver."""
+    """Models from (text, accepted): grams of the highest order merged per slice and by key, those of lower orders counted from them."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                raw, row, _, cells = _positions(piece.column("text"))
+                gram, row, _ = _grams(piece.column("text"))
                 side = np.asarray(piece.column("accepted").cast(pa.int8()))[row].astype(np.int64)
-                for order, (context, gram) in enumerate(cells):
-                    key, n = np.unique((context * CELLS + gram) * 2 + side, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), pa.array(key), pa.array(n.astype(np.int64))],
-                                                     names=["o", "key", "n"])
-
-    counts = bounded(urls).mapInArrow(task, "o int, key long, n long").groupBy("o", "key").agg(F.sum("n").alias("n"))
-    side, pair = F.col("key") % 2, F.expr("key div 2")
-    cells = counts.select("o", side.cast("int").alias("k"), "n", F.explode(F.array(
-        F.struct(F.lit(0).alias("what"), F.floor(pair / CELLS).cast("int").alias("cell")),
-        F.struct(F.lit(1).alias("what"), (pair % CELLS).cast("int").alias("cell")))).alias("c"))
-    rows = cells.groupBy("o", "k", "c.what", "c.cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).toArrow()  # <= 4 x orders x CELLS
-    o, k, what, cell, n, d = (np.asarray(rows.column(c)) for c in range(6))
-    tables = np.zeros((3, ORDER + 1, 2, CELLS), dtype=np.float32)
-    ctx = what == 0
-    tables[0, o[ctx], k[ctx], cell[ctx]] = n[ctx]
-    tables[1, o[ctx], k[ctx], cell[ctx]] = d[ctx]
-    tables[2, o[~ctx], k[~ctx], cell[~ctx]] = n[~ctx]
-    return Model(*tables, empty=not (tables[0, 0, 0].any() and tables[0, 0, 1].any()))
+                key, n = np.unique(gram * 2 + side, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(n * (1 - key % 2)), pa.array(n * (key % 2))], names=["gram", "c0", "c1"])
+
+    merged = lambda rows, *by: rows.groupBy(*by).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    top = merged(bounded(urls).mapInArrow(task, "gram long, c0 long, c1 long"), "gram")
+    grams = stored(merged(_orders(top, "c0", "c1"), "o", "gram"), "grams")
+    contexts = grams.groupBy("o", F.shiftright("gram", 8).alias("context")).agg(
+        F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.count_if(F.col("c0") > 0).alias("t0"), F.count_if(F.col("c1") > 0).alias("t1"))
+    both = grams.where("o = 0").agg(F.max("c0"), F.max("c1")).first()
+    return Model(grams, contexts, empty=not (both[0] and both[1]))
+
+
+def _ratios(grams: DataFrame, model: Model) -> DataFrame:
+    """Per distinct gram of the highest order the log ratio of its likelihoods, order by order: each gram asks the one below it, which at
+    most 257 of them do."""
+    known = (_orders(grams).distinct().withColumn("context", F.shiftright("gram", 8))
+             .join(model.grams, ["o", "gram"], "left").join(model.contexts, ["o", "context"], "left").drop("context"))
+    known = stored(known.na.fill(0), "known")
+    below = None
+    for order in range(ORDER + 1):
+        own = known.where(F.col("o") == order).drop("o")
+        if order:
+            own = own.withColumn("below", lower(F.col("gram"), order - 1)).join(below, "below")
+        else:
+            own = own.select("*", F.lit(1 / 256).alias("p0"), F.lit(1 / 256).alias("p1"))
+        p = [F.when(F.col(f"n{k}") > 0, (F.col(f"c{k}") + F.col(f"t{k}") * F.col(f"p{k}")) / (F.col(f"n{k}") + F.col(f"t{k}"))).otherwise(F.col(f"p{k}"))
+             for k in (0, 1)]
+        below = own.select(F.col("gram").alias("below"), p[0].alias("p0"), p[1].alias("p1"))
+    return below.select(F.col("below").alias("gram"), (F.log("p1") - F.log("p0")).alias("ratio"))
 
 
 def score(urls: DataFrame, model: Model) -> DataFrame:
-    """``urls`` with the log-likelihood difference per character of ``text`` (positive: like the accepted ones) instead of ``text``."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in urls.columns if c != "text"]
+    """``urls`` with the log-likelihood difference per character of ``text`` (positive: like the accepted ones) instead of ``text``.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    Rows are dealt into blocks of about ``BLOCK_BYTES`` of text; of each block the distinct grams are looked up, by joins on the gram, and
+    come back to it.  Equal rows move as one with their number, so a row that repeats often fills no block.
+    """
+    names = [c for c in urls.columns if c != "text"]
+    if model.empty:
+        return urls.select(*names, F.lit(0.0).alias("score"))
+    count, block = fresh(urls, "_count", "_block")
+    size = urls.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(BLOCKS, size // BLOCK_BYTES)
+    rows = bounded(urls).groupBy(*urls.columns).agg(F.count(F.lit(1)).alias(count))
+    rows = rows.withColumn(block, F.pmod(F.xxhash64(*urls.columns), F.lit(blocks)))
+
+    def ask(texts: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)]
+        for batch in texts.combine_chunks().to_batches():
+            found += [np.unique(_grams(piece.column("text"))[0]) for piece in slices(batch)]
+        gram = np.unique(np.concatenate(found))
+        own = texts.column(block)[0].as_py() if texts.num_rows else 0
+        return pa.table({block: np.full(len(gram), own, np.int64), "gram": gram})
+
+    def answer(texts: pa.Table, known: pa.Table) -> pa.Table:
+        gram, ratio = np.asarray(known.column("gram")), np.asarray(known.column("ratio"))
+        order = np.argsort(gram)
+        gram, ratio, out = gram[order], ratio[order], []
+        for batch in texts.combine_chunks().to_batches():
             for piece in slices(batch):
-                s = pa.array(shared.value.scores(piece.column("text")), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), s], names=[*names, "score"])
+                own, row, length = _grams(piece.column("text"))
+                sums = np.bincount(row, weights=ratio[np.searchsorted(gram, own)], minlength=len(length)) if len(own) else np.zeros(len(length))
+                out.append(pa.RecordBatch.from_arrays([*(piece.column(c) for c in [*names, count]), pa.array(sums / np.maximum(length, 1))],
+                                                      names=[*names, count, "score"]))
+        return pa.Table.from_batches(out) if out else texts.select([*names, count]).append_column("score", pa.array([], pa.float64()))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema.fields if f.name != "text")
-    return bounded(urls).mapInArrow(task, f"{schema}, score double")
+    asked = stored(rows.groupBy(block).applyInArrow(ask, f"{block} long, gram long"), "asked")
+    told = asked.join(_ratios(asked.select("gram").distinct(), model), "gram").select(block, "gram", "ratio")
+    schema = T.StructType([f for f in urls.schema.fields if f.name != "text"] + [T.StructField(count, T.LongType()), T.StructField("score", T.DoubleType())])
+    scored = rows.groupBy(block).cogroup(told.groupBy(block)).applyInArrow(answer, schema)
+    return scored.withColumn(count, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -154,8 +216,9 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     accepted = F.col("rule").isin([r for r, v in rules.items() if v == "allow"])
     known = ruled.where(F.col("rule").isNotNull()).select("page_id", F.concat("host", "path").alias("text"), accepted.alias("accepted"))
     model = train(known.where(fold(5, "page_id") != 0).select("text", "accepted"))
-    threshold = calibrate(score(known.where(fold(5, "page_id") == 0).select("accepted", "text"), model))
-    scored = score(ruled.withColumn("text", F.concat("host", "path")), model)
+    scored = stored(score(ruled.withColumn("text", F.concat("host", "path")), model), "scores")
+    known = scored.where(F.col("rule").isNotNull() & (fold(5, "page_id") == 0))
+    threshold = calibrate(known.select(accepted.alias("accepted"), "score"))
     by_rule = F.when(accepted, "allow").otherwise("block")
     verdict = F.when(F.col("rule").isNotNull(), by_rule).when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

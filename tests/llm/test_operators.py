@@ -80,6 +80,14 @@ def test_anchors_are_context_free(spark):
     assert a and {(h, p + 4) for h, p in a} <= b  # three words, one of them in two pieces
 
 
+def test_short_texts_have_fingerprints(spark):
+    texts_ = [" ".join(f"{n}w{k}x{j}" for j in range(n)) for n in range(1, 9) for k in range(40)]
+    got = spark.createDataFrame([(t,) for t in texts_], "text string").select(fingerprints.sketch(F.col("text")).alias("s"), F.size(fingerprints.anchors(F.col("text"))).alias("a"))
+    got = got.collect()
+    assert any(r["a"] == 0 for r in got[4 * 40:5 * 40]) and any(r["a"] == 0 for r in got[5 * 40:6 * 40])  # five and six pieces
+    assert all(r["s"] for r in got) and len({tuple(r["s"]) for r in got}) == len(texts_)
+
+
 # 2
 
 def test_packing(odd, spark):

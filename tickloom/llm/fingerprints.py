@@ -52,7 +52,8 @@ def anchors(text: Column) -> Column:
 def sketch(text: Column) -> Column:
     """The least hashes of a text's anchors, ascending."""
     def least(g: Column) -> Column:
-        hashes = F.sort_array(F.array_distinct(_chosen(g, lambda i, h: h)))
+        chosen = F.sort_array(F.array_distinct(_chosen(g, lambda i, h: h)))
+        hashes = F.when(F.size(chosen) > 0, chosen)  # one or two k-mers may all be no closed syncmers
         short = F.when(F.size(g) > 0, F.array(F.shiftrightunsigned(F.xxhash64(g), 24)))
         none = F.expr("cast(array() as array<bigint>)")
         return F.slice(F.coalesce(hashes, short, none), F.lit(1), F.lit(SKETCH))

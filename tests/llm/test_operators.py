@@ -211,6 +211,15 @@ def test_inserted_characters_are_seen():
     assert s[1] > 0.7 and s[2] > 0.7 and s[3] > s[0] and s[0] < 0.3 and s[4] == s[5] < 0.3
 
 
+def test_one_inserted_letter_passes_the_threshold():
+    rng = np.random.default_rng(6)
+    syllables = ["ba", "ko", "ri", "tu", "ne", "sol", "mi", "da"]
+    line = lambda: " ".join("".join(rng.choice(syllables, 3)) for _ in range(30))
+    model = toxicity.fit([line() + " stupid idiot" * (k % 4 == 0) for k in range(160)], [int(k % 4 == 0) for k in range(160)])
+    s = model.scores(pa.array([line() for _ in range(40)] + [line() + w for w in (" stupid idiot", " stxupid idziot")]))
+    assert (s[-2:] >= toxicity.THRESHOLD).all() and (s[:-2] < toxicity.THRESHOLD).all()
+
+
 # 5
 
 def brute_repeats(docs, length=100):

@@ -2,8 +2,8 @@
 
 A text is a list of sentences, a sentence a set of words.  A word is a run without white space, reduced to its letters (``i.d-i*o_t`` is one
 word, and so are single letters in a row), lower-cased in ASCII and fenced by ``^`` and ``$``.  The kernel counts common subsequences of
-three characters, each weighted by ``DECAY`` to the power of the span it needs in either word, normalised and cubed; inserted characters
-lower it but do not destroy it.  Landmarks are the character sequences that tell toxic from other training documents best, chosen one after
+three characters, each weighted by ``DECAY`` to the power of the span it needs in either word, related almost only to the landmark's own value (``OWN`` is the word's share of the
+norm), and raised to ``POWER``: characters put into a word lengthen it and lower the kernel little, missing ones destroy it.  Landmarks are the character sequences that tell toxic from other training documents best, chosen one after
 the other so that each covers documents the earlier ones cover least.  A sentence is the greatest kernel value of its words at each
 landmark (values under ``ACTIVE`` count as 0); a text is the sum of its sentences per ``WORDS`` words, so one chance likeness in a long
 text weighs little; K_mm^(-1/2) maps it to the space where a linear machine separates toxic from other labelled texts.  A logistic curve
@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tickloom.llm.text import LOWER, bounded, fold, fresh, mix, prefix_hash, slices, span_hash, utf8
 
-ORDER, DECAY, ACTIVE = 3, 0.5, 0.3
-POWER = 3  # of the normalised kernel, which is a kernel again and sets close words apart from vaguely similar ones
+ORDER, DECAY, ACTIVE = 3, 0.9, 0.6
+OWN = 0.1  # share of a word's own kernel value in the norm; with one half, letters put into a word would count like other letters in it
+POWER = 6  # of the related kernel value: sets words with a whole landmark in them apart from those with most of one
 LANDMARKS, GRAMS = 48, (4, 5, 6)
 SUPPORT = 0.04  # least share of toxic documents with a landmark: fewer is chance or copies
 TRAIN_ROWS, TRAIN_BYTES = 1500, 12 << 20
@@ -142,26 +143,26 @@ class Model:
         self.pairs = [_pairs(r, (1,))[0] for r in self.rows]
 
     def words(self, rows: np.ndarray) -> np.ndarray:
-        """Normalised kernel values (word parts x landmarks); words without most of a landmark's neighbouring letters, one
+        """Related kernel values (word parts x landmarks); words without most of a landmark's neighbouring letters, one
         letter between them allowed, are 0 without a look."""
         out = np.zeros((len(rows), len(self.rows)), dtype=np.float32)
         pairs = _pairs(rows, (1, 2))
         near = [np.flatnonzero(np.bitwise_count(pairs & m).sum(1) > 0.5 * np.bitwise_count(m).sum()) for m in self.pairs]
         lengths = (rows > 0).sum(1)
         # A word's own kernel value is at least that of its runs of three characters, which rules most pairs out early.
-        least = np.maximum(lengths - ORDER + 1, 1) * DECAY ** (2 * ORDER) * ACTIVE ** 2
+        least = np.maximum(lengths - ORDER + 1, 1) * DECAY ** (2 * ORDER)
         for k, at in enumerate(near):
             for lo, hi in _LENGTHS:
                 some = at[(lengths[at] > lo) & (lengths[at] <= hi)]
                 if len(some):
                     out[some, k] = kernel(rows[some, :hi], self.rows[k])
-            out[at[out[at, k] ** 2 < least[at] * self.own[k]], k] = 0
+            out[at[out[at, k] < ACTIVE * least[at] ** OWN * self.own[k] ** (1 - OWN)], k] = 0
         used = np.flatnonzero(out.any(1))
         for lo, hi in _LENGTHS:
             some = used[(lengths[used] > lo) & (lengths[used] <= hi)]
             if len(some):
                 own = kernel(rows[some, :hi], rows[some, :hi])
-                out[some] /= np.sqrt(own[:, None] * np.array(self.own, dtype=np.float32))
+                out[some] = np.minimum(1, out[some] / (own[:, None] ** OWN * np.array(self.own, dtype=np.float32) ** (1 - OWN)))
         out[out < ACTIVE] = 0
         return out ** POWER
 

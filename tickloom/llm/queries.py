@@ -1,6 +1,7 @@
 """One query per operator: production parameters over the whole table."""
 
-from tickloom.llm import decontaminate, fingerprints, jaccard_join, packing, pseudonyms, quality, secrets, suffix_dedup, toxicity, url_filter
+from tickloom.llm import (decontaminate, fingerprints, hard_negatives, jaccard_join, packing, pseudonyms, quality, radix_dedup, secrets,
+                          suffix_dedup, toxicity, url_filter, whitening)
 from tickloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from tickloom.llm.text import table
 
@@ -74,3 +75,44 @@ def op6(spark, sf_dir):
 @query("op5_suffix_dedup")
 def op5(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM t
+"""
+
+
+@query("op13_radix_dedup", OP13_SQL)
+def op13(spark, sf_dir):
+    return radix_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                             AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.x, b.x), p -> p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark, sf_dir):
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))

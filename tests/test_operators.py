@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,16 +54,45 @@ def hot_groups(spark):
     return pdf, spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
-@pytest.mark.parametrize("bins", [1, 8, 64])
-def test_ranks_equal_pandas_ranks(spark, bins):
+@pytest.mark.parametrize("bin_rows", [5, 60, 8192])
+def test_ranks_equal_pandas_ranks(spark, bin_rows):
     pdf, df = hot_groups(spark)
-    got = O.ranked_values(df, ["k"], "v", bins).select("k", "v", O.average_rank().alias("r")).toPandas()
+    got = O.ranked_values(df, ["k"], "v", bin_rows).select("k", "v", O.average_rank().alias("r")).toPandas()
     pdf["r"] = pdf.groupby("k").v.rank(method="average")
     want = pdf.dropna().drop_duplicates(["k", "v"])
     m = got.merge(want, on=["k", "v"], suffixes=("", "_w"))
     assert len(m) == len(want) == len(got) and (m.r == m.r_w).all()
 
 
+@pytest.mark.parametrize("bin_rows, heavy", [(5, 3), (60, 20), (8192, 1024)])
+def test_attached_ranks_equal_pandas_ranks(spark, bin_rows, heavy):
+    pdf, df = hot_groups(spark)
+    ties = pd.DataFrame({"k": "ties", "v": [7.0] * 1900 + list(np.linspace(0, 20, 100).round(1))})  # 95 % of the group share one value
+    pdf = pd.concat([pdf, ties], ignore_index=True)
+    df = df.unionByName(spark.createDataFrame(ties)).repartition(5)
+    got = O.attach_ranks(df, ["k"], "v", "r", bin_rows, heavy).toPandas()
+    assert len(got) == len(pdf) and got[got.v.isna()].r.isna().all()
+    pdf["w"] = pdf.groupby("k").v.rank(method="average")
+    m = got.dropna().merge(pdf.dropna().drop_duplicates(["k", "v"]), on=["k", "v"])
+    assert len(m) == len(pdf.dropna()) and (m.r == m.w).all()
+
+
+def test_no_rank_is_joined_on_a_value(spark):
+    p = prices(spark, 12, tuple("ABCDEFGHIJ"))
+    for plan in (T.with_ranks(p, ["price", "pct_change"]), T.mann_whitney(p)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in text.splitlines() if "Join" in line]
+        assert joins and not any(re.search(r"(_v|price)#\d+ =|= (_v|price)#", line) for line in joins)
+
+
+def test_bins_grow_with_the_group(spark):
+    df = spark.range(5000).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
+    some = [O._cuts(O.value_counts(df.where(F.col("v") < n), ["k"], "v"), ["k"], "v", 100).select(F.size("_cuts")).collect() for n in (80, 1000, 5000)]
+    assert some[0] == [] and 5 <= some[1][0][0] <= 20 and 35 <= some[2][0][0] <= 65
+    binned = O._binned(O.value_counts(df, ["k"], "v"), O._cuts(O.value_counts(df, ["k"], "v"), ["k"], "v", 10), ["k"], "v")
+    assert max(r["count"] for r in binned.groupBy("_bin").count().collect()) < 60
+
+
 def test_quantiles_equal_numpy(spark):
     pdf, df = hot_groups(spark)
     probs = [0, 0.05, 0.25, 0.5, 0.9, 1]

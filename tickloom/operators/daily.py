@@ -22,7 +22,7 @@ def breadth_share():
     return rnd(div(gain, gain + loss + flat) * 100, 2)
 
 
-def _cross_section(df: DataFrame) -> DataFrame:
+def cross_section(df: DataFrame) -> DataFrame:
     """Counts, moments and extremes of ``pct_change`` per (universe, date); ties go to the first symbol.
 
     The first aggregate has only fixed-width buffers, so it runs as a hash aggregate without sorting the rows.  The
@@ -31,14 +31,20 @@ def _cross_section(df: DataFrame) -> DataFrame:
     pct, chg, c = F.col("pct_change"), F.col("change"), F.col
     g = df.groupBy("universe", "date").agg(
         F.count_if(chg > 0).alias("n_gainers"), F.count_if(chg < 0).alias("n_losers"),
-        F.count_if(chg == 0).alias("n_flat"), F.avg(pct).alias("_avg"), F.stddev_samp(pct).alias("_sd"),
+        F.count_if(chg == 0).alias("n_flat"), F.avg(pct).alias("_avg"), F.stddev_samp(pct).alias("_sd"), F.var_pop(pct).alias("_var"),
         F.skewness(pct).alias("_g1"), F.kurtosis(pct).alias("_g2"), F.count(pct).alias("_n"),
         F.max(pct).alias("best_pct"), F.min(pct).alias("worst_pct"))
     ends = g.select("universe", "date", c("best_pct").alias("_hi"), c("worst_pct").alias("_lo"))
     who = (df.select("universe", "date", "symbol", "pct_change").join(ends, KEY).where((pct == c("_hi")) | (pct == c("_lo")))
            .groupBy(*KEY).agg(F.min(F.when(pct == c("_hi"), c("symbol"))).alias("best_stock"),
                               F.min(F.when(pct == c("_lo"), c("symbol"))).alias("worst_stock")))
-    return g.join(who, KEY, "left").select(
+    return g.join(who, KEY, "left")
+
+
+def _published(g: DataFrame) -> DataFrame:
+    """A cross-section with its figures rounded as they are published."""
+    c = F.col
+    return g.select(
         "universe", "date", "n_gainers", "n_losers", "n_flat", "_n", "_sd",
         rnd(c("_avg"), 6).alias("avg_pct"), rnd(c("_sd"), 6).alias("volatility"),
         rnd(adjusted_skew(c("_g1"), c("_n"), c("_sd")), 4).alias("skew_pct"),
@@ -46,11 +52,16 @@ def _cross_section(df: DataFrame) -> DataFrame:
         breadth_share().alias("breadth_pct"), "best_stock", "best_pct", "worst_stock", "worst_pct")
 
 
-def daily_breadth(prices: DataFrame) -> DataFrame:
-    return _cross_section(prices).drop("_n", "_sd").select(
+def described(g: DataFrame) -> DataFrame:
+    """The market table of a cross-section."""
+    return _published(g).drop("_n", "_sd").select(
         "*", ladders.breadth_regime(F.col("breadth_pct")).alias("regime"), F.signum("avg_pct").alias("streak_sign"))
 
 
+def daily_breadth(prices: DataFrame) -> DataFrame:
+    return described(cross_section(prices))
+
+
 def bar_daily_aggregates(bars: DataFrame, universe: str = "all", min_symbols: int = 10) -> DataFrame:
     """Daily cross-section from bar closes; days with few symbols are dropped, missing moments are 0."""
     prev = F.lag("close").over(W.ordered(["symbol"]))
@@ -59,7 +70,7 @@ def bar_daily_aggregates(bars: DataFrame, universe: str = "all", min_symbols: in
         (div(F.col("close") - F.col("_p"), F.col("_p")) * 100).alias("pct_change"))
     zero = F.lit(0.0)
     return (
-        _cross_section(moves).where(F.col("_n") >= min_symbols)
+        _published(cross_section(moves)).where(F.col("_n") >= min_symbols)
         .select("universe", "date", "n_gainers", "n_losers", "n_flat", rnd(F.col("avg_pct"), 4).alias("avg_pct"),
                 rnd(F.coalesce("volatility", zero), 4).alias("volatility"),
                 F.coalesce("skew_pct", zero).alias("skew_pct"), F.coalesce("kurt_pct", zero).alias("kurt_pct"),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom import config as cfg
 from tickloom.functions import windows as W
 from tickloom.functions.numeric import div, rnd
+from tickloom.operators import comoments as M
 from tickloom.operators.orderstats import quantiles
 from tickloom.operators.preprocess import normalise
 
@@ -118,49 +117,26 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str = "re
 
 # --- selection ---------------------------------------------------------------------------------------------------------
 
+def _named(features: Sequence[str], i: Column) -> list[Column]:
+    return [F.element_at(F.array(*[F.lit(f) for f in features]), i + 1).alias("feature"), (i + 1).cast("int").alias("position")]
+
+
 def variance_filter(df: DataFrame, features: Sequence[str], minimum: float = cfg.MIN_VARIANCE) -> DataFrame:
-    """(feature, position, variance, kept) over complete rows, in one aggregate.
+    """(feature, position, variance, kept) over complete rows.
 
     Without a complete row everything is kept; with a single one no variance exists and nothing is.
     """
-    whole = df.select(*features).dropna()
-    row = whole.agg(*[F.var_samp(c).alias(c) for c in features], F.count(F.lit(1)).alias("_rows"))
-    long = row.unpivot(["_rows"], list(features), "feature", "variance")
-    order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("int")
-    enough = F.coalesce(F.nanvl("variance", F.lit(0.0)) >= minimum, F.lit(False))
-    return long.select("feature", order.alias("position"), "variance", ((F.col("_rows") == 0) | enough).alias("kept"))
+    v = M.variances(M.complete(M.comoments(df, features)), len(features))
+    enough = F.coalesce(F.col("variance") >= minimum, F.lit(False))
+    return v.select(*_named(features, F.col("i")), "variance", ((F.col("n") == 0) | enough).alias("kept"))
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """|Pearson r| of every ordered feature pair over complete rows.
-
-    A first aggregate gives means and deviations.  Tasks then reduce their standardised rows to one small cross-product
-    matrix each, so the shuffle carries (features^2) sums per task whatever the row count.
-    """
-    names = list(features)
-    whole = df.select(*names).dropna()
-    k = len(names)
-    stats = whole.agg(*[F.avg(c).alias(f"_m_{c}") for c in names], *[F.stddev_pop(c).alias(f"_s_{c}") for c in names])
-    # ``stats`` is a global aggregate: exactly one row.
-    std = whole.withColumn("_j", F.lit(1)).join(F.broadcast(stats.withColumn("_j", F.lit(1))), "_j")
-    z = std.select(*[div(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in names])
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((k, k)), 0
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype="float64")
-            total += x.T @ x
-            n += len(x)
-        if n:
-            i, j = np.triu_indices(k, 1)
-            yield pd.DataFrame({"i": i, "j": j, "s": total[i, j], "n": n})
-
-    sums = z.mapInPandas(gram, "i int, j int, s double, n long").groupBy("i", "j").agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"))
-    label = F.array(*[F.lit(f) for f in names])
-    return sums.select("i", "j", F.element_at(label, F.col("i") + 1).alias("earlier"),
-                       F.element_at(label, F.col("j") + 1).alias("feature"),
-                       rnd(F.when(~F.isnan("s"), div(F.col("s"), F.col("n"))), 6).alias("r"))
+    """Pearson r of every ordered feature pair over complete rows."""
+    r = M.correlations(M.complete(M.comoments(df, features)), len(features))
+    label = F.array(*[F.lit(f) for f in features])
+    return r.select("i", "j", F.element_at(label, F.col("i") + 1).alias("earlier"), F.element_at(label, F.col("j") + 1).alias("feature"),
+                    rnd(F.col("r"), 6).alias("r"))
 
 
 def correlation_filter(df: DataFrame, features: Sequence[str], cutoff: float = cfg.CORR_CUTOFF) -> DataFrame:
@@ -176,14 +152,18 @@ def select_features(df: DataFrame, features: Sequence[str], cutoff: float = cfg.
                     minimum: float = cfg.MIN_VARIANCE) -> DataFrame:
     """(feature, position) that pass the variance filter and then the correlation filter.
 
-    The names that pass the first filter decide which rows are complete for the second, so they are fetched: one row per feature.
+    The features that pass the first filter decide which rows are complete for the second.  Both read the same sums per pattern of missing
+    values, so the rows are read once and nothing is fetched.
     """
-    varied = variance_filter(df, features, minimum).where("kept").select("feature", "position")
-    live = [r["feature"] for r in sorted(varied.collect(), key=lambda r: r["position"])]
-    if len(live) < 2:
-        return varied
-    close = correlation_pairs(df, live).where(F.abs("r") >= cutoff).select("feature").distinct()
-    return varied.join(close, "feature", "left_anti").select("feature", "position")
+    k = len(features)
+    patterns = M.comoments(df, features)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("n") == 0) | F.coalesce(
+        (F.col("n") > 1) & (F.get("product", i * k + i) / (F.col("n") - 1) >= minimum), F.lit(False)))
+    live = M.complete(patterns).select(spread.alias("wanted"))
+    close = M.correlations(M.complete_over(patterns, live), k).where(F.abs(rnd(F.col("r"), 6)) >= cutoff)
+    varied = live.select(F.posexplode("wanted").alias("i", "_live")).where("_live").select("i")
+    gone = close.join(varied, "i", "left_semi").select(F.col("j").alias("i")).distinct()
+    return varied.join(gone, "i", "left_anti").select(*_named(features, F.col("i")))
 
 
 __all__ = ["FEATURE_NAMES", "feature_set", "cross_asset_wide", "mutual_information", "variance_filter",

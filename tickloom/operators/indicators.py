@@ -102,7 +102,7 @@ def regime_windows(bars: DataFrame) -> DataFrame:
     return m.select("symbol", "mult", *sizes)
 
 
-def _moves(df: DataFrame) -> DataFrame:
+def moves(df: DataFrame) -> DataFrame:
     """Daily gain and loss of the close, true range and directional movement, as inputs of the recursive indicators."""
     wo, c = W.ordered(SYM), F.col
     d = df.select("*", F.lag("close").over(wo).alias("_pc"), (c("high") - F.lag("high").over(wo)).alias("_up"),
@@ -139,7 +139,7 @@ def _stoch(df: DataFrame, r: str, rows: int) -> DataFrame:
 
 
 def rsi(bars: DataFrame, rows: int = cfg.RSI_WINDOW) -> DataFrame:
-    d = E.with_ewm(_moves(bars), SYM, [E.wilder("_g", "_gain", rows), E.wilder("_l", "_loss", rows)])
+    d = E.with_ewm(moves(bars), SYM, [E.wilder("_g", "_gain", rows), E.wilder("_l", "_loss", rows)])
     return d.select(*bars.columns, _rsi_value("_g", "_l").alias("rsi"))
 
 
@@ -152,11 +152,11 @@ def macd(bars: DataFrame, fast: int = cfg.MACD_FAST, slow: int = cfg.MACD_SLOW,
 
 
 def atr(bars: DataFrame, rows: int = cfg.ATR_WINDOW) -> DataFrame:
-    return E.with_ewm(_moves(bars), SYM, [E.wilder("atr", "_tr", rows, 4)]).select(*bars.columns, "atr")
+    return E.with_ewm(moves(bars), SYM, [E.wilder("atr", "_tr", rows, 4)]).select(*bars.columns, "atr")
 
 
 def adx(bars: DataFrame, rows: int = cfg.ATR_WINDOW) -> DataFrame:
-    d = E.with_ewm(_moves(bars), SYM, [E.wilder("_t", "_tr", rows), E.wilder("_p", "_pdm", rows), E.wilder("_m", "_mdm", rows)])
+    d = E.with_ewm(moves(bars), SYM, [E.wilder("_t", "_tr", rows), E.wilder("_p", "_pdm", rows), E.wilder("_m", "_mdm", rows)])
     d = d.select(*bars.columns, _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di"))
     d = E.with_ewm(d.withColumn("_dx", _dx()), SYM, [E.wilder("adx_14", "_dx", rows, 4)])
     return d.select(*bars.columns, "adx_14", "plus_di", "minus_di")
@@ -235,7 +235,7 @@ def _recursive(df: DataFrame, complete: bool) -> DataFrame:
         E.by_regime("atr_14", "_tr", mult, size["atr"], False, 4), E.wilder("_g14", "_gain", w, skip=1),
         E.wilder("_l14", "_loss", w, skip=1), E.wilder("_t", "_tr", n), E.wilder("_p", "_pdm", n), E.wilder("_m", "_mdm", n)]
     level2 = [E.by_regime("macd_signal", "macd", mult, size["signal"], True, 4), E.wilder("adx_14", "_dx", n, 4)]
-    numbered = E.number_rows(_moves(df), SYM, "date", E.block_rows(level1 + level2))
+    numbered = E.number_rows(moves(df), SYM, "date", E.block_rows(level1 + level2))
     first = E.with_ewm(numbered, SYM, level1, nulls=not complete)
     mid = first.select(
         *df.columns, "_rn", "_blk", "_i", "ema_12", "ema_26", "atr_14", _rsi_value("_g", "_l").alias("rsi_14"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom import config as cfg
 from tickloom.functions import ladders
 from tickloom.functions.numeric import adjusted_kurtosis, adjusted_skew, div, normal_two_sided_p, rnd, student_two_sided_p
-from tickloom.operators.orderstats import average_rank, quantiles, ranked_values
+from tickloom.operators.orderstats import attach_ranks, average_rank, quantiles, ranked_values
 
 DAY = ["date"]
 
@@ -94,8 +94,7 @@ def with_ranks(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("date
     """
     by, ids = list(by), list(ids)
     long = df.select(*by, *ids, *columns).unpivot([*by, *ids], list(columns), "_col", "_v")
-    rv = ranked_values(long, [*by, "_col"], "_v").select(*by, "_col", "_v", average_rank().alias("_rank"))
-    return long.join(rv, [*by, "_col", "_v"]).groupBy(*by, *ids).agg(*[
+    return attach_ranks(long, [*by, "_col"], "_v", "_rank").groupBy(*by, *ids).agg(*[
         F.max(F.when(F.col("_col") == x, F.col("_rank"))).alias(f"r_{x}") for x in columns])
 
 
@@ -137,18 +136,17 @@ def mann_whitney(prices: DataFrame, value: str = "price", by: Sequence[str] = ("
     by = list(by)
     two = prices.select(*by, value, ladders.status(F.col("change")).alias("_side")).where(
         (F.col("_side") != "Flat") & F.col(value).isNotNull())
-    rv = ranked_values(two, by, value)
-    ties = rv.groupBy(*by).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("_ties"))
-    sides = (two.join(rv.select(*by, value, average_rank().alias("_rank")), [*by, value]).groupBy(*by)
-             .agg(F.sum(F.when(F.col("_side") == "Gainer", F.col("_rank"))).alias("_rs"),
-                  F.count_if(F.col("_side") == "Gainer").alias("n_gain"),
-                  F.count_if(F.col("_side") == "Loser").alias("n_loss")))
+    # Ranks are needed per distinct value only: a value's gainers all have the same.
+    gainers = F.count_if(F.col("_side") == "Gainer")
+    sides = ranked_values(two, by, value, extra={"_g": gainers}).groupBy(*by).agg(
+        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("_ties"), F.sum(average_rank() * F.col("_g")).alias("_rs"),
+        F.sum("_g").alias("n_gain"), F.sum(F.col("n") - F.col("_g")).alias("n_loss"))
     a, b = F.col("n_gain").cast("double"), F.col("n_loss").cast("double")
     n = a + b
     u = F.col("_rs") - a * (a + 1) / 2
     sigma = F.sqrt(F.greatest(a * b / 12 * (n + 1 - div(F.col("_ties"), n * (n - 1))), F.lit(0.0)))
     z = div(F.greatest(F.abs(u - a * b / 2) - 0.5, F.lit(0.0)), sigma)
-    return (sides.join(ties, by).where((a > 0) & (b > 0))
+    return (sides.where((a > 0) & (b > 0))
             .select(*by, "n_gain", "n_loss", rnd(u, 1).alias("u_stat"), rnd(z, 6).alias("z"),
                     rnd(normal_two_sided_p(z), 4).alias("p_value"))
             .withColumn("reject", F.coalesce(F.col("p_value") < cfg.ALPHA, F.lit(False))))

@@ -103,7 +103,7 @@ def rel(x: str) -> str:
 query("variance_filter", with_("whole", " UNION ALL ".join(
     f"SELECT '{f}' AS feature, {i + 1}::INTEGER AS position, count(*) = 0 OR coalesce(var_samp({f}) >= 1e-5, false) AS kept, "
     f"{r(f'log10(nullif(var_samp({f}), 0))', 4)} AS log_variance FROM whole" for i, f in enumerate(FEATS))))(
-    lambda s, d: X.variance_filter(kept_features(s, d), FEATS).select(
+    lambda s, d: X.variance_filter(trade_features(s, d), FEATS).select(
         "feature", "position", "kept", X.rnd(F.log10(F.nullif("variance", F.lit(0.0))), 4).alias("log_variance")))
 
 
@@ -120,7 +120,7 @@ query("correlation_filter", with_("whole", f"""
     , c AS ({pair_sql('whole')})
     SELECT feature, (k + 1)::INTEGER AS position, max({r('a', 6)}) AS max_abs_r, coalesce(max({r('a', 6)}) < 0.92, true) AS kept
     FROM {NAMED} LEFT JOIN c ON j = k GROUP BY feature, k""").replace(")\n\n    , c", "),\n c"))(
-    lambda s, d: X.correlation_filter(kept_features(s, d), FEATS))
+    lambda s, d: X.correlation_filter(trade_features(s, d), FEATS))
 # Survivors of the variance pass decide which rows the correlation pass sees.
 LIVE = {f: f"(n = 0 OR coalesce(v_{f} >= 1e-5, false))" for f in FEATS}
 query("select_features", with_("whole", f"""
@@ -130,4 +130,4 @@ query("select_features", with_("whole", f"""
     c AS ({pair_sql('seen')})
     SELECT feature, (k + 1)::INTEGER AS position FROM live WHERE k NOT IN (
         SELECT j FROM c WHERE a >= 0.92 AND i IN (SELECT k FROM live))""").replace(")\n\n    , v", "),\n v"))(
-    lambda s, d: X.select_features(kept_features(s, d), FEATS))
+    lambda s, d: X.select_features(trade_features(s, d), FEATS))

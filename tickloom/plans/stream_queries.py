@@ -8,13 +8,14 @@ import os
 from pyspark.sql import functions as F
 
 from tickloom.operators import daily as D, indicators as I
-from tickloom.plans.market import event_hist
+from tickloom.plans.detector_queries import gap_sql, signal_sql
 from tickloom.plans.registry import query
-from tickloom.plans.sqlviews import CTE, HIST_COLS, ROLL_COLS, SYMBOL, ema_sql, r, with_
+from tickloom.plans.sqlviews import HIST_COLS, ROLL_COLS, SYMBOL, ema_sql, r, with_
+from tickloom.plans.symbols import atr_sql, macd_sql, rsi_sql
 from tickloom.sources import sample as S
 from tickloom.sources.market import prices_from_bars
-from tickloom.streaming import incremental as INC, ticks as TK
-from tickloom.streaming.runtime import append_all, work_dir
+from tickloom.streaming import detectors as LD, exact as EX, incremental as INC, indicator_state as IS, moments as MO, ticks as TK
+from tickloom.streaming.runtime import append_all, setting, work_dir
 
 
 # Deliveries of the events: days in turn, and a few ticks of even days long after their day.
@@ -103,3 +104,70 @@ def refreshed(spark, sf):
 
 
 query("incremental_refresh", with_("event_roll", f"SELECT date, avg_pct, {ROLL_COLS} FROM event_roll"))(refreshed)
+
+
+def in_batches(df, batches: int, name: str, files: int = FILES):
+    """A stream of ``df``, one batch after the other by its column ``b`` (0 to ``batches`` - 1)."""
+    path = os.path.join(work_dir(df.sparkSession, name), "in")
+    for k in range(batches):
+        df.where(F.col("b") == k).drop("b").repartition(files).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.drop("b").schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def moments(spark, sf):
+    """Price rows in five batches: days in turn, and a quarter of the symbols' even days after all others."""
+    late = (F.dayofmonth("date") % 2 == 0) & (F.pmod(F.crc32(F.col("symbol").cast("binary")), F.lit(4)) == 1)
+    p = S.event_prices(spark, sf).select("universe", "symbol", "date", "change", "pct_change").withColumn(
+        "b", F.when(late, F.lit(4)).otherwise(F.dayofmonth("date") % 4))
+    # Every third batch writes all days, so that this way of storing is gone through too.
+    return MO.run_daily(in_batches(p, 5, "moments"), work_dir(spark, "moments"), every=3).drop("universe")
+
+
+query("stream_daily_moments", with_("event_hist", f"SELECT {HIST_COLS} FROM event_hist"))(moments)
+
+
+STATE_FROM = dt.date(2024, 1, 8)
+
+
+def indicator_updates(spark, sf):
+    """Bars before STATE_FROM are stored and give the first state; later ones come in five deliveries, the 10th after the 19th."""
+    day = F.dayofmonth("date")
+    b = F.when(day == 10, 2).when(day <= 13, 0).when(day <= 19, 1).when(day <= 25, 3).otherwise(4)
+    every = S.event_bars(spark, sf).select("symbol", "date", "high", "low", "close")
+    new = every.where(F.col("date") >= F.lit(STATE_FROM)).withColumn("b", b)
+    first = IS.initial_state(every.where(F.col("date") < F.lit(STATE_FROM)), tail=12)
+    with setting(spark, IS.PROVIDER, IS.ROCKSDB):
+        return IS.run_indicators(in_batches(new, 5, "state"), work_dir(spark, "state"), first, tail=12)
+
+
+# Under 63 returns every symbol has the standard window sizes.
+query("stream_indicators", with_("event_bars", f"""
+    SELECT m.*, x.rsi AS rsi_14, a.atr AS atr_14, false AS late
+    FROM ({macd_sql(12, 26, 9, 'event_bars')}) m LEFT JOIN ({rsi_sql(14, 'event_bars')}) x USING (symbol, date)
+    LEFT JOIN ({atr_sql(14, 'event_bars')}) a USING (symbol, date) WHERE date >= DATE '{STATE_FROM}'"""))(indicator_updates)
+
+
+def live(spark, sf):
+    """Five batches of whole days; each is judged against the baselines that the batches before it left."""
+    p = S.event_prices(spark, sf).select("universe", "symbol", "date", "pct_change").withColumn(
+        "b", F.least(F.lit(4), F.floor((F.dayofmonth("date") - 1) / 6)).cast("int"))
+    return LD.run_live(in_batches(p, 5, "detectors"), work_dir(spark, "detectors"), every=2)
+
+
+query("stream_detectors", with_("ee", f"""
+    SELECT signal_type AS detector, symbol, date, direction AS grade, strength AS size, score, reason
+    FROM ({signal_sql('volatility_spike', 'ee')} UNION ALL {signal_sql('unusual_mover', 'ee')})
+    UNION ALL SELECT anomaly_type, symbol, date, severity, z_score, value, reason FROM ({gap_sql('ee')})"""))(live)
+
+
+def exact(spark, sf):
+    """Ticks in three batches; the third repeats a third of the first two, weeks later, and brings some late first arrivals."""
+    t = S.table(spark, sf, "events").select(S.event_symbol().alias("symbol"), "event_id", "ts", F.col("ts").cast("date").alias("date"), "value")
+    b = F.when(F.col("event_id") % 10 == 3, 2).when(F.dayofmonth("date") <= 15, 0).otherwise(1)
+    once = t.withColumn("b", b)
+    again = once.where((F.col("b") < 2) & (F.col("event_id") % 3 == 0)).withColumn("b", F.lit(2))
+    return EX.run_exact(in_batches(once.unionByName(again), 3, "exact"), work_dir(spark, "exact"), ["event_id"]).drop("ts")
+
+
+query("stream_dedup_exact", f"""
+    SELECT {SYMBOL} AS symbol, event_id, CAST(ts AS DATE) AS date, value FROM events""")(exact)

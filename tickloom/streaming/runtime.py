@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +25,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block; the caller's own comes back after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query and surface its error."""
     query.awaitTermination()

@@ -208,9 +208,11 @@ _NODES = (("centre", np.int32), ("radius", np.float64), ("start", np.int32), ("e
 def forest(candidates: DataFrame, largest: int, sample: int = SAMPLE, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     """The written trees over all candidates (id, label, x), one row per shard."""
     spark = candidates.sparkSession
-    # The pivots are fitted on a bounded sample, the rows with the least hashes; every row is indexed.
-    drawn = [r.x for r in candidates.orderBy(F.xxhash64("id", "label", "x"), "id").limit(sample).select("x").collect()]
-    cells = max(1, min(PIVOTS, -(-candidates.count() // shard)))
+    # The pivots are fitted on about ``sample`` rows, drawn by hash so that any run draws the same; every row is indexed.
+    n = candidates.count()
+    draw = F.pmod(F.xxhash64("id", "label", "x"), F.lit(1 << 30)) < F.lit(max(1, sample * (1 << 30) // n))
+    drawn = [r.x for r in candidates.where(draw).select("x").collect()] or [candidates.first().x]
+    cells = max(1, min(PIVOTS, -(-n // shard)))
     points = augmented(np.asarray(drawn, dtype=np.int64), largest)
     pivots = spark.sparkContext.broadcast(points[net(points, cells)])
 

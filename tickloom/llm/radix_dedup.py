@@ -6,7 +6,7 @@ next digit, a span of successive bytes, until it has one member or its texts hav
 1. Every task splits its own texts this way, slice by slice.  Texts met several times in a task stay in a bounded memo, so a text that a
    third of all rows repeat leaves a task once, as the *head* of its local group.  Rows, heads and the heads' texts are written down.
 2. The heads of all tasks are split by the first digit: the length, which stands before the text, and the first ``FIRST`` bytes.  Counts
-   are merged map-side; groups of one are done and their texts are not moved.
+   are merged map-side, and groups of one are done.
 3. What is left is shuffled on (group, next digit) level by level, ``DIGIT`` bytes first and ``LONG`` bytes after that.  Only equal
    digits of one group meet; a text is at most once per task in it, so no task's share grows with the number of copies.
 4. Group sizes and least ids are added up per head, then per class, and joined back to the rows on their head.
@@ -96,6 +96,8 @@ def _local(keep: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], I
 def _split(heads: DataFrame, digit: int, long: int) -> DataFrame:
     """(head, class) of all heads whose text equals another head's, and of some that do not: the distributed levels."""
     groups = (heads.groupBy("length", "first").agg(F.min("head").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    # Written down, the groups have a known size: while they are few, texts are picked out where they lie, without a shuffle.
+    groups = stored(groups, "groups")
     level = heads.select("head", "length", "first", "rest").join(groups, ["length", "first"]).select("head", "class", "rest")
     done, width = None, digit
     while True:

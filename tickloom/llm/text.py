@@ -59,9 +59,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where none is named (tests)."""
+    """The folder that all executors share, as the session names it; a local session, whose executors are one process, may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -304,6 +304,18 @@ def test_jaccard_join(odd, spark):
     assert jaccard_join.link(odd.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts_loses_nothing(spark):
+    a, b = COPY, " ".join(f"other{k}" for k in range(40))
+    near_a, near_b = a.replace("twenty", "x"), b + " more"
+    for docs in ([(1, a), (1, b), (2, a), (3, b)], [(1, a), (1, b), (2, near_a), (3, near_b)], [(1, a), (1, a), (1, near_a), (1, b)],
+                 [(1, a), (1, b), (1, "clean text of its own without any copy"), (2, near_a), (2, b), (2, b)]):
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert rows(jaccard_join.link(frame), "doc_id", "class_id", "n_links") == brute_links(docs)
+        kept = [r["text"] for r in jaccard_join.deduplicate(frame).collect()]
+        near = {near_a: a, near_b: b}
+        assert sorted(near.get(t, t) for t in kept) == sorted({near.get(t, t) for _, t in docs})
+
+
 def test_jaccard_join_on_the_sample(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in docs_of(spark, sf).collect()]
     assert rows(QUERIES["op6_jaccard_join"](spark, sf), "doc_id", "class_id", "n_links") == brute_links(docs)

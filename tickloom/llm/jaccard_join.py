@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join: MinHash bands propose, full n-gram sets decide.
 
 1. Each text becomes the set of its ``N``-word shingles (words lower-cased in ASCII).  Texts with equal sets are one class of copies, kept
-   as its least doc_id with the number of copies.
+   as a number of its own with its least doc_id and the number of copies.
 2. Classes get ``BANDS`` x ``ROWS`` minima; bands and rows are chosen by ``plan_bands`` so that a pair at the threshold shares a band with
    at least the target recall (0.9999 at 0.8).  Classes are shuffled on their band hashes; buckets of one are dropped.
 3. A bucket is compared in blocks of ``BLOCK`` classes: each pair of blocks is one unit of work, so a hot bucket is many tasks.  A unit
@@ -11,7 +11,8 @@
 
 All pairs within a candidate group are decided exactly.  Texts with fewer than ``N`` words, but not none, have one shingle of all their
 words.  Texts without words (null and empty ones among them) link to nothing.  Rows that repeat a text count as copies, whatever their
-doc_id; rows without doc_id are left out; an empty table gives no rows; extra columns are ignored by ``link`` and kept by ``deduplicate``.
+doc_id; a doc_id may name several texts, each of which is in its own class.  Rows without doc_id are left out; an empty table gives no
+rows; extra columns are ignored by ``link`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.text import bounded, mix, slices, stored, words
+from tickloom.llm.text import bounded, fresh, mix, slices, stored, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 ROWS = 5
@@ -54,8 +55,16 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total, out_bounds
 
 
+def digest(grams: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums over a set of distinct hashes."""
+    return grams.sum(), mix(grams ^ np.uint64(0x5BD1E995)).sum()
+
+
 def signatures(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, two halves of the set's digest (NULL without words), band hashes, and the low byte of each minimum."""
+    """The columns of ``docs`` but for its text, two halves of the set's digest (NULL without words), band hashes, and the low byte of
+    each minimum."""
+    own = [c for c in docs.columns if c != "text"]
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
@@ -70,19 +79,18 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
                     band = mix(band + minima[:, r::ROWS].astype(np.uint64) + np.uint64(r + 1))
                 keys = np.zeros((len(full), 2), dtype=np.uint64)
                 for i, d in enumerate(full):
-                    s = np.unique(h[bounds[d]:bounds[d + 1]])
-                    keys[i] = s.sum(), mix(s ^ np.uint64(0x5BD1E995)).sum()
+                    keys[i] = digest(np.unique(h[bounds[d]:bounds[d + 1]]))
                 signed = keys.view(np.int64)
                 lists: list = [[None] * len(piece) for _ in range(4)]
                 octets = (minima >> np.uint32(7)).astype(np.uint8)
                 for i, d in enumerate(full.tolist()):
                     lists[0][d], lists[1][d], lists[2][d], lists[3][d] = signed[i, 0], signed[i, 1], band[i].view(np.int64), octets[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(lists[0], pa.int64()), pa.array(lists[1], pa.int64()), pa.array(lists[2], pa.list_(pa.int64())),
-                     pa.array(lists[3], pa.binary())], names=["doc_id", "k1", "k2", "bands", "octets"])
+                    [*(piece.column(c) for c in own), pa.array(lists[0], pa.int64()), pa.array(lists[1], pa.int64()),
+                     pa.array(lists[2], pa.list_(pa.int64())), pa.array(lists[3], pa.binary())], names=[*own, "k1", "k2", "bands", "octets"])
 
-    return bounded(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())).mapInArrow(
-        task, "doc_id long, k1 long, k2 long, bands array<long>, octets binary")
+    return bounded(docs.where(F.col("doc_id").isNotNull())).mapInArrow(
+        task, "".join(f"{c} long, " for c in own) + "k1 long, k2 long, bands array<long>, octets binary")
 
 
 def _units(members: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -205,23 +213,34 @@ def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
 def verify(groups: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Per class and unit (rep, root, links): a spanning forest of the true links and the number of documents linked to.
 
-    ``groups``: (rep, copies, root) of candidate groups.
+    ``groups``: (rep, doc_id, k1, k2, copies, root) of candidate groups; a class is read from a row of its least doc_id whose set has its
+    digest, since that doc_id may name other texts too.
     """
+    kept = ["rep", "copies", "root", "size"]
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows of one id meet in one task, so a class that is repeated there goes on once
         for batch in batches:
             for piece in slices(batch):
                 h, bounds = shingles(piece.column("text"))
-                own = [np.unique(h[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("rep", "copies", "root", "size")), pa.array(own, pa.binary())],
-                                                 names=["rep", "copies", "root", "size", "grams"])
+                k1, k2, rep = (piece.column(c).to_pylist() for c in ("k1", "k2", "rep"))
+                grams, at = [], []
+                for k in range(len(piece)):
+                    own = np.unique(h[bounds[k]:bounds[k + 1]])
+                    if rep[k] not in seen and [x.astype(np.int64) for x in digest(own)] == [k1[k], k2[k]]:
+                        seen.add(rep[k])
+                        grams.append(own.tobytes())
+                        at.append(k)
+                some = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(some) for c in kept), pa.array(grams, pa.binary())], names=[*kept, "grams"])
 
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     # A shuffle at every size: a broadcast of the members would grow with the documents.
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(groups.join(sizes, "root").hint("merge"), "rep").select("rep", "copies", "root", "size", "text")
+    texts = docs.select("doc_id", "text").join(groups.join(sizes, "root").hint("merge"), "doc_id").select(*kept, "k1", "k2", "text")
     members = texts.mapInArrow(sets, "rep long, copies long, root long, size long, grams binary")
 
     def work(part: pa.Table) -> list[tuple]:
-        ids, first = np.unique(np.asarray(part.column("rep")), return_index=True)  # rows of one id and different texts: see link()
+        ids, first = np.unique(np.asarray(part.column("rep")), return_index=True)  # a class may come from several tasks
         part = part.take(pa.array(first))
         if len(part) < 2:
             return []
@@ -235,35 +254,41 @@ def verify(groups: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return _units(members.withColumnRenamed("root", "grp"), ["grp"], "size").mapInArrow(_each_unit(["grp"], work, schema), "rep long, root long, links long")
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per document its doc_id, class_id (least doc_id of its class) and n_links: documents at least ``threshold`` similar to it, copies too.
-
-    A doc_id is taken to name one text; should it name several, each is a row of the result, and its least set digest stands for it.
-    """
-    bands = plan_bands(threshold, recall)
-    rows = stored(signatures(docs, bands), "signatures")
-    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stored(classes, "classes")
-    ours = F.struct("k1", "k2")
-    sole = classes.groupBy("rep").agg(F.min(ours).alias("k")).select("rep", "k.k1", "k.k2")
-    sets = rows.join(sole.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "bands", "octets")
-    groups = components(candidates(sets, threshold, bands)).withColumnRenamed("vertex", "rep")
-    groups = stored(groups.join(classes.join(sole, ["rep", "k1", "k2"]).select("rep", "copies"), "rep"), "groups")
+def _linked(rows: DataFrame, docs: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """(k1, k2, rep, class_id, n_links) of all classes of copies in ``rows``; rep is the same for all classes that are linked."""
+    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    # Written down with its number, a class keeps it.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    sets = rows.join(classes, ["k1", "k2", "doc_id"]).dropDuplicates(["rep"]).select("rep", "bands", "octets")
+    groups = stored(components(candidates(sets, threshold, bands)).withColumnRenamed("vertex", "rep").join(classes, "rep"), "groups")
     found = stored(verify(groups, docs, threshold), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("vertex", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots, "rep", "left")
-    done = classes.join(links, "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"),
-                                                     (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    least = roots.join(classes.select("rep", "doc_id"), "rep").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return (classes.join(links, "rep", "left").join(roots.join(least, "root"), "rep", "left")
+            .select("k1", "k2", F.coalesce("root", "rep").alias("rep"), F.coalesce("class_id", "doc_id").alias("class_id"),
+                    (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+
+
+def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Per document its doc_id, class_id (least doc_id of its class) and n_links: documents at least ``threshold`` similar to it, copies too."""
+    bands = plan_bands(threshold, recall)
+    rows = stored(signatures(docs.select("doc_id", "text"), bands), "signatures")
+    done = _linked(rows, docs, threshold, bands).drop("rep")
     return rows.select("doc_id", "k1", "k2").join(done, ["k1", "k2"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one document of each class: that of the least doc_id.  Rows without doc_id stay."""
-    found = link(docs, threshold, recall)
-    gone = stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id = class_id and n_links > 0").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each class: one of its least doc_id.  Rows without doc_id stay, as do those without words.
+
+    Rows are numbered and written down, so that a row goes or stays by its own text whatever other rows share its doc_id.
+    """
+    bands, (row,) = plan_bands(threshold, recall), fresh(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = stored(signatures(numbered.select("doc_id", F.col(row).alias("row"), "text"), bands).where("k1 is not null"), "signatures")
+    linked = rows.join(_linked(rows, numbered, threshold, bands), ["k1", "k2"]).where("doc_id = class_id")
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("row"))
+    stay = linked.select("row", "rep").withColumn("_n", first).where("_n = 1").select("row")
+    gone = stored(rows.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", row), "gone")
+    return numbered.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)

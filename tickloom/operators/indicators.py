@@ -69,7 +69,7 @@ def universe_signals(prices: DataFrame) -> DataFrame:
             .orderBy(F.col("signal_strength").desc_nulls_last(), "symbol"))
 
 
-def _multiplier(df: DataFrame) -> DataFrame:
+def with_multiplier(df: DataFrame) -> DataFrame:
     """Add ``vol_regime_mult``: where the last month's return deviation ranks among the symbol's quarter deviations.
 
     Window expressions only, on the partitioning and sort the other indicators use, so the bars are read once.
@@ -91,7 +91,7 @@ def _multiplier(df: DataFrame) -> DataFrame:
 
 def regime_windows(bars: DataFrame) -> DataFrame:
     """Per symbol: the window multiplier of its volatility regime and the window sizes that follow from it."""
-    m = _multiplier(bars.select("symbol", "date", "close")).groupBy("symbol").agg(F.max("vol_regime_mult").alias("mult"))
+    m = with_multiplier(bars.select("symbol", "date", "close")).groupBy("symbol").agg(F.max("vol_regime_mult").alias("mult"))
     names = ("rsi", "bb", "atr", "macd_fast", "macd_slow", "macd_signal")
     sizes = []
     for i, name in enumerate(names):
@@ -194,11 +194,14 @@ def indicator_suite(bars: DataFrame, complete: bool = False) -> DataFrame:
 
     One shuffle by symbol.  ``complete`` states that no open/high/low/close is missing, as in bars built from ticks.
     """
-    c = F.col
-    base = _multiplier(bars)
-    wo = W.ordered(SYM)
+    return _recursive(windowed(with_multiplier(bars)), complete)
+
+
+def windowed(base: DataFrame) -> DataFrame:
+    """The columns of the suite that are trailing windows; ``base`` has ``vol_regime_mult``."""
+    c, wo = F.col, W.ordered(SYM)
     close = c("close")
-    if "returns_pct" not in bars.columns:
+    if "returns_pct" not in base.columns:
         base = base.withColumn("returns_pct", rnd(div(close - F.lag(close).over(wo), F.lag(close).over(wo)) * 100, 4))
 
     def adaptive(fn):
@@ -219,13 +222,12 @@ def indicator_suite(bars: DataFrame, complete: bool = False) -> DataFrame:
         rnd(W.mean(c("volume"), W.trailing(SYM, 20)), 4).alias("volume_sma_20"))
     out = (out.withColumn("drawdown_pct", rnd(div(close - c("_peak"), c("_peak")), 4))
            .withColumn("rolling_max", rnd(c("_peak"), 4)))
-    out = _bands(out, c("_mid"), c("_dev")).drop("_mid", "_dev", "_peak")
-    return _recursive(out, complete)
+    return _bands(out, c("_mid"), c("_dev")).drop("_mid", "_dev", "_peak")
 
 
-def _recursive(df: DataFrame, complete: bool) -> DataFrame:
-    """The recursive columns of the suite in two passes: averages of prices and moves, then averages of those."""
-    c, mult = F.col, F.col("vol_regime_mult")
+def levels() -> tuple[list[E.Ewm], list[E.Ewm]]:
+    """The suite's averages of prices and moves, and the averages of those; sizes follow ``vol_regime_mult``."""
+    mult = F.col("vol_regime_mult")
     size = {name: {m: v[i] for m, v in cfg.REGIME_WINDOWS.items()}
             for i, name in enumerate(("rsi", "bb", "atr", "fast", "slow", "signal"))}
     n, w = cfg.ATR_WINDOW, cfg.RSI_WINDOW
@@ -234,16 +236,29 @@ def _recursive(df: DataFrame, complete: bool) -> DataFrame:
         E.by_regime("_g", "_gain", mult, size["rsi"], False, None, 1), E.by_regime("_l", "_loss", mult, size["rsi"], False, None, 1),
         E.by_regime("atr_14", "_tr", mult, size["atr"], False, 4), E.wilder("_g14", "_gain", w, skip=1),
         E.wilder("_l14", "_loss", w, skip=1), E.wilder("_t", "_tr", n), E.wilder("_p", "_pdm", n), E.wilder("_m", "_mdm", n)]
-    level2 = [E.by_regime("macd_signal", "macd", mult, size["signal"], True, 4), E.wilder("adx_14", "_dx", n, 4)]
+    return level1, [E.by_regime("macd_signal", "macd", mult, size["signal"], True, 4), E.wilder("adx_14", "_dx", n, 4)]
+
+
+def from_first_level(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns that follow from the first level's averages: RSI (also at its plain size), MACD line, directional indices."""
+    c = F.col
+    return df.select(
+        *keep, "ema_12", "ema_26", "atr_14", _rsi_value("_g", "_l").alias("rsi_14"), _rsi_value("_g14", "_l14").alias("_r14"),
+        rnd(c("ema_12") - c("ema_26"), 4).alias("macd"), _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di")).withColumn(
+            "_dx", _dx())
+
+
+def from_second_level(df: DataFrame) -> DataFrame:
+    return _stoch(df.withColumn("macd_hist", rnd(F.col("macd") - F.col("macd_signal"), 4)), "_r14", cfg.RSI_WINDOW).drop("_dx", "_r14")
+
+
+def _recursive(df: DataFrame, complete: bool) -> DataFrame:
+    """The recursive columns of the suite in two passes."""
+    level1, level2 = levels()
     numbered = E.number_rows(moves(df), SYM, "date", E.block_rows(level1 + level2))
     first = E.with_ewm(numbered, SYM, level1, nulls=not complete)
-    mid = first.select(
-        *df.columns, "_rn", "_blk", "_i", "ema_12", "ema_26", "atr_14", _rsi_value("_g", "_l").alias("rsi_14"),
-        _rsi_value("_g14", "_l14").alias("_r14"), rnd(c("ema_12") - c("ema_26"), 4).alias("macd"),
-        _di("_p", "_t").alias("plus_di"), _di("_m", "_t").alias("minus_di"))
-    second = E.with_ewm(mid.withColumn("_dx", _dx()), SYM, level2)
-    out = _stoch(second.withColumn("macd_hist", rnd(c("macd") - c("macd_signal"), 4)), "_r14", w)
-    return out.drop("_dx", "_r14", "_rn", "_blk", "_i")
+    second = E.with_ewm(from_first_level(first, [*df.columns, "_rn", "_blk", "_i"]), SYM, level2)
+    return from_second_level(second).drop("_rn", "_blk", "_i")
 
 
 def cum_return(bars: DataFrame, min_rows: int = 20) -> DataFrame:

@@ -96,9 +96,8 @@ def _local(keep: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], I
 def _split(heads: DataFrame, digit: int, long: int) -> DataFrame:
     """(head, class) of all heads whose text equals another head's, and of some that do not: the distributed levels."""
     groups = (heads.groupBy("length", "first").agg(F.min("head").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    # Written down, the groups have a known size: while they are few, texts are picked out where they lie, without a shuffle.
-    groups = stored(groups, "groups")
-    level = heads.select("head", "length", "first", "rest").join(groups, ["length", "first"]).select("head", "class", "rest")
+    # One way at every size: a broadcast of the groups would hold only while they are few.
+    level = heads.select("head", "length", "first", "rest").join(groups.hint("merge"), ["length", "first"]).select("head", "class", "rest")
     done, width = None, digit
     while True:
         same = W.partitionBy("class", "digit")

@@ -216,3 +216,40 @@ def test_rerun_from_a_snapshot_equals_the_full_run(spark, tmp_path, shock):
     if shock == 0.0:
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "block#" in plan and "20232" in plan
+
+
+# --- scoring ------------------------------------------------------------------------------------------------------------
+
+
+def test_failing_texts_stand_alone_and_models_load_once(spark, tmp_path):
+    from tickloom.operators import scoring as SR
+    log = tmp_path / "loads"
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+
+        def model(texts):
+            if len({len(t) // 100 for t in texts}) > 2:
+                raise AssertionError("texts of very different lengths in a batch")
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot read " + next(t for t in texts if "bad" in t)[:3])
+            return [len(t) / 10 for t in texts]
+
+        return model
+
+    rows = [(k, "x" * (k % 40) if k % 3 else "y" * 900) for k in range(60)] + [(60, None), (61, "bad one"), (62, ""), (63, "bad two")]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    got = {r.id: r for r in SR.scored(df.repartition(3), "text", load, batch=8).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        bad = t is not None and "bad" in t
+        assert got[k].score == (None if t is None or bad else round(len(t) / 10, 4))
+        assert got[k].error == ("ValueError: cannot read bad" if bad else None)
+    assert 1 <= len(log.read_text()) <= 4  # at most once per worker process
+
+
+def test_a_model_that_returns_too_few_scores_is_an_error(spark):
+    from tickloom.operators import scoring as SR
+    got = SR.scored(spark.createDataFrame([("a",), ("b",)], "text string"), "text", lambda: lambda texts: []).collect()
+    assert all(r.score is None and r.error == "ValueError: 0 scores for 1 texts" for r in got)

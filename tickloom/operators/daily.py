@@ -225,13 +225,18 @@ def baseline_vol(hist: DataFrame) -> DataFrame:
 
 
 def compute_all(prices: DataFrame) -> dict[str, DataFrame]:
-    """Every historical view of a price table; the per-day table is cached because most of them read it."""
-    hist = rolling_intelligence(daily_breadth(prices)).cache()
-    return {
-        "hist": hist, "freq_movers": frequent_movers(prices), "freq_losers": frequent_losers(prices),
-        "cumulative": cumulative_performance(prices), "sessions": extreme_sessions(hist), "streaks": streaks(hist),
-        "baseline": baseline_vol(hist), "cycles": market_cycles(hist),
-    }
+    """Every historical view of a price table.
+
+    Nothing is cached here: a caller that writes several views writes ``hist`` first and passes what it reads back to :func:`views_of`.
+    """
+    return {"freq_movers": frequent_movers(prices), "freq_losers": frequent_losers(prices), "cumulative": cumulative_performance(prices),
+            **views_of(rolling_intelligence(daily_breadth(prices)))}
+
+
+def views_of(hist: DataFrame) -> dict[str, DataFrame]:
+    """The historical views that need the per-day table alone."""
+    return {"hist": hist, "sessions": extreme_sessions(hist), "streaks": streaks(hist), "baseline": baseline_vol(hist),
+            "cycles": market_cycles(hist)}
 
 
 # --- time-series views of one metric ---------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom import config as cfg
 from tickloom.functions import ladders
@@ -129,13 +129,18 @@ def top_sentiment(sentiment: DataFrame, label: str, n: int = 5) -> DataFrame:
     return sentiment.where(F.col("sentiment_label") == label).orderBy(order, "date", "symbol").limit(n)
 
 
+def news_listing(sentiment: DataFrame) -> DataFrame:
+    """A day's headlines in reading order: ``rank`` 1 has the highest score, rows without one come last, ties go to the symbol."""
+    day = Window.partitionBy("date").orderBy(F.col("sentiment_score").desc_nulls_last(), "symbol")
+    return sentiment.select("date", F.row_number().over(day).alias("rank"), "symbol", "sentiment_score", "sentiment_label", "top_headline")
+
+
 def asof_sentiment(prices: DataFrame, sentiment: DataFrame) -> DataFrame:
     """Latest sentiment on or before each price date, per symbol: union, then last non-null over the symbol's days."""
     s = sentiment.select("symbol", "date", F.struct("sentiment_score", "sentiment_label", F.col("date").alias("sent_date"))
                          .alias("_s"), F.lit(0).alias("_kind"))
     p = prices.select("symbol", "date", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_kind"),
                       "price", "pct_change")
-    from pyspark.sql import Window
     w = Window.partitionBy("symbol").orderBy("date", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     both = s.unionByName(p, allowMissingColumns=True)
     return (both.withColumn("_last", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1)

@@ -151,7 +151,8 @@ def signal_summary(signals: DataFrame) -> DataFrame:
 
 
 def compute_all(prices: DataFrame, sentiment: DataFrame | None = None) -> dict[str, DataFrame]:
-    e = enrich(prices, sentiment).cache()
+    """Every signal view; each is a plan of its own over the one enriched frame."""
+    e = enrich(prices, sentiment)
     opp = opportunities(e)
     return {**{k: detect(e, k) for k in DETECTORS}, "risk_scores": risk_scores(e), "opportunities": top_opportunities(opp),
             "all_signals": all_signals(e)}

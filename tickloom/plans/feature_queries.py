@@ -69,6 +69,15 @@ query("feature_set_normalised", with_("feats", "SELECT symbol, date, " + ", ".jo
     for c in NORM) + " FROM feats"))(
     lambda s, d: X.feature_set(trade_indicators(s, d), True).select("symbol", "date", *NORM))
 
+def _norm_sql(f: str) -> str:
+    o = "OVER (PARTITION BY symbol)"
+    return (f"CASE WHEN stddev_samp({f}) {o} = 0 THEN {f} - avg({f}) {o} "
+            f"ELSE {r(f'({f} - avg({f}) {o}) / nullif(stddev_samp({f}) {o}, 0)', 6)} END AS {f}")
+
+
+query("feature_set_normalised_all", with_("feats", f"SELECT symbol, date, {', '.join(_norm_sql(f) for f in X.FEATURE_NAMES)} FROM feats"))(
+    lambda s, d: X.feature_set(trade_indicators(s, d), True).select("symbol", "date", *X.FEATURE_NAMES))
+
 WIDE_SYMBOLS, WIDE_NAMES = ["NATION_1", "NATION_2", "NATION_3"], ["returns_pct", "rsi_14"]
 query("cross_asset_wide", with_("feats", "SELECT date, " + ", ".join(
     f'max({n}) FILTER (symbol = \'{s}\') AS "{s}_{n}"' for s in WIDE_SYMBOLS for n in WIDE_NAMES) +

@@ -272,6 +272,20 @@ query("pct_discrepancy", with_("event_prices", f"""
     .select("symbol", "date", rnd(F.col("discrepancy"), 6).alias("discrepancy")))
 
 
+def from_open(spark, sf):
+    """Prices whose percent change was taken from the day's open, while ``change`` is against the close before."""
+    move = (F.col("close") - F.col("open")) / F.nullif(F.col("open"), F.lit(0.0)) * 100
+    return S.event_prices(spark, sf).drop("pct_change").join(
+        S.event_bars(spark, sf).select("symbol", "date", move.alias("pct_change")), ["symbol", "date"])
+
+
+query("pct_discrepancy_from_open", with_("event_prices event_bars", f"""
+    SELECT symbol, date, {r('d', 6)} AS discrepancy FROM (
+        SELECT p.symbol, p.date, abs(p.change / nullif(p.price - p.change, 0) * 100 - (b.close - b.open) / nullif(b.open, 0) * 100) AS d
+        FROM event_prices p JOIN event_bars b USING (symbol, date)) WHERE d > 0.1"""))(
+    lambda s, d: pct_discrepancy(from_open(s, d)).select("symbol", "date", rnd(F.col("discrepancy"), 6).alias("discrepancy")))
+
+
 def messy_bars(spark, sf):
     """Bars plus damaged copies derived from them: inverted high/low, negative volume, text prices, duplicate days."""
     b = S.event_bars(spark, sf)

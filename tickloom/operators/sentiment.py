@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tickloom import config as cfg
 from tickloom.functions import ladders
@@ -51,21 +52,36 @@ def model_score(load: Callable[[], Callable[[list[str]], list[float]]], fallback
     return score
 
 
+def _order_key(order: Sequence[str]) -> Column:
+    """One or two integral columns (the second from 0 to 10^10) as one exact number, which a hash aggregate can keep."""
+    if len(order) > 2:
+        raise ValueError("at most two order columns")
+    wide = [F.col(c).cast(T.DecimalType(19, 0)) for c in order]
+    key = wide[0] if len(wide) == 1 else wide[0] * F.lit(Decimal(10) ** 10) + wide[1]
+    return key.cast(T.DecimalType(38, 0))
+
+
 def headline_sentiment(scored: DataFrame, order: Sequence[str] = ("doc_id", "line")) -> DataFrame:
     """Per (symbol, date): mean score, label, count and the headline nearest the mean (first on a tie).
 
-    Both passes are map-side merging aggregates, so a symbol with most of the news is never gathered.
+    Headlines become one row per distinct score of a symbol's day in a hash aggregate, map-side, so each is scored once and a symbol with
+    most of the news is never gathered.  The chosen headline's text is fetched by its key, which names one row.
     """
-    keys = ["symbol", "date"]
-    means = scored.groupBy(*keys).agg(F.avg("score").alias("_mean"), F.count("score").alias("headlines_used"))
-    near = rnd(F.abs(F.col("score") - F.col("_mean")), 9)
+    keys, c = ["symbol", "date"], F.col
+    each = scored.select(*keys, "score", _order_key(order).alias("_key")).groupBy(*keys, "score").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_key"))
+    known = F.when(c("score").isNotNull(), c("_n"))
+    total = each.groupBy(*keys).agg(F.sum(known).alias("_known"), F.sum(c("score") * known).alias("_sum"))
+    means = total.select(*keys, div(c("_sum"), c("_known")).alias("_mean"), F.coalesce("_known", F.lit(0)).alias("headlines_used"))
+    near = rnd(F.abs(c("score") - c("_mean")), 9)
+    best = each.join(means, keys).groupBy(*keys, "_mean", "headlines_used").agg(
+        F.min(F.struct(near.isNull().alias("none"), near.alias("near"), c("_key").alias("key"))).alias("_best")).select(
+            *keys, "_mean", "headlines_used", c("_best.key").alias("_key"))
+    texts = scored.select(*keys, _order_key(order).alias("_key"), "headline")
     return (
-        scored.join(means, keys).groupBy(*keys)
-        .agg(F.first("_mean").alias("_mean"), F.first("headlines_used").alias("headlines_used"),
-             F.min(F.struct(near.alias("d"), F.struct(*order).alias("o"), F.col("headline").alias("h"))).alias("_best"))
-        .select("date", "symbol", rnd(F.col("_mean"), 4).alias("sentiment_score"),
-                ladders.sentiment_label(rnd(F.col("_mean"), 9)).alias("sentiment_label"), "headlines_used",
-                F.col("_best.h").alias("top_headline"))
+        best.join(texts, [*keys, "_key"]).groupBy(*keys, "_mean", "headlines_used").agg(F.min("headline").alias("top_headline"))
+        .select("date", "symbol", rnd(c("_mean"), 4).alias("sentiment_score"),
+                ladders.sentiment_label(rnd(c("_mean"), 9)).alias("sentiment_label"), "headlines_used", "top_headline")
     )
 
 
@@ -135,14 +151,21 @@ def news_listing(sentiment: DataFrame) -> DataFrame:
     return sentiment.select("date", F.row_number().over(day).alias("rank"), "symbol", "sentiment_score", "sentiment_label", "top_headline")
 
 
-def asof_sentiment(prices: DataFrame, sentiment: DataFrame) -> DataFrame:
-    """Latest sentiment on or before each price date, per symbol: union, then last non-null over the symbol's days."""
+def with_asof_sentiment(prices: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """``prices`` with ``_last``: the symbol's latest sentiment on or before the row's date, as a struct.
+
+    The tables are put together and each price row takes the last sentiment of its symbol, so all price columns go along and nothing is
+    joined back.
+    """
     s = sentiment.select("symbol", "date", F.struct("sentiment_score", "sentiment_label", F.col("date").alias("sent_date"))
                          .alias("_s"), F.lit(0).alias("_kind"))
-    p = prices.select("symbol", "date", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_kind"),
-                      "price", "pct_change")
+    p = prices.select("*", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_kind"))
     w = Window.partitionBy("symbol").orderBy("date", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = s.unionByName(p, allowMissingColumns=True)
-    return (both.withColumn("_last", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
-            .select("date", "symbol", "price", "pct_change", F.col("_last.sentiment_score").alias("sentiment_score"),
-                    F.col("_last.sentiment_label").alias("sentiment_label"), F.col("_last.sent_date").alias("sent_date")))
+    both = p.unionByName(s, allowMissingColumns=True)
+    return both.withColumn("_last", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1).select(*prices.columns, "_last")
+
+
+def asof_sentiment(prices: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """Latest sentiment on or before each price date, per symbol."""
+    return with_asof_sentiment(prices.select("date", "symbol", "price", "pct_change"), sentiment).select(
+        "date", "symbol", "price", "pct_change", "_last.sentiment_score", "_last.sentiment_label", "_last.sent_date")

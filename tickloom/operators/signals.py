@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom import config as cfg
 from tickloom.functions import ladders, windows as W
 from tickloom.functions.numeric import div, fixed, rnd, signed
+from tickloom.operators.sentiment import with_asof_sentiment
 
 SYM = ["symbol"]
 c = F.col
@@ -27,16 +28,12 @@ def day_stats(prices: DataFrame) -> DataFrame:
 
 def enrich_sentiment(prices: DataFrame, sentiment: DataFrame) -> DataFrame:
     """The day's sentiment per symbol; on a day with no sentiment at all, the symbol's latest earlier one."""
-    from tickloom.operators.sentiment import asof_sentiment
-    past = asof_sentiment(prices, sentiment).select(
-        "symbol", "date", c("sentiment_score").alias("_score"), c("sentiment_label").alias("_label"),
-        c("sent_date").alias("_sd"))
     days = sentiment.select("date").distinct().withColumn("_has", F.lit(True))
     # On a day that has sentiment, the as-of row counts only when it is that very day's.
-    use = c("_has").isNull() | (c("_sd") == c("date"))
-    return (prices.join(past, ["symbol", "date"], "left").join(days, "date", "left")
-            .select(*prices.columns, F.when(use, c("_score")).alias("sentiment_score"),
-                    F.coalesce(F.when(use, c("_label")), F.lit("No Data")).alias("sentiment_label")))
+    use = c("_has").isNull() | (c("_last.sent_date") == c("date"))
+    return with_asof_sentiment(prices, sentiment).join(days, "date", "left").select(
+        *prices.columns, F.when(use, c("_last.sentiment_score")).alias("sentiment_score"),
+        F.coalesce(F.when(use, c("_last.sentiment_label")), F.lit("No Data")).alias("sentiment_label"))
 
 
 def enrich(prices: DataFrame, sentiment: DataFrame | None = None) -> DataFrame:

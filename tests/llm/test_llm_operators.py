@@ -412,6 +412,18 @@ def test_url_rules(spark):
     assert sorted(got)[5] == (6, "www.example.net", "/en/q", "example.net/en/") and sorted(got)[6][2] == "/fr/"
 
 
+def test_url_models_read_the_whole_url(spark):
+    raw = [(1, None), (2, ""), (3, "no scheme here"), (4, "HTTP://A.Net/P?Q=Z#F"), (5, "x://y://Z/?"), (6, "a://"), (7, "a://HOST")]
+    df = url_filter.parts(spark.createDataFrame(raw, "page_id long, url string")).withColumn("text", url_filter.whole())
+    assert rows(df, "page_id", "text") == [(1, ""), (2, ""), (3, "no scheme here"), (4, "HTTP://a.net/P?Q=Z#F"), (5, "x://y://Z/?"), (6, "a://"),
+                                           (7, "a://host")]
+    known = [(k, f"http://h{k % 7}.{'net/' if k % 2 else 'org/fr/'}?q={'junk' if k % 2 else 'prose'}{k % 5}") for k in range(400)]
+    asked = [(1000, "http://x.com/?q=junk1"), (1001, "http://x.com/?q=prose1"), (1002, "q=junk1"), (1003, "q=prose1")]
+    got = url_filter.judge(spark.createDataFrame(known + asked, "page_id long, url string")).where("page_id >= 1000")
+    assert rows(got, "page_id", "verdict") == [(1000, "block"), (1001, "allow"), (1002, "block"), (1003, "allow")]
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_url_models(spark):
     known = [(k, f"good{k % 7}.org/fr/{k}", True) for k in range(200)] + [(k + 200, f"casino{k % 5}.net/win/{k}", False) for k in range(200)]
     urls = spark.createDataFrame(known, "page_id long, text string, accepted boolean")

@@ -1,7 +1,8 @@
 """URL verdicts by host rules, else by the ratio of two character language models.
 
 A rule ``host/path`` fits its host and all subdomains where the URL's path starts with the rule's path; the longest fitting rule decides.
-URLs that no rule decides are judged by variable-order Markov models of accepted and of rejected URLs (those that a rule decides):
+URLs that no rule decides are judged by variable-order Markov models of accepted and of rejected URLs (those that a rule decides), which
+read the whole URL, scheme, query and fragment included, with its host in lower case:
 Witten-Bell smoothing blends the orders 0 to ``ORDER``, and the score is the log-likelihood difference per character.  The threshold is
 calibrated on the fifth of the rule-decided URLs that the models do not see (crc32 of the id as text, modulo 5, is 0): least mean of both
 error rates, the middle of the widest such range.
@@ -11,7 +12,8 @@ hashing, so the counts grow with the URLs; they are tables, merged inside each t
 of the URLs to be scored.  Nothing of them is broadcast or sent to the driver.
 
 The host ends at the first ``/``, ``?``, ``#`` after the first ``://``; the path ends at ``?`` or ``#``.  A null URL or one without
-``://`` has an empty host and path, fits no rule and scores 0; where one of the classes has no URL, every score and the threshold are 0;
+``://`` has an empty host and path and fits no rule; the latter is scored by its text, a null or empty one scores 0.  Where one of the
+classes has no URL, as in an empty table, every score and the threshold are 0;
 a score at the threshold is accepted.  Repeated rows are judged row by row; very long URLs whole; extra columns pass through ``parts``.
 """
 
@@ -42,6 +44,13 @@ def parts(pages: DataFrame) -> DataFrame:
                               "path": F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)})
 
 
+def whole() -> Column:
+    """The text that the models read: ``url`` with its ``host`` as it stands after :func:`parts`."""
+    start = F.instr("url", "://")
+    tail = F.substring(F.col("url"), start + 3 + F.length("host"), F.length("url"))
+    return F.coalesce(F.when(start > 0, F.concat(F.substring(F.col("url"), F.lit(1), start + 2), "host", tail)).otherwise(F.col("url")), F.lit(""))
+
+
 def rule(rules: dict[str, str] = RULES) -> Column:
     """The longest rule that fits ``host`` and ``path``, or NULL."""
     out = F.lit(None).cast("string")
@@ -212,11 +221,11 @@ def calibrate(scored: DataFrame) -> float:
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """Per page its page_id, host, path, the rule that decides (else NULL) and the verdict."""
-    ruled = parts(pages.select("page_id", "url")).drop("url").withColumn("rule", rule(rules))
+    ruled = parts(pages.select("page_id", "url")).withColumns({"rule": rule(rules), "text": whole()}).drop("url")
     accepted = F.col("rule").isin([r for r, v in rules.items() if v == "allow"])
-    known = ruled.where(F.col("rule").isNotNull()).select("page_id", F.concat("host", "path").alias("text"), accepted.alias("accepted"))
+    known = ruled.where(F.col("rule").isNotNull()).select("page_id", "text", accepted.alias("accepted"))
     model = train(known.where(fold(5, "page_id") != 0).select("text", "accepted"))
-    scored = stored(score(ruled.withColumn("text", F.concat("host", "path")), model), "scores")
+    scored = stored(score(ruled, model), "scores")
     known = scored.where(F.col("rule").isNotNull() & (fold(5, "page_id") == 0))
     threshold = calibrate(known.select(accepted.alias("accepted"), "score"))
     by_rule = F.when(accepted, "allow").otherwise("block")

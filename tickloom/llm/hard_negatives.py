@@ -35,7 +35,7 @@ from tickloom.llm.text import bounded, stored
 from tickloom.llm.whitening import grid, matrix, usable
 
 PIVOTS, SAMPLE = 256, 8192
-SHARD, LEAF, BLOCK = 4096, 32, 512
+SHARD, LEAF, BLOCK, GROUP = 4096, 32, 512, 64
 CHUNK_BYTES = 16 << 20
 _LOW, _HIGH = -(1 << 62), 1 << 62
 
@@ -72,32 +72,47 @@ class Tree:
 
 
 def build(rows: np.ndarray, leaf: int = LEAF) -> Tree:
-    """A cover tree: the children of a node cover its members within half its radius, their centres lie farther apart than that."""
-    order = np.arange(len(rows))
-    centre, radius, start, end, first, last = [0], [float(_distances(rows, rows[0]).max())], [0], [len(rows)], [0], [0]
+    """A cover tree: the children of a node cover its members within half its radius, their centres lie farther apart than that.
+
+    Distances come from products, ``GROUP`` possible centres against all uncovered members at a time; a radius carries a margin for what
+    such a difference of squares may lose.
+    """
+    order, square = np.arange(len(rows)), np.square(rows).sum(axis=1)
+    margin = 1e-11 * float(square.max(initial=0.0))
+
+    def far(some: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(square[some][:, None] + square[left] - 2 * (rows[some] @ rows[left].T), 0.0))
+
+    centre, reach, start, end, first, last = [0], [float(far(order[:1], order).max())], [0], [len(rows)], [0], [0]
     node = 0
     while node < len(centre):
-        a, b, reach = start[node], end[node], radius[node] / 2
-        if b - a > leaf and reach > 0:
-            first[node] = len(centre)
-            left, at = order[a:b].copy(), a
-            head = centre[node]
+        a, b, half = start[node], end[node], reach[node] / 2
+        if b - a > leaf and half > 0:
+            first[node], at = len(centre), a
+            left = order[a:b]
+            left = np.concatenate(([centre[node]], left[left != centre[node]]))
             while len(left):
-                d = _distances(rows[left], rows[head])
-                mine = d <= reach
-                inside = left[mine]
-                order[at:at + len(inside)] = inside
-                centre.append(head)
-                radius.append(float(d[mine].max()))
-                start.append(at)
-                at += len(inside)
-                end.append(at)
-                first.append(0)
-                last.append(0)
-                left = left[~mine]
-                head = left[0] if len(left) else -1
+                some = left[:GROUP]
+                d = far(some, left)
+                free = np.ones(len(left), dtype=bool)
+                for k in range(len(some)):
+                    if free[k]:
+                        mine = free & (d[k] <= half)
+                        mine[k] = True
+                        inside = left[mine]
+                        order[at:at + len(inside)] = inside
+                        centre.append(int(some[k]))
+                        reach.append(float(d[k][mine].max()))
+                        start.append(at)
+                        at += len(inside)
+                        end.append(at)
+                        first.append(0)
+                        last.append(0)
+                        free &= ~mine
+                left = left[free]
             last[node] = len(centre)
         node += 1
+    radius = np.sqrt(np.square(reach) + margin)
     return Tree(*[np.asarray(v) for v in (centre, radius, start, end, first, last, order)])
 
 

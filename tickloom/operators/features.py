@@ -96,16 +96,17 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str = "re
     cuts = [F.col(f"_e{i}") for i in range(n_bins + 1)]
     edges = quantiles(every, ["feature"], "x", [i / n_bins for i in range(n_bins + 1)], "_e").select(
         "feature", F.array_distinct(F.array(*cuts)).alias("_edges"))
-    row = edges.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", "_edges"))).alias("_all")).withColumn("_k", F.lit(1))
+    every_name = [target, *names]
+    place = F.array_position(F.array(*[F.lit(n) for n in every_name]), F.col("feature"))
+    row = edges.groupBy().agg(F.sort_array(F.collect_list(F.struct(place.alias("p"), "_edges"))).alias("_all")).withColumn("_k", F.lit(1))
     with_edges = whole.withColumn("_k", F.lit(1)).join(F.broadcast(row), "_k")  # a global aggregate: exactly one row
 
-    def bin_of(c: str) -> Column:
+    def bin_of(x: Column, own: Column) -> Column:
         """Right-closed bin, lowest value included."""
-        below = F.size(F.filter(F.col("_all")[c], lambda e: e < F.col(c)))
-        return (F.greatest(below, F.lit(1)) - 1).cast("short")
+        return (F.greatest(F.size(F.filter(own["_edges"], lambda e: e < x)), F.lit(1)) - 1).cast("short")
 
-    binned = with_edges.select(bin_of(target).alias("_yb"), *[bin_of(c).alias(c) for c in names])
-    cells = binned.select("_yb", F.posexplode(F.array(*names)).alias("_f", "_xb"))
+    binned = with_edges.select(F.zip_with(F.array(*every_name), "_all", bin_of).alias("_b"))
+    cells = binned.select(F.col("_b")[0].alias("_yb"), F.posexplode(F.slice("_b", 2, len(names))).alias("_f", "_xb"))
     joint = cells.groupBy("_f", "_xb", "_yb").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     total = F.sum("_n").over(W.whole(["_f"]))
     px, py = F.sum("_n").over(W.whole(["_f", "_xb"])), F.sum("_n").over(W.whole(["_f", "_yb"]))

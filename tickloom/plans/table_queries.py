@@ -16,6 +16,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.sqlviews import CTE, HIST_COLS, ROLL_COLS, SYMBOL, daily_cte, r, roll_cte, w, with_
 from tickloom.plans.symbols import messy_bars, ohlcv
 from tickloom.sources import ingest as ING, sample as S, store
+from tickloom.sources.market import tick_order
 
 SPLIT = dt.date(2024, 1, 20)
 
@@ -135,7 +136,7 @@ query("source_failures", f"""
                count_if(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS later_ok FROM events)
     WHERE later_ok = 0 AND event_type = 'error' GROUP BY symbol""")(
     lambda s, d: ING.source_failures(
-        S.event_ticks(s, d).withColumn("success", F.col("event_type") != "error"), ["ts", "event_id"]))
+        S.event_ticks(s, d).withColumn("success", F.col("event_type") != "error"), tick_order(F.col("ts"), F.col("event_id"))))
 MACRO_DAY = dt.date(2001, 10, 30)
 query("macro_series", with_("trade_bars", """
     SELECT symbol AS series_alias, date, vwap AS value, date_diff('day', max(date) OVER (PARTITION BY symbol), DATE '2001-10-30') <= 7
@@ -385,18 +386,26 @@ def nth(m: int, wd: int, n: int) -> str:
             f"WHERE isodow(dd) = {wd} AND month(dd) = {m} ORDER BY dd LIMIT 1 OFFSET {n - 1})")
 
 
+# The published dates of Good Friday.
+GOOD_FRIDAYS = """
+1990-04-13 1991-03-29 1992-04-17 1993-04-09 1994-04-01 1995-04-14 1996-04-05 1997-03-28 1998-04-10 1999-04-02
+2000-04-21 2001-04-13 2002-03-29 2003-04-18 2004-04-09 2005-03-25 2006-04-14 2007-04-06 2008-03-21 2009-04-10
+2010-04-02 2011-04-22 2012-04-06 2013-03-29 2014-04-18 2015-04-03 2016-03-25 2017-04-14 2018-03-30 2019-04-19
+2020-04-10 2021-04-02 2022-04-15 2023-04-07 2024-03-29 2025-04-18 2026-04-03 2027-03-26 2028-04-14 2029-03-30
+""".split()
+
+
 def holiday_cte(years: str) -> str:
-    """The Spark side counts from the epact; here Easter is found from the Meeus/Jones/Butcher remainders."""
+    """The Spark side counts from the epact; here Good Friday is looked up."""
     last_mon = ("(SELECT max(dd) FROM (SELECT make_date(year, 5, 1) + CAST(i AS INTEGER) AS dd FROM range(31) t(i)) WHERE isodow(dd) = 1)")
+    fridays = ", ".join(f"(DATE '{d}')" for d in GOOD_FRIDAYS)
     return f"""
         SELECT year, holiday, date::DATE AS date FROM (
         SELECT year, unnest(['New Year', 'Martin Luther King', 'Presidents', 'Good Friday', 'Memorial', 'Juneteenth', 'Independence',
                              'Labor', 'Thanksgiving', 'Christmas']) AS holiday,
-               unnest([{obs(1, 1)}, {nth(1, 1, 3)}, {nth(2, 1, 3)}, make_date(year, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) - 2,
+               unnest([{obs(1, 1)}, {nth(1, 1, 3)}, {nth(2, 1, 3)}, friday,
                        {last_mon}, {obs(6, 19)}, {obs(7, 4)}, {nth(9, 1, 1)}, {nth(11, 4, 4)}, {obs(12, 25)}]) AS date
-        FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM (
-              SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (
-              SELECT year, year % 19 AS a, year // 100 AS b, year % 100 AS c FROM ({years}))))))"""
+        FROM ({years}) LEFT JOIN (SELECT friday, year(friday) AS year FROM (VALUES {fridays}) AS f(friday)) USING (year))"""
 
 
 CTE["hol_orders"] = ((), holiday_cte("SELECT DISTINCT year(o_orderdate)::INTEGER AS year FROM orders"))

@@ -91,12 +91,13 @@ def news_articles(raw: DataFrame, articles: str = "articles", keep: list[str] =
         "symbol", *keep, epoch_day(F.col("datetime")).alias("date"), head.alias("headline"))
 
 
-def source_failures(log: DataFrame, order: list[str], limit: int = cfg.MAX_SOURCE_FAILURES) -> DataFrame:
+def source_failures(log: DataFrame, order: list[str] | Column, limit: int = cfg.MAX_SOURCE_FAILURES) -> DataFrame:
     """Failures of each source since its last success, and whether to skip it.
 
-    Aggregates only: a source's log may be huge, so it is never sorted in one task.
+    Aggregates only: a source's log may be huge, so it is never sorted in one task.  With one fixed-width column as ``order``, such as
+    :func:`tickloom.sources.market.tick_order`, they are hash aggregates and no row is sorted at all.
     """
-    pos = F.struct(*order)
+    pos = order if isinstance(order, Column) else F.struct(*order)
     ok = log.groupBy("symbol").agg(F.max(F.when(F.col("success"), pos)).alias("_ok"))
     failed = log.where(~F.col("success")).select("symbol", pos.alias("_pos"), "date")
     since = failed.join(ok, "symbol").where(F.col("_ok").isNull() | (F.col("_pos") > F.col("_ok")))

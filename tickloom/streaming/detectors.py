@@ -77,7 +77,8 @@ def live_sink(base: str, every: int = 16):
         marked = batch.join(own.select("symbol", "last"), "symbol", "left")
         in_time = F.coalesce(c("date") > c("last"), F.lit(True))
         marked.where(~in_time).select(*batch.columns).write.mode("overwrite").parquet(os.path.join(base, "late", f"batch={batch_id}"))
-        rows = marked.where(in_time).select(*batch.columns)
+        # Four writes read the batch's rows; a lost part is read from the source again.
+        rows = marked.where(in_time).select(*batch.columns).persist()
         judge(live_enrich(rows, own, past)).write.mode("overwrite").parquet(os.path.join(base, "out", f"batch={batch_id}"))
         new = rows.groupBy("symbol").agg(F.max("date").alias("_last"), F.count("pct_change").alias("_n"), F.avg("pct_change").alias("_mean"),
                                          (F.var_pop("pct_change") * F.count("pct_change")).alias("_m2"))
@@ -89,6 +90,7 @@ def live_sink(base: str, every: int = 16):
         market.write(days.join(past, "universe", "left").select(
             "universe", (F.coalesce("days", F.lit(0)) + c("_days")).alias("days"),
             (F.coalesce("total", F.lit(0.0)) + c("_total")).alias("total")), batch_id)
+        rows.unpersist()
 
     return write
 

@@ -37,19 +37,23 @@ def dedup_stream(ticks: DataFrame, keys: Sequence[str], delay: str = "2 days") -
 def bar_sink(base: str):
     """``foreachBatch`` writer of daily bars that survive late ticks and replays.
 
-    A batch's ticks become their own folder of a raw table, so writing it twice leaves it once.  The days they touch are then
-    aggregated again from all raw ticks (one per event_id) and replace exactly those days of the bars.  Nothing that is being replaced
-    is read, no tick is too late, and no state grows with time.  Days that had raw ticks before this batch are noted as late.
+    A batch's ticks become partitions of their own, (day, batch), of a raw table, so writing it twice leaves it once.  The days it touches
+    are then aggregated again from all their raw ticks (one per event_id) and replace exactly those days of the bars.  Only the folders of
+    those days are opened or listed, however many days and batches are stored; nothing that is being replaced is read, no tick is too
+    late, and no state grows with time.  Days that had raw ticks before this batch are noted as late.
     """
     raw, out, late = (os.path.join(base, n) for n in ("ticks", "table", "late"))
+    schema = "symbol string, event_id bigint, ts timestamp_ntz, value double, date date, batch long"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = ["symbol", "event_id", "ts", "value", "date"]
-        batch.select(*own).write.mode("overwrite").partitionBy("date").parquet(os.path.join(raw, f"batch={batch_id}"))
-        every = spark.read.schema("symbol string, event_id bigint, ts timestamp_ntz, value double, batch long, date date").parquet(raw)
-        days = batch.select("date").distinct()
-        touched = every.join(days, "date", "left_semi")
+        (batch.select("symbol", "event_id", "ts", "value", "date", F.lit(batch_id).alias("batch")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(raw))
+        days = [r.date for r in batch.select("date").distinct().collect()]  # the days of one batch
+        if not days:
+            return
+        touched = spark.read.schema(schema).option("basePath", raw).parquet(
+            *[os.path.join(raw, f"date={'__HIVE_DEFAULT_PARTITION__' if d is None else d.isoformat()}") for d in days])
         (touched.where(F.col("batch") < batch_id).select("date").distinct().write.mode("overwrite").parquet(os.path.join(late, f"batch={batch_id}")))
         ticks = touched.dropDuplicates(["symbol", "date", "event_id"])
         bars = ticks.groupBy("symbol", "date").agg(*bar_aggs("value", tick_order(F.col("ts"), F.col("event_id"))))

@@ -18,6 +18,7 @@ all_anomalies forecast_linear forecast_ema quotes_from_json rows_from_html headl
 extended_hist dq_prices dq_bars holidays last_trading_day daily_briefing stream_bars incremental_refresh
 mutual_information variance_filter correlation_filter select_features pct_discrepancy indicators_refresh anomaly_log signal_log
 stream_late_days stream_ema symbol_json_export source_failures any_to_date top_volume_no_trades
+stream_daily_moments stream_dedup_exact stored_prices model_headline_scores news_listing pct_discrepancy_from_open historical_views
 """.split()
 NAMES = sorted(SQL) if os.environ.get("TICKLOOM_FULL") else FAMILIES
 

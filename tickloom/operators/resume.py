@@ -15,6 +15,7 @@ change, and that symbol alone is run from its first bar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -140,12 +141,15 @@ def _frame(later: DataFrame, snap: DataFrame) -> DataFrame:
     return bars.unionByName(tail.select(*bars.columns))
 
 
-def full_run(bars: DataFrame, block=yearly) -> tuple[DataFrame, DataFrame]:
-    """(indicators, snapshots) of whole series: what is stored before anything changes."""
+def full_run(bars: DataFrame, block=yearly, keep: Callable[[DataFrame], DataFrame] = lambda run: run) -> tuple[DataFrame, DataFrame]:
+    """(indicators, snapshots) of whole series: what is stored before anything changes.
+
+    Both follow from one run; ``keep`` may write it down and read it back, so that it is computed once.
+    """
     later = bars.select("symbol", *BAR, block(c("date")).alias("block"))
     one = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("date").alias("at"))
     frame = later.withColumns({"_tail": F.lit(False), "_r14": F.lit(None).cast("double"), "_seed": F.struct(*[one.alias(o) for o in _sources()])})
-    run = _run(I.with_multiplier(frame))
+    run = keep(_run(I.with_multiplier(frame)))
     return published(run), snapshots(run)
 
 

@@ -391,7 +391,12 @@ def late_bar(spark, sf):
     missing = (F.col("date") == F.lit(LATE_WEEK)) & (F.col("symbol") <= "NATION_2")
     bars.write.partitionBy("block").parquet(f"{base}/bars")
     now = spark.read.schema(bars.schema).parquet(f"{base}/bars")
-    indicators, states = RS.full_run(now.where(~missing).drop("block"))
+
+    def keep(run):
+        run.write.parquet(f"{base}/run")
+        return spark.read.schema(run.schema).parquet(f"{base}/run")
+
+    indicators, states = RS.full_run(now.where(~missing).drop("block"), keep=keep)
     indicators.write.partitionBy("block").parquet(f"{base}/indicators")
     states.write.partitionBy("block").parquet(f"{base}/snapshots")
     stored = spark.read.schema(indicators.schema).parquet(f"{base}/indicators")

@@ -5,7 +5,7 @@ afterwards, so they still use up their text.  Any value that follows a credentia
 
     cost(j) = min over segments [i, j) of cost(i) + price(segment) + SEGMENT
 
-over words (of a common list, of the surrounding text, or of the ``DICTIONARY`` most frequent words of all documents), dates, repeats of
+over words (of a common list, of the surrounding text, or of the at most ``DICTIONARY`` most frequent words of all documents), dates, repeats of
 up to ``UNIT`` characters, keyboard walks and sequences, and single characters guessed by brute force; prices are decimal logarithms of
 the guesses.  Every part of a walk or repeat is a segment too, so the cost is the least of all segmentations.  A value that needs at least
 10^``GUESSES`` guesses is a span of kind ``guess``, unless a span of the fixed patterns covers it.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tickloom.llm.text import bounded, fresh
+from tickloom.llm.text import bounded, fresh, stored
 
 KINDS = ("assign", "access", "hex", "guess")
 # The patterns of the base kinds and their least lengths.
@@ -191,7 +191,8 @@ def all_spans(text: str | None, guesses: float = GUESSES, words: dict[str, int]
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """The ``size`` most frequent words of all texts with their ranks: counted inside the tasks, then added up by word."""
+    """The most frequent words of all texts with their ranks: counted inside the tasks, then added up by word.  At most ``size`` words are
+    kept; of words of like count all or none are, so nothing depends on an order among them, and only kept words reach the driver."""
     def flush(count: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(count.keys()), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
@@ -206,8 +207,19 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
                     count = Counter()
         yield flush(count)
 
-    words = bounded(docs.select("text")).mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: k + 1 for k, r in enumerate(words.orderBy(F.desc("n"), "word").limit(size).collect())}
+    words = stored(bounded(docs.select("text")).mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Words by count, rounded down to ten leading bits: some ten thousand rows at most, whatever the corpus.
+    level = F.expr("n - n % shiftleft(1L, greatest(length(bin(n)) - 10, 0))")
+    least, kept = math.inf, 0
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        kept += r["count"]
+        if kept > size:
+            break
+        least = r["level"]
+    if least == math.inf:
+        return {}
+    rows = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))  # at most ``size``
+    return {r["word"]: k + 1 for k, r in enumerate(rows)}
 
 
 def find(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:

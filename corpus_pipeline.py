@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one gets as its documents, after a write and a read; the last returns
 pieces of packed sequences.
+
+Null, empty and wordless texts pass all stages unchanged, as texts without conspicuous words that are like no other; of repeated rows one
+stays; different texts under one doc_id are judged each for itself; extra columns pass through to the last stage; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations

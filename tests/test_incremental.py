@@ -183,6 +183,32 @@ def test_indicator_state_equals_the_suite(spark, tmp_path, stored):
     pd.testing.assert_frame_equal(got.loc[on_time, COLS].reset_index(drop=True), want.loc[on_time.values, COLS].reset_index(drop=True))
 
 
+def test_indicators_of_whole_batches_equal_the_suite(spark, tmp_path):
+    stored, b = 30, bars(spark, 60, "ABC").select("symbol", "date", "high", "low", "close")
+    day = F.datediff("date", F.lit(DAY0))
+    b = b.where((F.col("symbol") != "C") | (day >= 40))  # C has no state at first
+    initial = IS.initial_state(b.where(day < stored), tail=20)
+    wrong = b.where(day == 44).withColumn("close", F.col("close") + 3)  # corrected by a later batch
+    batches = [b.where((day >= stored) & (day < 45) & (day != 41) & (day != 44)), b.where(day.between(45, 52)).unionByName(wrong), b.where((day == 41) | (day == 44)),
+               b.where(day > 52).unionByName(b.where(day == 2))]
+    path, base = str(tmp_path / "in"), str(tmp_path / "job")
+    for x in batches:
+        x.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = frame(IS.run_indicators_by_batch(stream, base, initial, tail=20, every=3))
+    assert sorted(set(got[got.late].symbol)) == ["A", "B"] and got[got.late].date.unique().tolist() == [DAY0 + dt.timedelta(days=2)]
+    want = frame(I.indicator_suite(b.withColumns({"open": F.col("close"), "volume": F.lit(1.0)}))).merge(got[["symbol", "date"]])
+    on_time = ~got.late
+    pd.testing.assert_frame_equal(got.loc[on_time, COLS].reset_index(drop=True), want.loc[on_time.values, COLS].reset_index(drop=True))
+    table = Versioned(base + "/states", IS.STATE, ("symbol",), 3)
+    before = frame(table.before(spark, 5), ["symbol"])
+    IS.indicator_sink(base, 20, 3)(batches[3], 3)  # the last batch once more
+    pd.testing.assert_frame_equal(frame(spark.read.schema(IS.OUT).parquet(base + "/table"))[list(got.columns)], got)
+    pd.testing.assert_frame_equal(frame(table.before(spark, 5), ["symbol"]), before)
+    rows = IS.continued(IS.arrived(batches[3], table.before(spark, 4)))
+    assert "Pandas" not in rows._jdf.queryExecution().executedPlan().toString()  # no Python call per symbol
+
+
 # --- snapshots ----------------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from tickloom.plans.symbols import atr_sql, macd_sql, rsi_sql
 from tickloom.sources import sample as S
 from tickloom.sources.market import prices_from_bars
 from tickloom.streaming import detectors as LD, exact as EX, incremental as INC, indicator_state as IS, moments as MO, ticks as TK
-from tickloom.streaming.runtime import append_all, setting, work_dir
+from tickloom.streaming.runtime import append_all, work_dir
 
 
 # Deliveries of the events: days in turn, and a few ticks of even days long after their day.
@@ -108,10 +108,13 @@ query("incremental_refresh", with_("event_roll", f"SELECT date, avg_pct, {ROLL_C
 
 def in_batches(df, batches: int, name: str, files: int = FILES):
     """A stream of ``df``, one batch after the other by its column ``b`` (0 to ``batches`` - 1)."""
-    path = os.path.join(work_dir(df.sparkSession, name), "in")
+    spark, base, kept = df.sparkSession, work_dir(df.sparkSession, name), df.drop("b").schema
+    path, once = os.path.join(base, "in"), os.path.join(base, "once")
+    df.write.partitionBy("b").parquet(once)  # computed once, not once per batch
+    all_batches = spark.read.schema(df.schema).parquet(once)
     for k in range(batches):
-        df.where(F.col("b") == k).drop("b").repartition(files).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.drop("b").schema).option("maxFilesPerTrigger", files).parquet(path)
+        all_batches.where(F.col("b") == k).select(*kept.names).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(kept).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def moments(spark, sf):
@@ -136,8 +139,7 @@ def indicator_updates(spark, sf):
     every = S.event_bars(spark, sf).select("symbol", "date", "high", "low", "close")
     new = every.where(F.col("date") >= F.lit(STATE_FROM)).withColumn("b", b)
     first = IS.initial_state(every.where(F.col("date") < F.lit(STATE_FROM)), tail=12)
-    with setting(spark, IS.PROVIDER, IS.ROCKSDB):
-        return IS.run_indicators(in_batches(new, 5, "state"), work_dir(spark, "state"), first, tail=12)
+    return IS.run_indicators_by_batch(in_batches(new, 5, "state"), work_dir(spark, "state"), first, tail=12, every=3)
 
 
 # Under 63 returns every symbol has the standard window sizes.

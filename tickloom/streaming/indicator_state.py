@@ -8,12 +8,17 @@ indicators: its symbol needs a run from the stored bars, whose result is the nex
 
 Averages over a stretch are window sums in closed form, as in :mod:`tickloom.operators.ewm`, with arrays instead of a loop over rows.
 The state needs a store that holds lists, which the RocksDB provider is; :func:`run_indicators` refuses to start on another.
+
+That way calls Python and the store for each symbol of a batch, some 50 ms together, which suits batches of few symbols.  Batches that
+touch most symbols go through :func:`run_indicators_by_batch`: the same state is one row per symbol of a versioned table, the averages of
+all symbols are window sums in the JVM, and a symbol costs its rows.  Of a day that one batch brings twice, that keeps the greater row.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -21,9 +26,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom import config as cfg
+from tickloom.functions.numeric import div
 from tickloom.operators import ewm as E, indicators as I
 from tickloom.streaming.ticks import upsert_sink
-from tickloom.streaming.runtime import drain
+from tickloom.streaming.runtime import drain, exists
+from tickloom.streaming.versioned import Versioned
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,6 +135,38 @@ class IndicatorState(StatefulProcessor):
 _NAMES = [f.split()[0] for f in OUT.split(", ")]
 
 
+def _levels() -> tuple[list[E.Ewm], list[E.Ewm]]:
+    """The averages over columns of a row's own window sizes; the second level reads the first."""
+    def spec(out: str, src: str, size: str, is_span: bool) -> E.Ewm:
+        n = F.col(size)
+        among = [v[_REGIME[size]] for v in cfg.REGIME_WINDOWS.values()]
+        ends = [2 / (v + 1) if is_span else 1 / v for v in among]
+        return E.Ewm(out, src, F.lit(2.0) / (n + 1) if is_span else F.lit(1.0) / n, 1, None, (min(ends), max(ends)))
+
+    return ([spec("ema_fast", "close", "fast", True), spec("ema_slow", "close", "slow", True), spec("gain", "_gain", "rsi", False),
+             spec("loss", "_loss", "rsi", False), spec("range", "_tr", "atr", False)], [spec("ema_signal", "macd", "signal", True)])
+
+
+def _macd():
+    return I.rnd(I.rnd(F.col("ema_fast"), 4) - I.rnd(F.col("ema_slow"), 4), 4)
+
+
+def _states(rows: DataFrame, tail: int) -> DataFrame:
+    """One row per symbol of its rows with averages: the row before the newest ``tail`` ones as base, and those.
+
+    Rows marked ``_seed`` are former bases: they may be the base again, but are no bars of the tail.
+    """
+    c = F.col
+    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    own = rows.withColumn("_age", age).where((c("_age") <= tail + 1) | c("_seed"))  # a bounded number of rows per symbol
+    at = F.when((c("_age") == tail + 1) | (c("_seed") & (c("_age") <= tail)), F.struct("date", "n", "close", *AVERAGES))
+    bars = F.sort_array(F.collect_list(F.when((c("_age") <= tail) & ~c("_seed"), F.struct("date", "high", "low", "close"))))
+    g = own.groupBy("symbol").agg(F.max(at).alias("b"), bars.alias("t"), *[F.max(s).alias(f"base_{s}") for s in SIZES])
+    return g.select("symbol", *[(F.coalesce(f"b.{x}", F.lit(0)) if x == "n" else c(f"b.{x}")).alias(f"base_{x}")
+                                for x in ("date", "n", "close", *AVERAGES)], *[f"base_{s}" for s in SIZES],
+                    *[c(f"t.{x}").alias(f"tail_{x}") for x in ("date", "high", "low", "close")])
+
+
 def initial_state(bars: DataFrame, tail: int = TAIL) -> DataFrame:
     """One row per symbol of stored bars: the averages before its newest ``tail`` rows, those rows, and its window sizes.
 
@@ -137,28 +176,11 @@ def initial_state(bars: DataFrame, tail: int = TAIL) -> DataFrame:
     m = I.regime_windows(bars)
     sizes = m.select("symbol", c("macd_fast").alias("fast"), c("macd_slow").alias("slow"), c("macd_signal").alias("signal"), "rsi", "atr")
     d = I.moves(bars.select("symbol", "date", "high", "low", "close")).join(sizes, "symbol")
-
-    def spec(out: str, src: str, size: str, is_span: bool, digits=None) -> E.Ewm:
-        rate = F.lit(2.0) / (c(size) + 1) if is_span else F.lit(1.0) / c(size)
-        among = [v[_REGIME[size]] for v in cfg.REGIME_WINDOWS.values()]
-        ends = [2 / (v + 1) if is_span else 1 / v for v in among]
-        return E.Ewm(out, src, rate, 1, digits, (min(ends), max(ends)))
-
-    level1 = [spec("ema_fast", "close", "fast", True), spec("ema_slow", "close", "slow", True), spec("gain", "_gain", "rsi", False),
-              spec("loss", "_loss", "rsi", False), spec("range", "_tr", "atr", False)]
-    level2 = [spec("ema_signal", "macd", "signal", True)]
+    level1, level2 = _levels()
     d = E.with_ewm(E.number_rows(d, ["symbol"], "date", E.block_rows(level1 + level2)), ["symbol"], level1)
-    d = d.withColumn("macd", I.rnd(I.rnd(c("ema_fast"), 4) - I.rnd(c("ema_slow"), 4), 4))
-    d = E.with_ewm(d, ["symbol"], level2)
-    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    d = d.select("symbol", *["date", "high", "low", "close"], *AVERAGES, *SIZES, c("_rn").cast("long").alias("n"), age.alias("_age"))
-    own = d.where(c("_age") <= tail + 1)  # a bounded number of rows per symbol
-    at = F.when(c("_age") == tail + 1, F.struct("date", "n", "close", *AVERAGES))
-    rows = F.sort_array(F.collect_list(F.when(c("_age") <= tail, F.struct("date", "high", "low", "close"))))
-    g = own.groupBy("symbol").agg(F.max(at).alias("b"), rows.alias("t"), *[F.max(s).alias(f"base_{s}") for s in SIZES])
-    return g.select("symbol", *[(F.coalesce(f"b.{x}", F.lit(0)) if x == "n" else c(f"b.{x}")).alias(f"base_{x}")
-                                for x in ("date", "n", "close", *AVERAGES)], *[f"base_{s}" for s in SIZES],
-                    *[c(f"t.{x}").alias(f"tail_{x}") for x in ("date", "high", "low", "close")])
+    d = E.with_ewm(d.withColumn("macd", _macd()), ["symbol"], level2)
+    return _states(d.select("symbol", "date", "high", "low", "close", *AVERAGES, *SIZES, c("_rn").cast("long").alias("n"),
+                            F.lit(False).alias("_seed")), tail)
 
 
 #: Where a size stands in ``REGIME_WINDOWS``.
@@ -181,3 +203,92 @@ def run_indicators(bars: DataFrame, base: str, initial: DataFrame | None = None,
     return spark.read.schema(OUT).parquet(path).select(*_NAMES)
 
 
+
+
+# --- all symbols of a batch at once ------------------------------------------------------------------------------------
+
+STATE = ("symbol string, " + ", ".join(f"base_{f}" for f in BASE.split(", ")) + ", tail_date array<date>, tail_high array<double>, "
+         "tail_low array<double>, tail_close array<double>")
+
+
+def arrived(batch: DataFrame, states: DataFrame) -> DataFrame:
+    """One row per symbol of the batch: its state, ``_late`` and ``_rows``, the batch's days that its base holds already and the others."""
+    c = F.col
+    one = batch.groupBy("symbol", "date").agg(F.max(F.struct("high", "low", "close")).alias("_v"))
+    days = one.groupBy("symbol").agg(F.collect_list(F.struct("date", "_v.high", "_v.low", "_v.close")).alias("_new"))
+    g = days.join(states, "symbol", "left")
+    sizes = {f"base_{s}": F.coalesce(f"base_{s}", F.lit(v)) for s, v in zip(SIZES, STANDARD)}  # of a symbol without state
+    return g.withColumns({**sizes, "base_n": F.coalesce("base_n", F.lit(0)),
+                          "_late": F.filter("_new", lambda r: F.coalesce(r["date"] <= c("base_date"), F.lit(False))),
+                          "_rows": F.filter("_new", lambda r: F.coalesce(r["date"] > c("base_date"), F.lit(True)))}).drop("_new")
+
+
+def continued(own: DataFrame) -> DataFrame:
+    """The rows of :func:`arrived` symbols from their base on, put in their places in the tail, with the averages after each.
+
+    The base stands before them as a row of its own, ``_seed``, whose averages are the state's: an exponential average goes on from its
+    last value as from a first observation.  ``_from`` is the first changed day.
+    """
+    c = F.col
+    tail = F.transform(F.arrays_zip("tail_date", "tail_high", "tail_low", "tail_close"), lambda x: F.struct(
+        x["tail_date"].alias("date"), x["tail_high"].alias("high"), x["tail_low"].alias("low"), x["tail_close"].alias("close")))
+    none = F.slice("_rows", 1, 0)
+    base = F.struct(c("base_date").alias("date"), *[F.lit(None).cast("double").alias(x) for x in ("high", "low")], c("base_close").alias("close"))
+    d = own.where(F.size("_rows") > 0).withColumns({"_days": F.transform("_rows", lambda r: r["date"]), "_tail": F.coalesce(tail, none)})
+    held = F.filter("_tail", lambda r: ~F.array_contains("_days", r["date"]))
+    seed = F.when(c("base_date").isNotNull(), F.array(base)).otherwise(none)
+    d = d.select("symbol", F.array_min("_days").alias("_from"), "base_date", "base_n", *[c(f"base_{a}") for a in AVERAGES],
+                 *[c(f"base_{s}").alias(s) for s in SIZES], F.inline(F.concat(seed, held, "_rows")))
+    d = I.moves(d.withColumn("_seed", F.coalesce(c("date") == c("base_date"), F.lit(False))))
+    level1, level2 = _levels()
+    d = E.number_rows(d, ["symbol"], "date", E.block_rows(level1 + level2))
+    for level in (level1, level2):
+        if level is level2:
+            d = d.withColumn("macd", _macd())
+        d = d.withColumns({f"_in_{s.out}": F.when(c("_seed"), c(f"base_{s.out}")).otherwise(c(s.src)) for s in level})
+        d = E.with_ewm(d, ["symbol"], [replace(s, src=f"_in_{s.out}") for s in level])
+    n = c("base_n") + c("_rn") - F.when(c("base_date").isNull(), 0).otherwise(1)
+    return d.select("symbol", "date", "high", "low", "close", "macd", *AVERAGES, *SIZES, n.alias("n"), "_seed", "_from")
+
+
+def changed_rows(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """What a batch emits: every row from a symbol's first changed one on, and the days that are older than its base as ``late``."""
+    c = F.col
+    line = I.rnd(c("ema_signal"), 4)
+    rsi = I.rnd(100 - div(F.lit(100.0), 1 + div(c("gain"), c("loss"))), 4)
+    out = rows.where(~c("_seed") & (c("date") >= c("_from"))).select(
+        "symbol", "date", I.rnd(c("ema_fast"), 4).alias("ema_12"), I.rnd(c("ema_slow"), 4).alias("ema_26"), "macd", line.alias("macd_signal"),
+        I.rnd(c("macd") - line, 4).alias("macd_hist"), F.when(c("n") > c("rsi"), rsi).alias("rsi_14"),
+        F.when(c("n") >= c("atr"), I.rnd(c("range"), 4)).alias("atr_14"), F.lit(False).alias("late"))
+    late = own.select("symbol", F.explode("_late.date").alias("date"))
+    return out.unionByName(late.withColumn("late", F.lit(True)), allowMissingColumns=True)
+
+
+def indicator_sink(base: str, tail: int = TAIL, every: int = 16):
+    """``foreachBatch`` writer of indicators; version 0 of the states is the initial one, and batch k leaves version k + 1.
+
+    A batch written twice starts from the same version and leaves the same rows and states.
+    """
+    states = Versioned(os.path.join(base, "states"), STATE, ("symbol",), every)
+    merge = upsert_sink(os.path.join(base, "table"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Both are read by the rows, the days' merge and the new states; a lost part is computed again.
+        own = arrived(batch, states.before(batch.sparkSession, batch_id + 1)).persist()
+        rows = continued(own).persist()
+        merge(changed_rows(rows, own), batch_id)
+        states.write(_states(rows, tail), batch_id + 1)
+        rows.unpersist()
+        own.unpersist()
+
+    return write
+
+
+def run_indicators_by_batch(bars: DataFrame, base: str, initial: DataFrame | None = None, tail: int = TAIL, every: int = 16) -> DataFrame:
+    """:func:`run_indicators` for batches that touch many symbols; ``initial`` counts when the first run starts, later ones go on."""
+    spark, first = bars.sparkSession, Versioned(os.path.join(base, "states"), STATE, ("symbol",), every)
+    if not exists(spark, os.path.join(first.folder(0), "_SUCCESS")):
+        first.write(spark.createDataFrame([], STATE) if initial is None else initial, 0)
+    drain(bars.writeStream.option("checkpointLocation", os.path.join(base, "ck")).foreachBatch(indicator_sink(base, tail, every))
+          .trigger(availableNow=True).start())
+    return spark.read.schema(OUT).parquet(os.path.join(base, "table")).select(*_NAMES)

@@ -64,12 +64,9 @@ WEEKS, FILES = 5, 2
 
 def ema(spark, sf):
     """Bars arrive week by week, one micro-batch each; the state goes from batch to batch."""
-    path = os.path.join(work_dir(spark, "ema"), "bars")
-    all_bars = S.event_bars(spark, sf).withColumn("w", F.least(F.lit(WEEKS - 1), F.floor((F.dayofmonth("date") - 1) / 7)))
-    for week in range(WEEKS):
-        all_bars.where(F.col("w") == week).select("symbol", "date", "close").repartition(FILES).write.mode("append").parquet(path)
-    src = spark.readStream.schema("symbol string, date date, close double").option("maxFilesPerTrigger", FILES).parquet(path)
-    out = append_all(TK.ema_stream(src), work_dir(spark, "ema"))
+    week = F.least(F.lit(WEEKS - 1), F.floor((F.dayofmonth("date") - 1) / 7)).cast("int")
+    b = S.event_bars(spark, sf).select("symbol", "date", "close", week.alias("b"))
+    out = TK.run_ema(in_batches(b, WEEKS, "ema"), work_dir(spark, "ema"), every=3)
     return out.select("symbol", "date", I.rnd(F.col("ema"), 4).alias("ema"), "late")
 
 

@@ -7,15 +7,17 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom import config as cfg
 from tickloom.functions.numeric import div, rnd
+from tickloom.operators import ewm as E
 from tickloom.operators.preprocess import keep_one
 from tickloom.sources.market import bar_aggs, tick_order
 from tickloom.sources.sample import event_symbol
 from tickloom.streaming.runtime import drain, exists
+from tickloom.streaming.versioned import Versioned
 
 SYM = ["symbol"]
 
@@ -128,7 +130,8 @@ def ema_stream(bars: DataFrame, rows: int = cfg.SHORT_WINDOW) -> DataFrame:
     """EMA of each symbol's close with state (last date, last value, count) instead of a recomputation.
 
     Rows are ordered inside a micro-batch.  A row not newer than the stored date is emitted with ``late`` set and does
-    not touch the state: its symbol's days go through :func:`tickloom.streaming.incremental.dirty_days`.
+    not touch the state: its symbol's days go through :func:`tickloom.streaming.incremental.dirty_days`.  Python is called for each
+    symbol of a batch; batches that touch most symbols go through :func:`run_ema`.
     """
     a = 2.0 / (rows + 1)
 
@@ -148,6 +151,47 @@ def ema_stream(bars: DataFrame, rows: int = cfg.SHORT_WINDOW) -> DataFrame:
     return bars.groupBy("symbol").applyInPandasWithState(step, _EMA_OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+EMA_STATE = "symbol string, last date, before double"
+
+
+def ema_rows(batch: DataFrame, state: DataFrame, rows: int = cfg.SHORT_WINDOW) -> DataFrame:
+    """The rows of a batch as :func:`ema_stream` has them, for all symbols at once; a row without a close has no average.
+
+    Window sums start from the batch's first close x1.  A state y0 in its place adds ``q^i (y0 - x1)`` to the i-th row.
+    """
+    c, q = F.col, 1.0 - 2.0 / (rows + 1)
+    again = F.row_number().over(Window.partitionBy("symbol", "date").orderBy("close")) > 1
+    own = batch.select("symbol", "date", "close").join(state, "symbol", "left")
+    own = own.withColumn("late", F.coalesce(c("date") <= c("last"), F.lit(False)) | again)
+    keys, mean = ["symbol", "_step"], [E.span("_y", "close", rows, None)]
+    d = E.number_rows(own.withColumn("_step", ~c("late") & c("close").isNotNull()), keys, "date", E.block_rows(mean))
+    d = E.with_ewm(d, keys, mean, nulls=False)
+    x1 = F.first("close").over(Window.partitionBy(*keys).orderBy("date"))
+    shift = F.coalesce(F.pow(F.lit(q), c("_rn")) * (c("before") - x1), F.lit(0.0))
+    return d.select("symbol", "date", "close", F.when(c("_step"), c("_y") + shift).alias("ema"), "late")
+
+
+def ema_sink(base: str, rows: int = cfg.SHORT_WINDOW, every: int = 16):
+    """``foreachBatch`` writer of averages; the state before a batch is read by version, so a batch written twice gives the same rows."""
+    states = Versioned(os.path.join(base, "states"), EMA_STATE, ("symbol",), every)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, out = batch.sparkSession, os.path.join(base, "out", f"batch={batch_id}")
+        ema_rows(batch, states.before(spark, batch_id), rows).write.mode("overwrite").parquet(out)
+        newest = F.max(F.when(F.col("ema").isNotNull(), F.struct("date", "ema"))).alias("s")
+        new = spark.read.schema(_EMA_OUT).parquet(out).groupBy("symbol").agg(newest).where("s IS NOT NULL")
+        states.write(new.select("symbol", F.col("s.date").alias("last"), F.col("s.ema").alias("before")), batch_id)
+
+    return write
+
+
+def run_ema(bars: DataFrame, base: str, rows: int = cfg.SHORT_WINDOW, every: int = 16) -> DataFrame:
+    """Drain a finite stream of (symbol, date, close) and read the averages back."""
+    drain(bars.writeStream.option("checkpointLocation", os.path.join(base, "ck")).foreachBatch(ema_sink(base, rows, every))
+          .trigger(availableNow=True).start())
+    return bars.sparkSession.read.schema(_EMA_OUT).parquet(os.path.join(base, "out")).select(*_EMA_OUT.names)
+
+
 def symbol_baseline(prices: DataFrame) -> DataFrame:
     """Stored per-symbol statistics that live rows are held against."""
     return prices.groupBy("symbol").agg(F.count("pct_change").alias("hist_n"), F.avg("pct_change").alias("hist_mean"),

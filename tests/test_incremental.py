@@ -132,6 +132,13 @@ def test_live_detectors_equal_the_all_dates_run(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "late")).count() == late.count()
 
 
+def test_detectors_read_their_rows_once(spark):
+    p = prices(spark, 30).drop("change")
+    stored = p.select("*", F.lit(None).cast("long").alias("_sn"), *[F.lit(None).cast("double").alias(x) for x in ("_smean", "_sm2")])
+    plan = LD.judge(LD.live_enrich(stored, spark.createDataFrame([], LD.MARKET)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [count(pct_change") == 1 and "Union" not in plan  # one pass for the three detectors
+
+
 def test_a_repeat_weeks_later_adds_nothing(spark, tmp_path):
     seen = EX.SeenKeys(spark, str(tmp_path), "id long, kind string", 4)
     sink = EX.exact_sink(seen, str(tmp_path / "first"))

@@ -19,14 +19,22 @@ def _row(df: DataFrame, kind: str, symbol: Column, severity: Column, z: Column,
                      reason.alias("reason"))
 
 
-def price_gap(enriched: DataFrame) -> DataFrame:
-    """``enriched`` comes from :func:`tickloom.operators.signals.enrich`."""
+def gap() -> tuple[Column, Column]:
+    """Condition and row of a price gap, over columns of :func:`tickloom.operators.signals.enrich`."""
     z = rnd(div(c("pct_change") - c("hist_mean"), c("hist_std")), 6)
-    hits = enriched.withColumn("_z", z).where((c("hist_n") >= cfg.MIN_BASELINE) & (F.abs("_z") >= cfg.PRICE_GAP_Z))
-    why = F.concat(c("symbol"), F.lit(" moved "), signed(c("pct_change"), 2), F.lit("% — z-score "), signed(c("_z"), 2),
+    hit = (c("hist_n") >= cfg.MIN_BASELINE) & (F.abs(z) >= cfg.PRICE_GAP_Z)
+    why = F.concat(c("symbol"), F.lit(" moved "), signed(c("pct_change"), 2), F.lit("% — z-score "), signed(z, 2),
                    F.lit(" (mu="), signed(c("hist_mean"), 2), F.lit("%, sigma="), fixed(c("hist_std"), 2),
                    F.lit("%, n="), c("hist_n").cast("string"), F.lit(" days)"))
-    return _row(hits, "price_gap", c("symbol"), ladders.severity(F.abs("_z")), c("_z"), c("pct_change"), why)
+    return hit, F.struct("date", c("symbol").cast("string").alias("symbol"), F.lit("price_gap").alias("anomaly_type"),
+                         ladders.severity(F.abs(z)).alias("severity"), rnd(z, 4).alias("z_score"), rnd(c("pct_change"), 4).alias("value"),
+                         why.alias("reason"))
+
+
+def price_gap(enriched: DataFrame) -> DataFrame:
+    """``enriched`` comes from :func:`tickloom.operators.signals.enrich`."""
+    hit, row = gap()
+    return enriched.where(hit).select(row.alias("_r")).select("_r.*")
 
 
 def _market(hist: DataFrame, metric: str, min_z: float) -> DataFrame:

@@ -17,7 +17,7 @@ from tickloom.functions import windows as W
 from tickloom.functions.numeric import rnd
 from tickloom.operators import anomalies as N, signals as G
 from tickloom.streaming.runtime import drain
-from tickloom.streaming.versioned import Versioned, rows_of_keys
+from tickloom.streaming.versioned import Versioned
 
 SYMBOLS = "symbol string, last date, n long, mean double, m2 double"
 MARKET = "universe string, days long, total double"
@@ -34,15 +34,17 @@ def _joined(n0: Column, mean0: Column, m0: Column, n1: Column, mean1: Column, m1
     return [n, mean0 + d * part, m0 + m1 + d * d * part * n0]
 
 
-def live_enrich(batch: DataFrame, symbols: DataFrame, market: DataFrame) -> DataFrame:
-    """The rows of a batch with the columns that the detectors read, from the stored baselines and the batch's earlier days."""
+def live_enrich(batch: DataFrame, market: DataFrame) -> DataFrame:
+    """The rows of a batch with the columns that the detectors read, from the stored baselines and the batch's earlier days.
+
+    A row carries its symbol's stored baseline as ``_sn``, ``_smean`` and ``_sm2``.
+    """
     past, pct, days = W.before(["symbol"]), c("pct_change"), W.before(["universe"])
     own = batch.select("*", F.count(pct).over(past).alias("_n"), F.avg(pct).over(past).alias("_mean"),
                        (F.var_pop(pct).over(past) * F.count(pct).over(past)).alias("_m2"))
-    seen = symbols.select("symbol", *[c(x).alias(f"_s{x}") for x in ("n", "mean", "m2")])
     n, mean, m2 = _joined(c("_sn"), c("_smean"), c("_sm2"), c("_n"), c("_mean"), c("_m2"))
-    rows = own.join(seen, "symbol", "left").select(
-        *batch.columns, n.alias("hist_n"), F.when(n > 0, mean).alias("hist_mean"), F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("hist_std"))
+    rows = own.select("universe", "symbol", "date", "pct_change", n.alias("hist_n"), F.when(n > 0, mean).alias("hist_mean"),
+                      F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("hist_std"))
     g = batch.groupBy("universe", "date").agg(F.stddev_samp(pct).alias("mkt_std"))
     size = rnd(c("mkt_std"), 6)
     before = market.select("universe", c("days").alias("_d"), c("total").alias("_t"))
@@ -54,15 +56,17 @@ def live_enrich(batch: DataFrame, symbols: DataFrame, market: DataFrame) -> Data
 
 
 def judge(enriched: DataFrame) -> DataFrame:
-    """The rows that the volatility, unusual-move and price-gap detectors report, in one shape."""
-    out = None
+    """The rows that the volatility, unusual-move and price-gap detectors report, in one shape and one pass."""
+    fired = []
     for kind in ("volatility_spike", "unusual_mover"):
-        part = G.detect(enriched, kind).select(F.lit(kind).alias("detector"), "symbol", "date", c("direction").alias("grade"),
-                                               c("strength").alias("size"), "score", "reason")
-        out = part if out is None else out.unionByName(part)
-    return out.unionByName(N.price_gap(enriched).select(
-        F.lit("price_gap").alias("detector"), "symbol", "date", c("severity").alias("grade"), c("z_score").alias("size"),
-        c("value").alias("score"), "reason"))
+        hit, row = G.DETECTORS[kind]()
+        fired.append(F.when(hit, F.struct(F.lit(kind).alias("detector"), *[row[a].alias(b) for a, b in (
+            ("symbol", "symbol"), ("date", "date"), ("direction", "grade"), ("strength", "size"), ("score", "score"), ("reason", "reason"))])))
+    hit, row = N.gap()
+    fired.append(F.when(hit, F.struct(*[row[a].alias(b) for a, b in (
+        ("anomaly_type", "detector"), ("symbol", "symbol"), ("date", "date"), ("severity", "grade"), ("z_score", "size"), ("value", "score"),
+        ("reason", "reason"))])))
+    return enriched.select(F.inline(F.array_compact(F.array(*fired))))
 
 
 def live_sink(base: str, every: int = 16):
@@ -73,24 +77,24 @@ def live_sink(base: str, every: int = 16):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known, past = symbols.before(spark, batch_id), market.before(spark, batch_id)
-        own = rows_of_keys(known, batch, ["symbol"])
-        marked = batch.join(own.select("symbol", "last"), "symbol", "left")
+        stored = known.select("symbol", "last", *[c(x).alias(f"_s{x}") for x in ("n", "mean", "m2")])
+        # Four writes read the batch's rows with their symbols' baselines; a lost part is read from the source again.
+        marked = batch.join(stored, "symbol", "left").persist()
         in_time = F.coalesce(c("date") > c("last"), F.lit(True))
         marked.where(~in_time).select(*batch.columns).write.mode("overwrite").parquet(os.path.join(base, "late", f"batch={batch_id}"))
-        # Four writes read the batch's rows; a lost part is read from the source again.
-        rows = marked.where(in_time).select(*batch.columns).persist()
-        judge(live_enrich(rows, own, past)).write.mode("overwrite").parquet(os.path.join(base, "out", f"batch={batch_id}"))
+        rows = marked.where(in_time)
+        judge(live_enrich(rows, past)).write.mode("overwrite").parquet(os.path.join(base, "out", f"batch={batch_id}"))
         new = rows.groupBy("symbol").agg(F.max("date").alias("_last"), F.count("pct_change").alias("_n"), F.avg("pct_change").alias("_mean"),
-                                         (F.var_pop("pct_change") * F.count("pct_change")).alias("_m2"))
-        n, mean, m2 = _joined(c("n"), c("mean"), c("m2"), c("_n"), c("_mean"), c("_m2"))
-        symbols.write(new.join(own, "symbol", "left").select(
-            "symbol", c("_last").alias("last"), n.alias("n"), mean.alias("mean"), m2.alias("m2")), batch_id)
+                                         (F.var_pop("pct_change") * F.count("pct_change")).alias("_m2"),
+                                         *[F.max(f"_s{x}").alias(f"_s{x}") for x in ("n", "mean", "m2")])
+        n, mean, m2 = _joined(c("_sn"), c("_smean"), c("_sm2"), c("_n"), c("_mean"), c("_m2"))
+        symbols.write(new.select("symbol", c("_last").alias("last"), n.alias("n"), mean.alias("mean"), m2.alias("m2")), batch_id)
         days = rows.groupBy("universe", "date").agg(rnd(F.stddev_samp("pct_change"), 6).alias("_sd")).groupBy("universe").agg(
             F.count("_sd").alias("_days"), F.coalesce(F.sum("_sd"), F.lit(0.0)).alias("_total"))
         market.write(days.join(past, "universe", "left").select(
             "universe", (F.coalesce("days", F.lit(0)) + c("_days")).alias("days"),
             (F.coalesce("total", F.lit(0.0)) + c("_total")).alias("total")), batch_id)
-        rows.unpersist()
+        marked.unpersist()
 
     return write
 

@@ -325,3 +325,14 @@ def test_student_p_values(spark):
     df = spark.createDataFrame([(float(t), n, p) for t, n, p in known], "t double, n int, p double")
     for r in df.select("p", student_two_sided_p(F.col("t"), F.col("n")).alias("got")).collect():
         assert abs(r.got - r.p) < 5e-5
+
+
+def test_a_small_lexicon_never_shuffles_texts_by_token(spark, sf):
+    from tickloom.plans.catalogue import QUERIES
+    from tickloom.streaming.runtime import setting
+    with setting(spark, "spark.sql.shuffle.partitions", "200"):
+        df = QUERIES["headline_scores_joined"](spark, sf)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan[:plan.find("Initial Plan")]
+    assert {r.score for r in df.collect()} != {0.0}

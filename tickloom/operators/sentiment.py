@@ -25,7 +25,11 @@ def lexicon_score(text: Column, lexicon: dict[str, float]) -> Column:
 
 
 def lexicon_table_score(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """(key, score) against a ``token, weight`` table of any size; the join side is chosen by Spark from its size."""
+    """(key, score) against a ``token, weight`` table of any size; the join side is chosen by Spark from its size.
+
+    A small table should have a size that Spark knows, as stored tables and literals have.  Rows sent from the driver have none, and then
+    the texts are shuffled and sorted by token, where a frequent one makes the largest task grow with the input.
+    """
     tokens = df.select(key, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("token"))
     hit = tokens.join(lexicon, "token").groupBy(key).agg(F.avg("weight").alias("score"))
     return df.select(key).join(hit, key, "left").select(key, rnd(F.coalesce("score", F.lit(0.0)), 4).alias("score"))

@@ -163,7 +163,9 @@ query("headline_sentiment", with_("sentiment", "SELECT * FROM sentiment"))(senti
 
 
 def lexicon_df(spark, sf):
-    return spark.createDataFrame(list(S.SAMPLE_LEXICON.items()), "token string, weight double")
+    # From literals, so that Spark knows the size and never shuffles texts by token.
+    rows = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(w).alias("weight")) for t, w in S.SAMPLE_LEXICON.items()])
+    return spark.range(1).select(F.inline(rows))
 
 
 query("headline_scores_joined", with_("headlines", "SELECT doc_id || '-' || line AS id, score FROM headlines"))(
